@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash
+from . import bpe, chat, decontam, pii, quality, simhash, tokencount
 
 
 #: The vocabulary that the token queries use; the operators take any path.
@@ -49,10 +49,45 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string"
+    )
+    return chat.read_back(chat.format_turns(rows.union(extra))).withColumnRenamed("conv", "conv_id")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary())
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item of which it holds a copy; clean documents have none."""
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "distance", "budget")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and base_sha256 are of the base spans; spans has those that deobfuscation adds as well."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(f"n_{kind}" for kind in pii.KINDS),
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        "spans",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
+    "op4_chat": op4_chat,
+    "op8_token_counts": op8_token_counts,
+    "op9_decontam": op9_decontam,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .bpe import PATTERN, blocks, split_pieces, unmarked
 
 #: Documents of more characters are encoded in chunks of this size.
-CHUNK_CHARS = 16_384
+CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
 #: Pieces and words whose counts a Python worker remembers.
 CACHE_PIECES = 400_000
