@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, pii, quality, simhash, substring, tokencount
+from . import bpe, chat, crosspoly, decontam, pii, quality, simhash, substring, tokencount
 
 
 #: The vocabulary that the token queries use; the operators take any path.
@@ -62,6 +62,11 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crosspoly.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumnsRenamed({"id": "vec_id", "component": "component_id"})
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary())
     return found.withColumnRenamed("id", "doc_id")
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_chat": op4_chat,
     "op5_substrings": op5_substrings,
+    "op6_embeddings": op6_embeddings,
     "op8_token_counts": op8_token_counts,
     "op9_decontam": op9_decontam,
     "op10_pii": op10_pii,
