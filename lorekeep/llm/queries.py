@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, crosspoly, decontam, pii, quality, simhash, substring, tokencount
+from . import bpe, chat, crosspoly, decontam, pii, quality, simhash, substring, tokencount, tokenshards
+from .cluster import new_path
 
 
 #: The vocabulary that the token queries use; the operators take any path.
@@ -67,6 +68,13 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "vec_id", "component": "component_id"})
 
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards into the shared folder and returns what they hold, a row for each sequence."""
+    out = new_path(spark, "token-shards")
+    tokenshards.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), out)
+    return tokenshards.read_shards(spark, out).withColumnsRenamed({"id": "doc_id", "n": "n_tokens"})
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary())
     return found.withColumnRenamed("id", "doc_id")
@@ -96,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op5_substrings": op5_substrings,
     "op6_embeddings": op6_embeddings,
+    "op7_token_shards": op7_token_shards,
     "op8_token_counts": op8_token_counts,
     "op9_decontam": op9_decontam,
     "op10_pii": op10_pii,
