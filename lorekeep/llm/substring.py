@@ -42,6 +42,10 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 #: Words whose hashes a Python worker remembers.
 CACHE_WORDS = 400_000
+#: Rows that leave a task at once.
+ROWS = 200_000
+#: Bits of the bitmap that picks texts before they are shuffled: 4 MB whatever the data.
+FILTER_BITS = 25
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so they have inverses modulo 2**64
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -130,45 +134,71 @@ def summaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return _source(docs, id_col, text_col).mapInArrow(run, "id long, n_words long, seq_a long, seq_b long, whole string")
 
 
+class _Rows:
+    """Gathers (h[, g], id, at) rows and lets them go in batches."""
+
+    def __init__(self) -> None:
+        self._held: list[tuple[np.ndarray, ...]] = []
+        self._n = 0
+
+    def add(self, doc: int, at: np.ndarray, *hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self._held.append((*hashes, np.full(len(at), doc, np.int64), at.astype(np.int32)))
+        self._n += len(at)
+        if self._n > ROWS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self._n:
+            h, *others = (np.concatenate(c) for c in zip(*self._held, strict=True))
+            names = ["h", "g", "id", "at"] if len(others) == 3 else ["h", "id", "at"]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h.view(np.int64), *others)], names)
+        self._held, self._n = [], 0
+
+
 def anchors(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """``(h, id, at)``: the anchors of every document long enough for a window."""
     width = window - PERIOD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Rows()
         for batch in batches:
-            ids, hashes, places, held = [], [], [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = _words(text.as_py())
                 if doc is not None and len(words) >= window:
                     at = cover_positions(len(words), width)
-                    hashes.append(window_hashes(words, width, at))
-                    places.append(at)
-                    ids.append(np.full(len(at), doc))
-                    held += len(at)
-                if held > 200_000:
-                    yield _rows(hashes, ids, places)
-                    ids, hashes, places, held = [], [], [], 0
-            if held:
-                yield _rows(hashes, ids, places)
-
-    def _rows(hashes: list, ids: list, places: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate(hashes).view(np.int64)),
-                pa.array(np.concatenate(ids).astype(np.int64)),
-                pa.array(np.concatenate(places).astype(np.int32)),
-            ],
-            ["h", "id", "at"],
-        )
+                    yield from out.add(doc, at, window_hashes(words, width, at))
+        yield from out.rest()
 
     return _source(docs, id_col, text_col).mapInArrow(run, "h long, id long, at int")
 
 
 def _with_bounds(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with the least id of their key, those of keys in one document only left out; one shuffle by the key."""
+    """Rows with the least id of their key, those of keys in one document only left out; one shuffle by the key.
+
+    Both sides of the join read the same shuffle.  The place, which is never
+    negative, is in the condition so that both read the same columns of it.
+    """
     dealt = rows.repartition(*keys)
-    bounds = dealt.groupBy(*keys).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
-    return dealt.join(bounds, keys)
+    bounds = dealt.groupBy(*keys).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max("at").alias("far"))
+    return dealt.join(bounds.where("least <> most and far >= 0"), keys)
+
+
+def only_ids(texts: DataFrame, ids: DataFrame, log_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``texts`` whose id may be in ``ids``: all that are, and few others.
+
+    A bitmap of 2**log_bits hashed ids, built by aggregation in pieces of 32,768
+    bits, decides; its size does not grow with the data, so it is broadcast.
+    It only spares the join that follows the shuffle of texts that match nothing.
+    """
+    spot = F.pmod(F.xxhash64("id"), F.lit(1 << log_bits))
+    bits = (
+        ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("piece"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    )
+    octet = F.conv(F.hex(F.expr("substring(bits, int(bitmap_bit_position(spot) div 8) + 1, 1)")), 16, 10).cast("int")
+    marked = texts.withColumn("spot", spot).withColumn("piece", F.bitmap_bucket_number("spot"))
+    chosen = marked.join(F.broadcast(bits), "piece").where(octet.bitwiseAND(F.expr("shiftleft(1, int(bitmap_bit_position(spot) % 8))")) != 0)
+    return chosen.select(*texts.columns)
 
 
 def _by_document(rows: DataFrame) -> DataFrame:
@@ -181,6 +211,7 @@ def windows(texts: DataFrame, window: int) -> DataFrame:
     width = window - PERIOD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Rows()
         for batch in batches:
             for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 words = _words(text.as_py())
@@ -188,15 +219,8 @@ def windows(texts: DataFrame, window: int) -> DataFrame:
                 at = candidate_starts(marks[marks + width <= len(words)], len(words), window, width)
                 if len(at):
                     h, g = (window_hashes(words, window, at, which) for which in (0, 1))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(h.view(np.int64)),
-                            pa.array((g & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)),
-                            pa.array(np.full(len(at), doc, np.int64)),
-                            pa.array(at.astype(np.int32)),
-                        ],
-                        ["h", "g", "id", "at"],
-                    )
+                    yield from out.add(doc, at, h, (g & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+        yield from out.rest()
 
     return texts.select("id", "text", "places").mapInArrow(run, "h long, g int, id long, at int")
 
@@ -254,9 +278,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = _with_bounds(anchors(docs, id_col, text_col, window), ["h"]).select("id", "at")
     places = cut(_by_document(shared.join(copies, "id", "left_anti")))
     texts = _source(docs, id_col, text_col)
-    every = _with_bounds(windows(texts.join(places, "id"), window), ["h", "g"]).where("id > least")
+    every = _with_bounds(windows(only_ids(texts, places).join(places, "id"), window), ["h", "g"]).where("id > least")
     repeated = cut(every.groupBy("id").agg(F.collect_list(F.struct("at", "h")).alias("repeated")))
-    return marked, remaining(texts.join(repeated, "id"), window)
+    return marked, remaining(only_ids(texts, repeated).join(repeated, "id"), window)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
