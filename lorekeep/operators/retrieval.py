@@ -28,7 +28,7 @@ QUERY_BLOCK = 2_048
 PLACES = 12
 
 
-class RetrievalError(Exception):
+class RetrievalError(RuntimeError):
     """A search that must not run."""
 
 

@@ -43,7 +43,7 @@ def collect(spark: SparkSession, settings: Settings) -> Collected:
     """Chunks of all documents and, where wanted, of the owner's commits."""
     required_exclusions(settings.exclude_projects, "exclude_projects")
     found = documents.discover(spark, settings).persist()
-    texts, unreadable = documents.read_texts(spark, found)
+    texts, unreadable = documents.read_texts(found)
     chunks = chunking.chunk_documents(texts)
     classes = None
     if settings.git_enabled:

@@ -1,7 +1,7 @@
 """Documents under a scan root: found, filtered, assigned to projects and read.
 
-Spark's file sources skip names that begin with ``_`` or ``.``, so folders are
-listed first (a partition for each top folder) and files read by that list.
+Spark's file sources skip names that begin with ``_`` or ``.``, so tasks list
+the folders (a row for each top folder) and read the files that are wanted.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import decode_utf8, matches_any
 from .settings import Settings
@@ -103,15 +104,35 @@ def discover(spark: SparkSession, settings: Settings) -> DataFrame:
     return rows.orderBy(F.lower("project"), F.lower("rel_path"))
 
 
-def read_texts(spark: SparkSession, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with ``text``, documents that could not be read)."""
-    keyed = found.withColumn("_uri", F.concat(F.lit("file:"), "path"))
-    paths = [r["path"] for r in found.select("path").collect()]  # the file source takes its paths from the driver
-    if not paths:
-        return found.withColumn("text", F.lit("")), found
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load([p for p in paths if os.path.exists(p)])
-    read = files.select(F.regexp_replace("path", "^file:/+", "file:/").alias("_uri"), decode_utf8("content").alias("text"))
-    return keyed.join(read, "_uri").drop("_uri"), keyed.join(read, "_uri", "left_anti").drop("_uri")
+def read_texts(found: DataFrame, tasks: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(documents with ``text``, documents that could not be read).
+
+    Tasks open the files themselves, as they list them: the file source would
+    leave out names that begin with ``_``, even when they are asked for.
+    """
+
+    names = [*found.columns, "content"]
+    at_path = names.index("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                read = [_content(p) for p in part.column(at_path).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(read, pa.binary())], names)
+
+    kind = T.StructType([*found.schema.fields, T.StructField("content", T.BinaryType())])
+    read = found.repartition(tasks, "path").mapInArrow(run, kind).persist()
+    texts = read.where("content is not null").withColumn("text", decode_utf8("content")).drop("content")
+    return texts, read.where("content is null").drop("content")
+
+
+def _content(path: str) -> bytes | None:
+    try:
+        with open(path, "rb") as file:
+            return file.read()
+    except OSError:
+        return None
 
 
 def per_project(found: DataFrame) -> DataFrame:
