@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: what counts as white space, for Java's regular expressions.
-WS = r"[\s\x0B\x1c-\x1f\x85   -     　]"
+WS = r"[\s\x0B\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Fixed value: what ends a line.
-LINE_END = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
 
 CHARS_PER_TOKEN = 4
 SNIPPET_CHARS = 240
