@@ -6,6 +6,7 @@ import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,15 +32,34 @@ def keyword_counts(texts: DataFrame, id_col: str, text_col: str, dimensions: int
 
 
 def keyword_vectors(texts: DataFrame, id_col: str, text_col: str, dimensions: int = 256) -> DataFrame:
-    """``(id, embedding)``: keyword counts as a unit vector; a text without words gives a zero vector."""
+    """``(id, embedding)``: keyword counts as a unit vector; a text without words gives a zero vector.
+
+    Words are counted in the JVM; only the few counts of each text go through
+    Arrow to be laid out, as a lookup for each dimension would cost far more.
+    """
     counts = keyword_counts(texts, id_col, text_col, dimensions)
-    held = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dimension", "weight"))).alias("m"))
-    every = F.sequence(F.lit(0), F.lit(dimensions - 1))
-    dense = F.transform(every, lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double"))
+    held = counts.groupBy("id").agg(F.collect_list(F.struct("dimension", "weight")).alias("e"))
     ids = texts.select(F.col(id_col).alias("id")).distinct()
-    empty = F.coalesce("m", F.create_map().cast("map<int,bigint>"))
-    filled = ids.join(held, "id", "left").withColumn("m", empty).select("id", dense.alias("v"))
-    return filled.select("id", unit(F.col("v")).alias("embedding"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, weights = batch.column(1), batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(at.offsets.to_numpy()))
+            dense = np.zeros((batch.num_rows, dimensions))
+            dense[rows, at.flatten().to_numpy(zero_copy_only=False)] = weights
+            size = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
+            dense = np.divide(dense, size, out=dense, where=size > 0)
+            ends = pa.array(np.arange(0, dense.size + 1, dimensions, dtype=np.int32))
+            vectors = pa.ListArray.from_arrays(ends, pa.array(dense.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], ["id", "embedding"])
+
+    filled = ids.join(held, "id", "left").select(
+        "id",
+        F.coalesce(F.col("e.dimension"), F.array().cast("array<int>")).alias("at"),
+        F.coalesce(F.col("e.weight"), F.array().cast("array<bigint>")).alias("weights"),
+    )
+    kind = T.StructType([texts.select(F.col(id_col).alias("id")).schema["id"], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    return filled.mapInArrow(run, kind)
 
 
 class Embedder(ABC):
