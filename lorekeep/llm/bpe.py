@@ -6,10 +6,7 @@ that has a merge rank to all its positions.  Ranks are taken in ascending
 order: all positions of the lowest active pair are merged, left to right, and
 only the lists of the pairs beside them change.
 
-Texts are cut before a space that stands before a non-space.  The pattern
-never matches across such a place (a match of non-spaces ends at white space,
-a run of white space leaves its last space to the word, and nothing looks
-behind), so the pieces can be encoded apart and remembered.
+A worker remembers the words that it has met, so a word is merged once.
 
 Defined results: null texts count as empty; an empty text has no tokens and
 decodes to itself; special strings become their special ids, as the
@@ -22,7 +19,7 @@ import json
 import re
 from array import array
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
@@ -36,10 +33,9 @@ from pyspark.sql import functions as F
 #: Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pieces and words that are remembered in a Python worker, and characters encoded at once.
-CACHE_PIECES = 250_000
-CACHE_WORDS = 500_000
-BLOCK_CHARS = 4_000_000
+#: Words that a Python worker remembers in each of two generations, and characters encoded at once.
+CACHE_WORDS = 600_000
+BLOCK_CHARS = 2_000_000
 #: Token ids fit into so many bits; a pair's key is its left id, shifted, and its right id.
 ID_BITS = 20
 
@@ -54,8 +50,31 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Recent:
+    """What was looked up last, in two generations: what is used again outlives the change to a new one."""
+
+    def __init__(self, size: int):
+        self._size = size
+        self.held: dict = {}
+        self._old: dict = {}
+
+    def missing(self, keys: set) -> set:
+        """Keys that must be learned; those of the older generation become young again."""
+        if len(self.held) > self._size:
+            self._old, self.held = self.held, {}
+        gone = keys.difference(self.held)
+        back = gone.intersection(self._old)
+        self.held.update((k, self._old[k]) for k in back)
+        return gone - back
+
+
 def split_pieces(text: str) -> list[str]:
-    """Cut before each space that a non-space follows; the first piece carries a mark, the rest lost their space."""
+    """Cut before each space that a non-space follows; the first piece carries a mark, the rest lost their space.
+
+    The word pattern never matches across such a place: a match of non-spaces
+    ends at white space, a run of white space leaves its last space to the
+    word, and nothing looks behind.  So the pieces can be encoded apart.
+    """
     parts = text.split(" ")
     if _BEFORE_SPACE.search(text):
         joined: list[list[str]] = [[parts[0]]]
@@ -104,8 +123,7 @@ class Bpe:
                 raise ValueError("a merge uses a token that only a later merge makes")
         self._word = regex.compile(PATTERN)
         self._special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
-        self._known: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
+        self._words = Recent(CACHE_WORDS)
 
     # --- merging
 
@@ -159,40 +177,28 @@ class Bpe:
 
     # --- whole texts
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        split = {p: self._word.findall(unmarked(p)) for p in pieces}
-        if len(self._words) > CACHE_WORDS:
-            self._words.clear()
-        known = self._words
-        words = list({w for found in split.values() for w in found if w not in known})
-        for word, ids in zip(words, self.merge_words([w.encode() for w in words]), strict=True):
-            known[word] = array("I", ids).tobytes()
-        for piece, found in split.items():
-            self._known[piece] = b"".join([known[w] for w in found])
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, encoded together."""
-        plans: list[list[list[str] | bytes]] = []
+        plans: list[list[list[str]]] = []
         for text in texts:
-            plan: list[list[str] | bytes] = []
-            at = 0
+            if self._special.search(text) is None:
+                plans.append([self._word.findall(text)])
+                continue
+            plan, at = [], 0
             for m in self._special.finditer(text):
-                plan += [split_pieces(text[at : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
+                plan += [self._word.findall(text[at : m.start()]), [m[0]]]
                 at = m.end()
-            plans.append([*plan, split_pieces(text[at:])])
-        if len(self._known) > CACHE_PIECES:
-            self._known.clear()
-        known = self._known
-        new: set[str] = set()
-        for plan in plans:
-            for part in plan:
-                if isinstance(part, list):
-                    new.update(set(part).difference(known))
-        if new:
-            self._learn(new)
-        return [
-            b"".join([p if isinstance(p, bytes) else b"".join([known[x] for x in p]) for p in plan]) for plan in plans
-        ]
+            plans.append([*plan, self._word.findall(text[at:])])
+        used: set[str] = set()
+        used.update(*(part for plan in plans for part in plan))
+        if new := list(self._words.missing(used)):
+            plain = [w for w in new if w not in self.special]
+            known = self._words.held
+            known.update((w, array("I", [self.special[w]]).tobytes()) for w in new if w in self.special)
+            for word, ids in zip(plain, self.merge_words([w.encode() for w in plain]), strict=True):
+                known[word] = array("I", ids).tobytes()
+        known = self._words.held.__getitem__
+        return [b"".join([b"".join(map(known, part)) for part in plan]) for plan in plans]
 
     def decode(self, ids: bytes) -> str:
         """Text of ids given as little-endian unsigned 32-bit bytes; bad UTF-8 gives replacement marks."""
@@ -248,6 +254,22 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(run, "id long, ids binary, text string")
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, ids, text)`` per row, encoded and decoded in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in batches:
+            for start, texts in blocks(batch.column(1).to_pylist()):
+                ids = bpe.encode(texts)
+                decoded = pa.array([bpe.decode(i) for i in ids], pa.string())
+                own = batch.column(0).slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([own, pa.array(ids, pa.binary()), decoded], ["id", "ids", "text"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(run, "id long, ids binary, text string")
+
+
 def digests(encoded: DataFrame) -> DataFrame:
     """Counts and digests of ``(id, ids, text)`` as ``decode`` gives it."""
     return encoded.select(
