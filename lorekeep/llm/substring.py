@@ -169,7 +169,7 @@ def anchors(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFra
                     yield from out.add(doc, at, window_hashes(words, width, at))
         yield from out.rest()
 
-    return _source(docs, id_col, text_col).mapInArrow(run, "h long, id long, at int")
+    return _source(docs, id_col, text_col).mapInArrow(run, "h long not null, id long not null, at int not null")
 
 
 def _with_bounds(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -222,7 +222,7 @@ def windows(texts: DataFrame, window: int) -> DataFrame:
                     yield from out.add(doc, at, h, (g & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
         yield from out.rest()
 
-    return texts.select("id", "text", "places").mapInArrow(run, "h long, g int, id long, at int")
+    return texts.select("id", "text", "places").mapInArrow(run, "h long not null, g int not null, id long not null, at int not null")
 
 
 def remaining(texts: DataFrame, window: int) -> DataFrame:
@@ -276,7 +276,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # An id may repeat; it is left out only if all its rows are copies.
     copies = marked.groupBy("id").agg(F.min("copied").alias("copied")).where("copied").select("id")
     shared = _with_bounds(anchors(docs, id_col, text_col, window), ["h"]).select("id", "at")
-    places = cut(_by_document(shared.join(copies, "id", "left_anti")))
+    # An anti join here would be pushed below the join by hash, and shuffle all anchors once more.
+    held = _by_document(shared).join(copies.withColumn("copied", F.lit(True)), "id", "left")
+    places = cut(held.where("copied is null").select("id", "places"))
     texts = _source(docs, id_col, text_col)
     every = _with_bounds(windows(only_ids(texts, places).join(places, "id"), window), ["h", "g"]).where("id > least")
     repeated = cut(every.groupBy("id").agg(F.collect_list(F.struct("at", "h")).alias("repeated")))
