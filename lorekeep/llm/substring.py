@@ -281,7 +281,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = cut(held.where("copied is null").select("id", "places"))
     texts = _source(docs, id_col, text_col)
     every = _with_bounds(windows(only_ids(texts, places).join(places, "id"), window), ["h", "g"]).where("id > least")
-    repeated = cut(every.groupBy("id").agg(F.collect_list(F.struct("at", "h")).alias("repeated")))
+    repeated = cut(every.groupBy("id").agg(F.collect_set(F.struct("at", "h")).alias("repeated")))
     return marked, remaining(only_ids(texts, repeated).join(repeated, "id"), window)
 
 
