@@ -170,6 +170,7 @@ def _usable(embedding: Column) -> Column:
 
 def class_links(classes: DataFrame, cosine: float, parts: int, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
     """``(id, n, root)`` partial counts and tree links of classes ``(id, weight, v)``."""
+    kind = dict(classes.dtypes)["v"]
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +228,7 @@ def class_links(classes: DataFrame, cosine: float, parts: int, tables: int = TAB
         if sum(x.num_rows for x in held) > 1:
             yield from pack([done(held)])
 
-    rows = cut(classes.mapInArrow(hash_rows, "table int, dim int, bucket long, home boolean, id long, weight long, v array<double>"))
+    rows = cut(classes.mapInArrow(hash_rows, f"table int, dim int, bucket long, home boolean, id long, weight long, v {kind}"))
     place = ["table", "dim", "bucket"]
     full = (
         rows.where("home").groupBy(*place).count().where(F.col("count") > 2 * block)
@@ -249,7 +250,9 @@ def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, tables: int = TABLES,
 ) -> DataFrame:
     """``(id, n_links, component, kept)`` per row."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # Floats travel as floats, at half the size; cosines are of doubles either way.
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
     marked = rows.withColumn("usable", _usable(F.col("v")) & F.col("id").isNotNull())
     keyed = marked.withColumns({"a": F.xxhash64("v"), "b": F.xxhash64(F.lit(1), F.col("v"))})
     members = keyed.where("usable").select("id", "a", "b")
