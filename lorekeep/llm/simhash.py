@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .cluster import cut
 from .components import connected_components
 
@@ -241,13 +242,16 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one per near-duplicate group: that with the least id.
 
+    Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or
+    more (``minhash``); the three bits of fingerprints are op1's rule.
+
     Rows that repeat an id stand for one document and one of them stays.  Rows
     without an id cannot be told apart and all stay.
     """
-    found = near_duplicates(docs, id_col, text_col, max_bits)
+    found = minhash.near_duplicates(docs, id_col, text_col)
     kept = found.where("id = component").select(F.col("id").alias(id_col)).distinct()
     named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
     return named.unionByName(docs.where(F.col(id_col).isNull()))

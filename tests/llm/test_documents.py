@@ -115,6 +115,27 @@ def test_simhash_odd_rows(odder):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 5, 6, 7]
 
 
+def test_keep_one_equals_jaccard_brute_force(spark):
+    """Near copies over a range of similarities about 0.8, chains of them among them."""
+    rng = random.Random(12)
+    docs = []
+    for _ in range(40):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.choice([12, 60, 300]))]
+        docs.append(base)
+        for _ in range(rng.randint(1, 8)):
+            copy = list(rng.choice([base, docs[-1]]))
+            for _ in range(max(1, round(len(copy) * rng.choice([0.005, 0.02, 0.03, 0.05])))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 10**6)}"
+            docs.append(copy)
+    sets = [{tuple(d[i : i + 5]) for i in range(len(d) - 4)} for d in docs]
+    near = [(a, b) for a in range(len(docs)) for b in range(a) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    root = components(range(len(docs)), near)
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    want = sorted(i for i in range(len(docs)) if root[i] == i)
+    assert 40 <= len(want) < len(docs) - 40
+    assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == want
+
+
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op2_quality(spark, sf).join(queries.table(spark, sf, "labels"), "doc_id").collect()
