@@ -66,7 +66,7 @@ def diff_lines(diffs: DataFrame, key: str = "hash", diff_col: str = "diff") -> D
     each = each.withColumn("header", (F.col("block") > 0) & (hunks == 0))
     named = (
         F.when(starts, F.regexp_extract("line", r"^.* b/(.*)$", 1))
-        .when(F.col("header") & F.col("line").rlike(r"^(?:---|\+\+\+) "), F.substring("line", 5, 1_000_000))
+        .when(F.col("header") & F.col("line").rlike(r"^(?:---|\+\+\+) "), F.expr("substring(line, 5)"))
     )
     out = named.isNotNull() & (_path(named) != "/dev/null") & left_out_of_excerpts(_path(named))
     each = each.withColumn("skipped", F.max(F.coalesce(out, F.lit(False))).over(W.partitionBy(key, "block")))

@@ -121,13 +121,13 @@ def added_lines(diffs: DataFrame, key: str = "hash", diff_col: str = "diff") ->
     in_block = W.partitionBy(key, "block").orderBy("n")
     each = each.withColumn("start", F.when(head != "", head.cast("int")))
     each = each.withColumn("hunk", F.count("start").over(in_block))
-    name = F.when((F.col("hunk") == 0) & F.col("raw").startswith("+++ "), F.regexp_replace(F.substring("raw", 5, 1_000_000), r'^"?b/|"?\s*$', ""))
+    name = F.when((F.col("hunk") == 0) & F.col("raw").startswith("+++ "), F.regexp_replace(F.expr("substring(raw, 5)"), r'^"?b/|"?\s*$', ""))
     each = each.withColumn("file", F.max(name).over(W.partitionBy(key, "block")))
     in_hunk = W.partitionBy(key, "block", "hunk").orderBy("n")
     new_side = F.when(F.col("start").isNull() & (F.col("hunk") > 0) & F.col("raw").rlike(r"^[+ ]"), 1).otherwise(0)
     each = each.withColumn("line", F.first("start", ignorenulls=True).over(in_hunk) + F.sum(new_side).over(in_hunk) - 1)
     return each.where((F.col("hunk") > 0) & F.col("start").isNull() & F.col("raw").startswith("+")).select(
-        key, "file", "line", F.substring("raw", 2, 1_000_000).alias("text")
+        key, "file", "line", F.expr("substring(raw, 2)").alias("text")
     )
 
 

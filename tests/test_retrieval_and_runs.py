@@ -135,6 +135,13 @@ def test_added_lines_are_numbered(spark):
     assert sorted((r.file, r.line, r.text) for r in got.collect()) == [("a.py", 5, "five"), ("a.py", 6, "six"), ("a.py", 11, "eleven"), ("b", 1, "one")]
 
 
+def test_added_lines_are_whole(spark):
+    text = "x" * 1_000_000 + " jo@corp.io"
+    diff = f"diff --git a/f b/f\n--- a/f\n+++ b/f\n@@ -0,0 +1 @@\n+{text}"
+    got = leaks.added_lines(spark.createDataFrame([("h", diff)], "hash string, diff string"))
+    assert [(r.file, r.line, r.text == text) for r in got.collect()] == [("f", 1, True)]
+
+
 def run(where, *args):
     base = ["git", "-c", "user.name=Me", "-c", "user.email=me@x.y", "-c", "commit.gpgsign=false", "-c", "init.defaultBranch=main"]
     subprocess.run([*base, "-C", str(where), *args], check=True, capture_output=True)
