@@ -8,15 +8,24 @@ only the lists of the pairs beside them change.
 
 A worker remembers the words that it has met, so a word is merged once.
 
+Texts are split into words by a fast pattern.  The ``regex`` module may know
+letters and numbers that the tokenizers library does not (they follow different
+Unicode versions), so the library's own classes are read from it once for each
+worker, and texts that hold a character on which the two differ are split again
+by a pattern of the library's classes.
+
 Defined results: null texts count as empty; an empty text has no tokens and
 decodes to itself; special strings become their special ids, as the
-tokenizers library does by default; rows that repeat are encoded each.
+tokenizers library does by default; rows that repeat are encoded each; a very
+long text is encoded whole, in a block of its own, and a very long unbroken
+word is merged like any other but not remembered.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import string
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,8 +42,13 @@ from pyspark.sql import functions as F
 #: Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The same with the classes of letters and numbers left open.
+CLASSES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+"
+
 #: Words that a Python worker remembers in each of two generations, and characters encoded at once.
 CACHE_WORDS = 600_000
+#: Longer words are not remembered, so that what is remembered is bounded in bytes as well.
+CACHE_CHARS = 256
 BLOCK_CHARS = 2_000_000
 #: Token ids fit into so many bits; a pair's key is its left id, shifted, and its right id.
 ID_BITS = 20
@@ -50,6 +64,39 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _ranges(chars: list[str]) -> str:
+    """The inside of a character class that holds ``chars``, given in ascending order."""
+    points = np.array(list(map(ord, chars)))
+    cuts = np.flatnonzero(np.diff(points) > 1)
+    first, last = points[np.r_[0, cuts + 1]] if len(points) else points, points[np.r_[cuts, -1]] if len(points) else points
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first.tolist(), last.tolist(), strict=True))
+
+
+@lru_cache(maxsize=2)
+def borders(path: str) -> tuple[str, str]:
+    """(word pattern, class of odd characters) of a vocabulary file, as the tokenizers library has them.
+
+    The library splits a text of all characters in ascending order into runs of
+    one class, and each run's class shows by what it joins.  Odd are those of
+    which the ``regex`` module thinks otherwise.  Planes 4 and up hold neither
+    letters nor numbers.
+    """
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x40000)]))
+    found: dict[str, list[str]] = {"a": list(string.ascii_letters[26:] + string.ascii_letters[:26]), "1": list(string.digits)}
+    odd: list[str] = []
+    others = {"a": regex.compile(r"\P{L}"), "1": regex.compile(r"\P{N}"), None: regex.compile(r"[\p{L}\p{N}]")}
+    for _, (start, end) in split(every):
+        run = every[start:end]
+        joins = next((c for c in found if len(split(c + run[0])) == 1), None)
+        if joins is not None:
+            found[joins] += run
+        odd += others[joins].findall(run)
+    return CLASSES.format(letters=_ranges(found["a"]), numbers=_ranges(found["1"])), _ranges(odd)
+
+
 class Recent:
     """What was looked up last, in two generations: what is used again outlives the change to a new one."""
 
@@ -121,7 +168,10 @@ class Bpe:
             made_at.setdefault(new, rank)
             if max(made_at.get(left, -1), made_at.get(right, -1)) >= rank:
                 raise ValueError("a merge uses a token that only a later merge makes")
+        exact, odd = borders(path)
         self._word = regex.compile(PATTERN)
+        self._exact = regex.compile(exact)
+        self._odd = re.compile(f"[{odd}]" if odd else r"(?!)")
         self._special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
         self._words = Recent(CACHE_WORDS)
 
@@ -177,28 +227,57 @@ class Bpe:
 
     # --- whole texts
 
+    def _split(self, text: str, word: regex.Pattern) -> list[str]:
+        """The words of a text, special strings among them."""
+        if self._special.search(text) is None:
+            return word.findall(text)
+        found, at = [], 0
+        for m in self._special.finditer(text):
+            found += [*word.findall(text[at : m.start()]), m[0]]
+            at = m.end()
+        return found + word.findall(text[at:])
+
+    def _learn(self, words: set[str]) -> dict[str, bytes | None]:
+        """Ids of words not met before; None for those with an odd character, whose texts must be split again."""
+        found: dict[str, bytes | None] = {w: array("I", [self.special[w]]).tobytes() for w in words if w in self.special}
+        plain = [w for w in words if w not in found]
+        if self._odd.search("\n".join(plain)):
+            found.update((w, None) for w in plain if self._odd.search(w))
+            plain = [w for w in plain if w not in found]
+        for word, ids in zip(plain, self.merge_words([w.encode() for w in plain]), strict=True):
+            found[word] = array("I", ids).tobytes()
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, encoded together."""
-        plans: list[list[list[str]]] = []
-        for text in texts:
-            if self._special.search(text) is None:
-                plans.append([self._word.findall(text)])
-                continue
-            plan, at = [], 0
-            for m in self._special.finditer(text):
-                plan += [self._word.findall(text[at : m.start()]), [m[0]]]
-                at = m.end()
-            plans.append([*plan, self._word.findall(text[at:])])
+        plans = [self._split(text, self._word) for text in texts]
         used: set[str] = set()
-        used.update(*(part for plan in plans for part in plan))
-        if new := list(self._words.missing(used)):
-            plain = [w for w in new if w not in self.special]
-            known = self._words.held
-            known.update((w, array("I", [self.special[w]]).tobytes()) for w in new if w in self.special)
-            for word, ids in zip(plain, self.merge_words([w.encode() for w in plain]), strict=True):
-                known[word] = array("I", ids).tobytes()
-        known = self._words.held.__getitem__
-        return [b"".join([b"".join(map(known, part)) for part in plan]) for plan in plans]
+        used.update(*plans)
+        long = {w for w in used if len(w) > CACHE_CHARS}
+        held = self._words
+        if new := held.missing(used - long):
+            held.held.update(self._learn(new))
+        passing = self._learn(long) if long else {}
+        odd = {w for w in used - long if held.held[w] is None} | {w for w, ids in passing.items() if ids is None}
+        if odd:
+            # What is odd is found again in its text, and split there with what stands beside it.
+            again = [row for row, plan in enumerate(plans) if not odd.isdisjoint(plan)]
+            for row in again:
+                plans[row] = self._split(texts[row], self._exact)
+            exact = set().union(*(plans[row] for row in again))
+            passing |= self._learn_exact(exact.difference(w for w in used if w not in odd))
+        if passing:
+            known = {**{w: held.held[w] for w in used if w in held.held}, **passing}.__getitem__
+        else:
+            known = held.held.__getitem__
+        return [b"".join(map(known, plan)) for plan in plans]
+
+    def _learn_exact(self, words: set[str]) -> dict[str, bytes | None]:
+        """Ids of words that the exact pattern has cut."""
+        plain = [w for w in words if w not in self.special]
+        merged = self.merge_words([w.encode() for w in plain])
+        found: dict[str, bytes | None] = {w: array("I", ids).tobytes() for w, ids in zip(plain, merged, strict=True)}
+        return found | {w: array("I", [self.special[w]]).tobytes() for w in words if w in self.special}
 
     def decode(self, ids: bytes) -> str:
         """Text of ids given as little-endian unsigned 32-bit bytes; bad UTF-8 gives replacement marks."""

@@ -1,24 +1,33 @@
-"""What the operators need from the cluster: a shared folder and lineage cuts."""
+"""What the operators need from the cluster: a shared folder, lineage cuts and stored tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bits of the bitmap that picks rows before they are shuffled: 4 MB whatever the data.
+FILTER_BITS = 25
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what the session has set.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Where neither is set, a local session (one machine, as in tests) gets a
+    temporary folder; a cluster's is an error, as its machines share none.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -34,3 +43,52 @@ def cut(df: DataFrame) -> DataFrame:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like ``cut``, but as compressed columns: for tables with wide rows."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def only_ids(texts: DataFrame, ids: DataFrame, log_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``texts`` whose id may be in ``ids``: all that are, and few others.
+
+    A bitmap of 2**log_bits hashed ids, built by aggregation in pieces of 32,768
+    bits, decides; its size does not grow with the data, so it is broadcast.
+    It only spares the join that follows the shuffle of texts that match nothing.
+    """
+    spot = F.pmod(F.xxhash64("id"), F.lit(1 << log_bits))
+    bits = (
+        ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("piece"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    )
+    octet = F.conv(F.hex(F.expr("substring(bits, int(bitmap_bit_position(spot) div 8) + 1, 1)")), 16, 10).cast("int")
+    marked = texts.withColumn("spot", spot).withColumn("piece", F.bitmap_bucket_number("spot"))
+    chosen = marked.join(F.broadcast(bits), "piece").where(octet.bitwiseAND(F.expr("shiftleft(1, int(bitmap_bit_position(spot) % 8))")) != 0)
+    return chosen.select(*texts.columns)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Rows of equal values in the first ``keys`` columns, which are whole numbers and sorted, as one batch each."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+
+    def whole() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.concat_batches(held)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in range(keys)]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
+            key = tuple(int(c[a]) for c in columns)
+            if held and key != last:
+                yield whole()
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()

@@ -1,22 +1,29 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles: MinHash finds candidates, each is verified.
+"""Near-duplicates by the Jaccard similarity of five-word shingles, each link verified.
 
-Texts with the same set of shingles are one class.  A class has a bucket for
-each of 25 bands of four minima, so a pair at a similarity of 0.8 shares none
-with a chance of (1 - 0.8^4)^25, two in a million; likelier pairs less.
+Texts with the same set of shingles are one class.  Candidates come from the
+vantage-point trees (five-word fingerprints within three bits) and from
+MinHash: a class has a bucket for each of 25 bands of four minima, so a pair at
+a similarity of 0.8 shares none with a chance of (1 - 0.8^4)^25, two in a
+million; likelier pairs less.
 
-Links are only needed up to components.  In a few rounds
-each class is first held against one that is chosen in its buckets; what then lies in
-different components of a bucket is compared pair by pair.  A link counts after
-its shingle sets (64-bit hashes) are intersected.  Joins on a class or bucket
-that many rows name are dealt out in parts.
+A class keeps a byte of each of its 100 minima.  At a similarity of 0.8 on
+average 80 agree, and fewer than LIKELY do with a chance of about one in
+ten million; candidates below are not looked at further.  All others are
+verified on the sets of 64-bit shingle hashes.
+
+Links are only needed up to components.  In a few rounds each class is held
+against the likeliest of those that are chosen in its buckets; what then lies
+in different components of a bucket is compared in blocks.  Only texts of
+classes with candidates are shuffled, one for each class.
 
 A null or wordless text has the empty set and links with its like only; a text
-of fewer than five words is one shingle.
+of fewer than five words is one shingle; a very long text has as many shingles
+as it has, taken 1,024 at a time for the minima.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +31,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut
+from .cluster import cut, only_ids, runs, stored
 from .components import connected_components
 
 SEED = 42
 SHINGLE = 5
 BANDS, ROWS = 25, 4
-#: Rounds in which a bucket's classes are held against one of them.
-ROUNDS = 3
-#: Rows of one key that a task joins; keys with more are dealt out in parts.
-PART = 1_024
-#: Bits of the map that keeps the shingles of classes without candidates from being shuffled (4 MB).
-MAP_BITS = 1 << 25
+#: Minima of which a byte must agree in a pair that is verified: six standard deviations below 80 of 100.
+LIKELY = 56
+#: Rounds in which classes are held against one of their buckets.
+ROUNDS = 2
+#: Rows of one class or bucket that a task handles at once; more are dealt out in parts.
+PART = 2_048
 
 _odd = np.random.default_rng(SEED).integers(1 << 63, size=(3, 128), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES, _TIMES, _PLUS = _odd[0, :SHINGLE], _odd[1, : BANDS * ROWS], _odd[2, : BANDS * ROWS]
@@ -49,7 +56,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: bytes) -> np.ndarray:
     """The distinct shingles of one UTF-8 text as sorted hashes."""
-    words = text.lower().split()  # as in simhash
+    words = text.lower().split()  # on bytes: A-Z only, and exactly \x20 \x09-\x0D
     if len(words) < SHINGLE:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
     digest = xxhash.xxh64_intdigest
@@ -65,162 +72,208 @@ def class_of(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """The bucket of each band; a text without shingles has none."""
-    if not len(found):
-        return np.zeros(0, np.uint64)
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), 4096):
+        bits = np.unpackbits(found[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(found)).view(np.uint64)[0])
+
+
+def minima(found: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), 1024):
         least = np.minimum(least, (found[at : at + 1024, None] * _TIMES + _PLUS).min(axis=0))
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """The bucket of each band."""
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
     for column in least.reshape(BANDS, ROWS).T:
         keys = _mixed(keys * _PLACES[0] + column)
     return keys
 
 
-def _longs(values: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
-    flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
-
-
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, c, n, keys)`` per row: its class, number of shingles and buckets."""
+    """``(id, t, c, n, fp, keys, sketch)`` per row with an id: hash of its text, class, shingles, fingerprint, buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, n, keys = [], [], []
-            for text in batch.column(1).cast(pa.large_binary()).to_pylist():
-                found = shingles(text or b"")
+            c, n, fp, keys, sketch = [], [], [], [], []
+            for text in batch.column(2):
+                found = shingles((text.as_py() or "").encode("utf-8", "replace"))
                 c.append(class_of(found))
                 n.append(len(found))
-                keys.append(band_keys(found))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(c, np.uint64).view(np.int64)), pa.array(np.array(n, np.int64)), _longs(keys)],
-                ["id", "c", "n", "keys"],
-            )
-
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, c long, n long, keys array<long>")
-
-
-def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """``(c, n, s)``: the shingles of each class in ``wanted``."""
-    spark = docs.sparkSession
-    place = F.pmod("c", F.lit(MAP_BITS))
-    one = F.lit(1).cast("int")
-    words = wanted.groupBy(F.floor(place / 32).cast("int").alias("w")).agg(
-        F.bit_or(F.call_function("shiftleft", one, F.pmod("c", F.lit(32)).cast("int"))).alias("bits")
-    ).toPandas()
-    bits = np.zeros(MAP_BITS // 32, np.uint32)
-    bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.int32).view(np.uint32)
-    shared = spark.sparkContext.broadcast(bits)
+                fp.append(fingerprint(found))
+                least = minima(found)
+                keys.append(band_keys(least) if len(found) else np.zeros(0, np.uint64))
+                sketch.append(least.astype(np.uint8).tobytes())
+            ends = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            columns = [
+                *batch.columns[:2], pa.array(np.array(c, np.uint64).view(np.int64)), pa.array(np.array(n, np.int64)),
+                pa.array(np.array(fp, np.uint64).view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64))),
+                pa.array(sketch, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "t", "c", "n", "fp", "keys", "sketch"])
+
+    source = _texts(docs, id_col, text_col).where("id is not null")
+    return source.mapInArrow(run, "id long, t long, c long, n long, fp long, keys array<long>, sketch binary")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+
+
+def class_texts(docs: DataFrame, id_col: str, text_col: str, marked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(c, text)``: one text of each class in ``wanted``."""
+    named = marked.select("id", "t", "c").join(wanted, "c", "left_semi")
+    one = cut(named.groupBy("c").agg(F.min(F.struct("id", "t")).alias("one")).select("c", "one.id", "one.t"))
+    rows = only_ids(_texts(docs, id_col, text_col).where("id is not null"), one)
+    return rows.join(one, ["id", "t"]).dropDuplicates(["c"]).select("c", "text")
+
+
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(a, hub, same)``: pairs near in size of which LIKELY minima or more agree."""
+
+    def side(name: str) -> DataFrame:
+        return classes.select(F.col("c").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
-            c, sets = [], []
-            for text in batch.column(0).cast(pa.large_binary()).to_pylist():
-                found = shingles(text or b"")
-                one = class_of(found)
-                if int(known[one % MAP_BITS // 32]) >> (one % 32) & 1:
-                    c.append(one)
-                    sets.append(found)
-            if c:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)), _longs(sets)], ["c", "s"])
-
-    # Copies of a text are in the same class, and often many: each task passes one on, and one stays.
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "c long, s array<long>")
-    one_each = found.groupBy("c").agg(F.first("s").alias("s"))
-    return one_each.join(wanted.select("c").distinct(), "c", "left_semi").select("c", F.size("s").alias("n"), "s")
-
-
-def _joined(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """Pairs with the shingles of the class in column ``side``, a class that many pairs name in parts."""
-    parts = pairs.groupBy(side).agg(F.ceil(F.count("*") / PART).alias("parts"))
-    named = sets.select(F.col("c").alias(side), F.col("s").alias(f"s_{side}")).join(parts, side)
-    dealt = named.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    salted = pairs.join(parts.where("parts > 1"), side, "left").withColumn(
-        "part", F.pmod(F.xxhash64("a", "b", F.lit(1)), F.coalesce("parts", F.lit(1).cast("long")))
-    )
-    return salted.drop("parts").join(dealt.drop("parts"), [side, "part"]).drop("part")
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in (2, 3))
+            same = (one == two).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same)], ["a", "hub", "same"]).filter(pa.array(same >= LIKELY))
 
+    both = pairs.join(side("a"), "a").join(side("hub"), "hub").where(5 * F.least("n_a", "n_hub") >= 4 * F.greatest("n_a", "n_hub"))
+    return both.select("a", "hub", "s_a", "s_hub").mapInArrow(run, "a long, hub long, same long")
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose Jaccard similarity is 0.8 or more."""
-    both = _joined(_joined(pairs, sets, "a"), sets, "b")
-    # x / (p + q - x) >= 4 / 5, in whole numbers
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    return both.where(9 * shared >= 4 * (F.size("s_a") + F.size("s_b"))).select("a", "b")
 
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``(a, hub)`` whose Jaccard similarity is 0.8 or more.
 
-def _near_in_size(n: str, m: str):
-    """No pair at 0.8 or more differs further in its numbers of shingles."""
-    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+    A hub's text is read once for each of its parts, and the others stream past it.
+    """
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    part = F.pmod(F.xxhash64("a", F.lit(SEED)), F.coalesce("parts", F.lit(1).cast("long")))
+    asking = pairs.select("a", "hub").join(parts.where("parts > 1"), "hub", "left").select("hub", part.alias("part"), "a")
+    asking = asking.join(texts.withColumnRenamed("c", "a"), "a").select("hub", "part", F.lit(1).alias("asks"), "a", "text")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    hubs = parts.select("hub", each.alias("part")).join(texts.withColumnRenamed("c", "hub"), "hub")
+    hubs = hubs.select("hub", "part", F.lit(0).alias("asks"), F.col("hub").alias("a"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.uint64)
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            hub, asks, a = (batch.column(c).to_pylist() for c in (0, 2, 3))
+            for row, text in enumerate(batch.column(4)):
+                other = shingles((text.as_py() or "").encode("utf-8", "replace"))
+                if not asks[row]:
+                    own = other
+                    continue
+                # x / (p + q - x) >= 4 / 5, in whole numbers
+                shared = len(np.intersect1d(own, other, assume_unique=True))
+                if 9 * shared >= 4 * (len(own) + len(other)):
+                    found.append((a[row], hub[row]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "hub"])
+
+    dealt = hubs.unionByName(asking).repartition("hub", "part").sortWithinPartitions("hub", "part", "asks")
+    return dealt.mapInArrow(run, "a long, hub long")
 
 
 def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of the buckets that still hold classes of more than one component."""
-    roots = connected_components(links, "a", "b").withColumnRenamed("node", "c")
-    named = rows.drop("root").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    roots = connected_components(links, "a", "hub").withColumnRenamed("node", "c")
+    named = rows.select("k", "c").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     still = named.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return cut(named.join(still.select("k"), "k", "left_semi"))
-
-
-def _open(rows: DataFrame) -> DataFrame:
-    """``(k, members, most)``: buckets with classes of more than one component, and the largest one's root."""
-    groups = rows.groupBy("k", "root").agg(F.count("*").alias("m"))
-    return groups.groupBy("k").agg(F.count("*").alias("roots"), F.sum("m").alias("members"), F.max_by("root", F.struct("m", "root")).alias("most")).where("roots > 1")
+    return cut(named.join(still.select("k"), "k", "left_semi").select("k", "c", "root"))
 
 
-def against_one(rows: DataFrame, turn: int) -> DataFrame:
-    """``(a, b)``: each class of an open bucket with one that is chosen for the bucket, of another component."""
+def against_one(rows: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+    """``(a, hub)``: each class of an open bucket with the likeliest of those chosen for its buckets."""
     order = F.struct(F.xxhash64("c", F.lit(turn)), "c")
-    chosen = rows.groupBy("k").agg(F.min_by(F.struct("c", "n", "root"), order).alias("one"), F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
-    found = rows.join(chosen.where("low < high").select("k", "one"), "k")
-    found = found.where((F.col("root") != F.col("one.root")) & _near_in_size("n", "one.n"))
-    # A class asks one of those chosen in its buckets; what that leaves open is for the next rounds.
-    first = F.struct(F.xxhash64("one.c", F.lit(turn)), "one.c")
-    asked = found.groupBy("c").agg(F.min_by("one.c", first).alias("d"))
-    return asked.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
-
-
-def across(rows: DataFrame) -> DataFrame:
-    """``(a, b)``: in each open bucket, all pairs of different components."""
-    inside = cut(rows.join(_open(rows).select("k", "members", "most"), "k").withColumn("parts", F.ceil(F.col("members") / PART)))
-    every = inside.select("k", F.pmod(F.xxhash64("c"), F.col("parts")).alias("part"), "c", "n", "root", "most")
-    # Of a pair of different components one at least is not in the bucket's largest; that one is sent to all parts.
-    fewer = inside.where("root <> most").select(
-        "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
-        F.col("c").alias("d"), F.col("n").alias("m"), F.col("root").alias("other"),
-    )
-    found = every.join(fewer, ["k", "part"]).where((F.col("root") != F.col("other")) & _near_in_size("n", "m"))
-    return found.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
-
+    chosen = rows.groupBy("k").agg(F.min_by(F.struct("c", "root"), order).alias("one"))
+    found = rows.join(chosen, "k").where(F.col("root") != F.col("one.root"))
+    pairs = likely(found.select(F.col("c").alias("a"), F.col("one.c").alias("hub")).distinct(), classes)
+    best = pairs.groupBy("a").agg(F.max_by("hub", F.struct("same", "hub")).alias("hub"))
+    # Two that chose each other are one pair.
+    return best.select(F.greatest("a", "hub").alias("a"), F.least("a", "hub").alias("hub")).distinct()
+
+
+def across(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(a, hub)``: in each open bucket, all likely pairs of different components."""
+    sizes = rows.groupBy("k").agg(F.ceil(F.count("*") / PART).alias("blocks"))
+    own = rows.join(sizes, "k").join(classes.select("c", "n", "sketch"), "c").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = own.withColumn("other", other).select(
+        "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "n", "root", "sketch"
+    )
 
-def class_links(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
-    """``(a, b)``: verified links that join what is within reach, of classes ``(c, n, keys)``."""
-    rows = classes.select("c", "n", F.explode("keys").alias("k"))
-    shared = rows.groupBy("k").count().where("count > 1").select("k")
-    rows = cut(rows.join(shared, "k").withColumn("root", F.col("c")))
-    sets = cut(shingle_sets(docs, text_col, rows))
-    links = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, 3):
+            i, own, c, n, root = (group.column(x).to_numpy() for x in (1, 3, 4, 5, 6))
+            j = int(group.column(2)[0].as_py())
+            sketch = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+            left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j)
+            found = []
+            for at in range(0, len(left), 64):
+                rows = left[at : at + 64]
+                fine = root[rows][:, None] != root[right]
+                fine &= 5 * np.minimum(n[rows][:, None], n[right]) >= 4 * np.maximum(n[rows][:, None], n[right])
+                x, y = np.nonzero(fine)
+                x, y = rows[x], right[y]
+                for a in range(0, len(x), 65_536):
+                    p, q = x[a : a + 65_536], y[a : a + 65_536]
+                    near = (sketch[p] == sketch[q]).sum(axis=1) >= LIKELY
+                    found.append((np.maximum(c[p[near]], c[q[near]]), np.minimum(c[p[near]], c[q[near]])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "hub"])
+
+    dealt = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+    return dealt.mapInArrow(run, "a long, hub long").distinct()
+
+
+def within_bits(classes: DataFrame, trees: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(a, hub)``: classes whose fingerprints are equal, or linked by the trees."""
+    prints = classes.where("n > 0").groupBy("fp").agg(F.min("c").alias("hub"))
+    equal = classes.where("n > 0").select("fp", F.col("c").alias("a")).join(prints, "fp").where("a <> hub").select("a", "hub")
+    near = trees(prints.select("fp"))
+    linked = (
+        near.join(prints.select(F.col("fp").alias("a"), F.col("hub").alias("c")), "a")
+        .join(prints.select(F.col("fp").alias("b"), "hub"), "b").select(F.col("c").alias("a"), "hub").where("a <> hub")
+    )
+    return equal.unionByName(linked).distinct()
+
+
+def near_duplicates(docs: DataFrame, trees: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, t, c, component)`` per row with an id: hash of its text, class, and the least id reachable over links.
+
+    ``trees`` gives links ``(a, b)`` between near fingerprints, for a frame of
+    distinct ones in column fp.
+    """
+    marked = stored(signatures(docs, id_col, text_col), "signatures")
+    firsts = [F.first(x).alias(x) for x in ("n", "fp", "keys", "sketch")]  # equal in a class
+    classes = stored(marked.groupBy("c").agg(F.min("id").alias("first"), *firsts), "classes")
+    dealt = classes.select("c", F.explode("keys").alias("k")).repartition("k")
+    shared = dealt.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    rows = cut(dealt.join(shared.select("k"), "k").select("k", "c"))
+    seeds = cut(within_bits(classes, trees))
+    wanted = rows.select("c").unionByName(seeds.select(F.col("a").alias("c"))).unionByName(seeds.select(F.col("hub").alias("c")))
+    texts = stored(class_texts(docs, id_col, text_col, marked, wanted.distinct()), "texts")
+    links = cut(verified(likely(seeds, classes), texts))
+    rows = _rooted(rows, links)
     for turn in range(ROUNDS + 1):
-        new = cut(verified(cut(against_one(rows, turn) if turn < ROUNDS else across(rows)), sets))
-        links = new if links is None else links.unionByName(new)
+        new = cut(verified(cut(against_one(rows, classes, turn) if turn < ROUNDS else across(rows, classes)), texts))
+        links = links.unionByName(new)
         if turn < ROUNDS:
             rows = _rooted(rows, links)
-            if rows.isEmpty():
-                break
-    return links
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, component)`` per row: the least id reachable over links of a Jaccard similarity of 0.8 or more."""
-    marked = cut(signatures(docs, id_col, text_col))
-    classes = cut(marked.groupBy("c").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    roots = connected_components(class_links(docs, text_col, classes), "a", "b").withColumnRenamed("node", "c")
+    roots = connected_components(links, "a", "hub").withColumnRenamed("node", "c")
     joined = classes.select("c", "first").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = joined.groupBy("root").agg(F.min("first").alias("component"))
     named = cut(joined.join(least, "root").select("c", "component"))
-    return marked.select("id", "c").join(named, "c").select("id", "component")
+    return marked.select("id", "t", "c").join(named, "c").select("id", "t", "c", "component")

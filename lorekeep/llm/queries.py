@@ -70,7 +70,8 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the shards into the shared folder and returns what they hold, a row for each sequence."""
     out = new_path(spark, "token-shards")
-    tokenshards.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), out)
+    pattern, _ = bpe.borders(vocabulary())
+    tokenshards.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), out, pattern=pattern)
     return tokenshards.read_shards(spark, out).withColumnsRenamed({"id": "doc_id", "n": "n_tokens"})
 
 

@@ -6,40 +6,49 @@ band, and the Hamming distance inside a band is a metric, so each band gets a
 vantage-point tree of its own with that small search radius: a ball of radius 1
 in 32 bits crosses far fewer tree boundaries than one of radius 3 in 64.
 
+Where a band parts badly, as among fingerprints that share it, a node takes the
+distance over all 64 bits with the full radius instead.
+
 The tree is grown on a bounded sample (it only decides where rows go; results
-do not depend on it).  Every fingerprint is sent to its home leaf, and as a
-query to each leaf its ball overlaps by the triangle inequality.  Leaves verify
-all 64 bits and return a spanning forest of their links, never the pairs.
+do not depend on it), until a leaf should hold LEAF_ROWS.  Every fingerprint is
+sent to its home leaf, and as a query to each leaf its ball overlaps by the
+triangle inequality.  A leaf that the bounded sample leaves fuller is parted
+again in its task, by a tree of its own rows.  Leaves verify all 64 bits and
+return a spanning forest of their links, never the pairs.
 
 Defined results: a null or wordless text has fingerprint zero and links like
 any other; repeated rows each get a row; a null id is allowed, gets its group's
-component, and never becomes one (null where no id is reachable).  Columns
-other than the two named are ignored, whatever their names.
+component, and never becomes one (null where no id is reachable).  A very long
+text is hashed whole, 4,096 shingles at a time.  Columns other than the two
+named are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import minhash
 from .cluster import cut
-from .components import connected_components
+from .components import connected_components, merge
 
 SEED = 42
 SHINGLE = 3
-#: At most so many fingerprints are sampled to grow the trees, and at most so many leaves are grown.
-SAMPLE_BOUND = 65_536
-LEAF_BOUND = 4_096
-#: Fingerprints a leaf should hold; fuller leaves are dealt out in blocks.
+#: At most so many fingerprints are sampled to grow the trees.
+SAMPLE_BOUND = 131_072
+#: Fingerprints that a leaf should hold.
 LEAF_ROWS = 2_048
-LEAF_CAP = 16_384
+#: Fingerprints that a task routes through the trees at once.
+ROUTE_ROWS = 262_144
+EVERY_BIT = np.uint64(2**64 - 1)
+_ID, _TEXT, _PLACE = "__id", "__text", "__place"  # beside the columns of a table, whatever their names
 
 
 def fingerprint(text: bytes) -> int:
@@ -80,81 +89,88 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- the trees -------------------------------------------------------------
 
 
-def _bands(values: np.ndarray, bands: int) -> list[np.ndarray]:
+@dataclass
+class Node:
+    """A vantage point that parts what is within ``mu`` of it, over the bits of ``mask``, from the rest.
+
+    Two fingerprints that are to meet differ by at most ``radius`` in these bits.
+    """
+
+    vantage: np.uint64
+    mask: np.uint64
+    radius: int
+    mu: int
+    inner: Node | int
+    outer: Node | int
+
+
+def band_masks(bands: int) -> list[np.uint64]:
     width = 64 // bands
-    mask = np.uint64((1 << width) - 1)
-    return [(values >> np.uint64(width * b)) & mask for b in range(bands)]
+    return [np.uint64(((1 << width) - 1) << (width * b)) for b in range(bands)]
+
 
+def grow(sample: np.ndarray, measures: list[tuple[np.uint64, int]], weight: float, leaf_rows: int = LEAF_ROWS) -> tuple[Node | int, int]:
+    """(tree, number of leaves) over a sample, each member of which stands for ``weight`` rows; leaves are numbers.
 
-def grow(sample: np.ndarray, leaves: int) -> list:
-    """A vantage-point tree over one band: nested [vantage, mu, inner, outer], leaves are numbers."""
+    ``measures`` are (mask, radius) pairs: a pair that is to be found is near
+    in all of them, and each node takes that in which it parts best.
+    """
     count = 0
 
-    def node(values: np.ndarray, depth: int):
+    def node(values: np.ndarray) -> Node | int:
         nonlocal count
-        if depth > 0 and len(values) >= 4:
+        if len(values) * weight > leaf_rows and len(values) >= 4:
             best = None
             for vantage in values[:: max(1, len(values) // 5)][:5]:
-                far = np.bitwise_count(values ^ vantage)
-                mu = int(np.median(far))
-                inner = int((far <= mu).sum())
-                if inner == len(values):
-                    mu -= 1
+                for mask, radius in measures:
+                    far = np.bitwise_count((values ^ vantage) & mask)
+                    mu = int(np.median(far))
                     inner = int((far <= mu).sum())
-                if 0 < inner < len(values):
-                    crossing = int(((far == mu) | (far == mu + 1)).sum())
-                    badness = abs(2 * inner - len(values)) + crossing
-                    if best is None or badness < best[0]:
-                        best = (badness, vantage, mu, far <= mu)
+                    if inner == len(values):
+                        mu -= 1
+                        inner = int((far <= mu).sum())
+                    if 0 < inner < len(values):
+                        crossing = int(((far > mu - radius) & (far <= mu + radius)).sum())
+                        badness = abs(2 * inner - len(values)) + crossing
+                        if 4 * crossing < 3 * len(values) and (best is None or badness < best[0]):
+                            best = (badness, vantage, mask, radius, mu, far <= mu)
             if best is not None:
-                _, vantage, mu, near = best
-                return [vantage, mu, node(values[near], depth - 1), node(values[~near], depth - 1)]
+                _, vantage, mask, radius, mu, near = best
+                return Node(vantage, mask, radius, mu, node(values[near]), node(values[~near]))
         count += 1
         return count - 1
 
-    return node(sample, max(0, (max(1, leaves) - 1).bit_length()))
+    return node(sample), count
 
 
-def route(tree, values: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def route(tree: Node | int, values: np.ndarray, asking: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(leaf, home rows, query rows) for each leaf that any value reaches.
 
-    A home row on the inner side within ``radius`` of the boundary goes on as a
+    A home row on the inner side within the radius of the boundary goes on as a
     query outside; outer rows need not, as the pair is met from the other end.
-    A query follows every side that its ball can overlap.
+    A query follows every side that its ball can overlap.  ``asking`` are rows
+    of ``values`` that only ask; all others live in the tree.
     """
-    todo = [(tree, np.arange(len(values)), np.arange(0))]
+    start = np.arange(0) if asking is None else asking
+    todo = [(tree, np.setdiff1d(np.arange(len(values)), start, assume_unique=True), start)]
     while todo:
         at, home, query = todo.pop()
-        if not isinstance(at, list):
+        if not isinstance(at, Node):
             yield at, home, query
             continue
-        vantage, mu, inner, outer = at
-        far = np.bitwise_count(values[home] ^ vantage).astype(np.int16)
-        ask = np.bitwise_count(values[query] ^ vantage).astype(np.int16)
-        crossing = home[(far <= mu) & (far + radius > mu)]
+        far = np.bitwise_count((values[home] ^ at.vantage) & at.mask).astype(np.int16)
+        ask = np.bitwise_count((values[query] ^ at.vantage) & at.mask).astype(np.int16)
+        crossing = home[(far <= at.mu) & (far + at.radius > at.mu)]
         for side, h, q in (
-            (inner, home[far <= mu], query[ask - radius <= mu]),
-            (outer, home[far > mu], np.concatenate([query[ask + radius > mu], crossing])),
+            (at.inner, home[far <= at.mu], query[ask - at.radius <= at.mu]),
+            (at.outer, home[far > at.mu], np.concatenate([query[ask + at.radius > at.mu], crossing])),
         ):
             if len(h) or len(q):
                 todo.append((side, h, q))
 
 
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Join the classes of a[i] and b[i] for all i."""
-    while True:
-        x, y = label[a], label[b]
-        open_ = x != y
-        if not open_.any():
-            return label
-        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(label, label[label]):
-            label = label[label]
-
-
-def leaf_links(home: np.ndarray, query: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (fingerprint, root) of home-home and query-home links of a leaf."""
+def _compared(home: np.ndarray, query: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of a small leaf, all of its pairs compared."""
     both = np.concatenate([home, query])
     label = np.arange(len(both))
     for r in range(0, len(both), 512):
@@ -167,64 +183,78 @@ def leaf_links(home: np.ndarray, query: np.ndarray, max_bits: int) -> tuple[np.n
             a, b = a + r, b + c
             keep = a != b
             if keep.any():
-                label = _merge(label, a[keep], b[keep])
+                label = merge(label, a[keep], b[keep])
     moved = np.flatnonzero(label != np.arange(len(both)))
     return both[moved], both[label[moved]]
 
 
+def leaf_links(home: np.ndarray, query: np.ndarray, max_bits: int, measures: list[tuple[np.uint64, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that join what is within ``max_bits`` among home rows, and between these and queries.
+
+    A full leaf is parted by a tree of its own, so the work grows with its rows
+    and not with their square.
+    """
+    if len(home) <= 2 * LEAF_ROWS:
+        return _compared(home, query, max_bits)
+    both = np.concatenate([home, query])
+    tree, _ = grow(home, measures, 1.0)
+    found = [
+        _compared(both[h], both[q], max_bits)
+        for _, h, q in route(tree, both, np.arange(len(home), len(both)))
+        if len(h) and len(h) + len(q) > 1
+    ]
+    return tuple(np.concatenate(side) for side in zip(*found, strict=True)) if found else (home[:0], home[:0])
+
+
 def links(distinct: DataFrame, max_bits: int = 3, bands: int = 2) -> DataFrame:
     """``(a, b)``: links between the distinct fingerprints in column fp that join what is within max_bits."""
     spark = distinct.sparkSession
     total = distinct.count()
-    order = F.xxhash64("fp")
-    taken = distinct.orderBy(order, "fp").limit(min(SAMPLE_BOUND, max(1, total))).toPandas()["fp"].to_numpy()
-    sample = _bands(taken.astype(np.int64).view(np.uint64), bands)
-    leaves = min(LEAF_BOUND, max(1, total // LEAF_ROWS))
-    trees = [grow(s, leaves) for s in sample]
-    radius = max_bits // bands
-    blocks: dict[tuple[int, int], int] = {}  # of leaves that the sample shows to be over-full; bounded by LEAF_BOUND
-    for band, (tree, values) in enumerate(zip(trees, sample, strict=True)):
-        for leaf, home, _ in route(tree, values, radius):
-            if (n := -(-len(home) * total // max(1, len(taken)) // LEAF_CAP)) > 1:
-                blocks[band, leaf] = int(n)
-    shared = spark.sparkContext.broadcast((trees, blocks))
+    # At most an eighth of the rows, so that the driver never holds the table; the trees only decide where rows go.
+    size = min(SAMPLE_BOUND, max(LEAF_ROWS, total // 8))
+    taken = distinct.orderBy(F.xxhash64("fp"), "fp").limit(size).toPandas()["fp"].to_numpy()
+    sample = taken.astype(np.int64).view(np.uint64)
+    measures = [[(mask, max_bits // bands), (EVERY_BIT, max_bits)] for mask in band_masks(bands)]
+    grown = [grow(sample, m, max(1.0, total / max(1, len(sample)))) for m in measures]
+    first = np.cumsum([0, *(leaves for _, leaves in grown)])
+    shared = spark.sparkContext.broadcast([tree for tree, _ in grown])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grown, split = shared.value
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for band, values in enumerate(_bands(fp, bands)):
+        trees = shared.value
+        for fp in _gathered(batches):
+            for band, tree in enumerate(trees):
                 shard, rows, is_home = [], [], []
-                for leaf, home, query in route(grown[band], values, radius):
-                    n = split.get((band, leaf), 1)
-                    own = (fp[home] % np.uint64(n)).astype(np.int64)
-                    for block in range(n):
-                        # every row asks in every block; its own block also stores it
-                        asks = np.concatenate([home[own != block], query])
-                        for part, flag in ((home[own == block], True), (asks, False)):
-                            if len(part):
-                                shard.append(np.full(len(part), (band * LEAF_BOUND * 4 + leaf) * 4096 + block))
-                                rows.append(part)
-                                is_home.append(np.full(len(part), flag))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(shard)),
-                            pa.array(fp[np.concatenate(rows)].view(np.int64)),
-                            pa.array(np.concatenate(is_home)),
-                        ],
-                        ["shard", "fp", "home"],
-                    )
+                for leaf, home, query in route(tree, fp):
+                    for part, flag in ((home, True), (query, False)):
+                        if len(part):
+                            shard.append(np.full(len(part), first[band] + leaf))
+                            rows.append(part)
+                            is_home.append(np.full(len(part), flag))
+                columns = (np.concatenate(shard), fp[np.concatenate(rows)].view(np.int64), np.concatenate(is_home))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "fp", "home"])
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, home = pdf["fp"].to_numpy().view(np.uint64), pdf["home"].to_numpy()
-        a, b = leaf_links(fp[home], fp[~home], max_bits)
+        own = measures[int(np.searchsorted(first, pdf["shard"].iloc[0], side="right")) - 1]
+        a, b = leaf_links(fp[home], fp[~home], max_bits, own)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     dealt = distinct.select("fp").mapInArrow(deal, "shard long, fp long, home boolean")
     return dealt.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Fingerprints of several batches at once: routing visits every node, whatever the number of rows."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        if sum(map(len, held)) >= ROUTE_ROWS:
+            yield np.concatenate(held)
+            held = []
+    if sum(map(len, held)):
+        yield np.concatenate(held)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
     """``(id, fp, component)`` per row: the least id reachable over links of at most max_bits bits."""
     marked = cut(fingerprints(docs, id_col, text_col))
@@ -246,12 +276,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs``, one per near-duplicate group: that with the least id.
 
     Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or
-    more (``minhash``); the three bits of fingerprints are op1's rule.
-
-    Rows that repeat an id stand for one document and one of them stays.  Rows
-    without an id cannot be told apart and all stay.
+    more.  The trees find candidates within three bits of five-word
+    fingerprints, ``minhash`` those further apart, and each is verified on the
+    shingle sets; the three bits alone are op1's rule.
+
+    A row is judged by its own text, so rows that repeat an id with texts of
+    different groups are kept or not each on its own; of rows that repeat an id
+    within a group the one with the least hash of its text stays, and of equal
+    texts the one with the least hash of all columns.  Rows without an id
+    cannot be told apart and all stay, and take the place of none.
     """
-    found = minhash.near_duplicates(docs, id_col, text_col)
-    kept = found.where("id = component").select(F.col("id").alias(id_col)).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    found = minhash.near_duplicates(docs, links, id_col, text_col)
+    kept = found.where("id = component").groupBy("id", "c").agg(F.min("t").alias("t")).select("id", "t")
+    own = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))]
+    named = docs.withColumns({_ID: own[0], _TEXT: own[1]}).where(F.col(_ID).isNotNull())
+    chosen = named.join(kept.select(F.col("id").alias(_ID), F.col("t").alias(_TEXT)), [_ID, _TEXT], "left_semi")
+    order = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    place = F.row_number().over(Window.partitionBy(_ID, _TEXT).orderBy(order))
+    first = chosen.withColumn(_PLACE, place).where(F.col(_PLACE) == 1)
+    return first.select(*docs.columns).unionByName(docs.where(F.col(id_col).cast("long").isNull()))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut
+from .cluster import cut, only_ids
 
 WINDOW = 50
 #: A perfect difference set modulo 31 (every remainder is a difference of two members).
@@ -44,8 +44,6 @@ COVER = (1, 5, 11, 24, 25, 27)
 CACHE_WORDS = 400_000
 #: Rows that leave a task at once.
 ROWS = 200_000
-#: Bits of the bitmap that picks texts before they are shuffled: 4 MB whatever the data.
-FILTER_BITS = 25
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so they have inverses modulo 2**64
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -183,24 +181,6 @@ def _with_bounds(rows: DataFrame, keys: list[str]) -> DataFrame:
     return dealt.join(bounds.where("least <> most and far >= 0"), keys)
 
 
-def only_ids(texts: DataFrame, ids: DataFrame, log_bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of ``texts`` whose id may be in ``ids``: all that are, and few others.
-
-    A bitmap of 2**log_bits hashed ids, built by aggregation in pieces of 32,768
-    bits, decides; its size does not grow with the data, so it is broadcast.
-    It only spares the join that follows the shuffle of texts that match nothing.
-    """
-    spot = F.pmod(F.xxhash64("id"), F.lit(1 << log_bits))
-    bits = (
-        ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("piece"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
-    )
-    octet = F.conv(F.hex(F.expr("substring(bits, int(bitmap_bit_position(spot) div 8) + 1, 1)")), 16, 10).cast("int")
-    marked = texts.withColumn("spot", spot).withColumn("piece", F.bitmap_bucket_number("spot"))
-    chosen = marked.join(F.broadcast(bits), "piece").where(octet.bitwiseAND(F.expr("shiftleft(1, int(bitmap_bit_position(spot) % 8))")) != 0)
-    return chosen.select(*texts.columns)
-
-
 def _by_document(rows: DataFrame) -> DataFrame:
     """``(id, places)``: positions by document; no longer than the document itself."""
     return rows.groupBy("id").agg(F.collect_set("at").alias("places"))

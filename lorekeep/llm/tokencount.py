@@ -17,6 +17,7 @@ repeated rows are counted each; a null id is kept.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, blocks, split_pieces, unmarked
+from .bpe import PATTERN, blocks, borders, split_pieces, unmarked
 
 #: Documents of more characters are encoded in chunks of this size.
 CHUNK_CHARS = 32_768
@@ -86,7 +87,10 @@ class Counter:
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         if any(c.isspace() for s in self._special for c in s):
             raise ValueError("special tokens with white space would cross the places at which texts are cut")
+        exact, odd = borders(path)
         self._word = regex.compile(PATTERN)
+        self._exact = regex.compile(exact)
+        self._odd = re.compile(f"[{odd}]" if odd else r"(?!)")
         self._known: dict[str, int] = {}
         self._words: dict[str, int] = {}
 
@@ -95,7 +99,8 @@ class Counter:
         return found.ids, [s for s, _ in found.offsets]
 
     def _learn(self, pieces: set[str]) -> None:
-        split = {p: self._word.findall(unmarked(p)) for p in pieces}
+        odd = {p for p in pieces if self._odd.search(p)} if self._odd.search("".join(pieces)) else set()
+        split = {p: (self._exact if p in odd else self._word).findall(unmarked(p)) for p in pieces}
         if len(self._words) > CACHE_WORDS:
             self._words.clear()
         known = self._words

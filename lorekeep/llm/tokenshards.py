@@ -1,7 +1,7 @@
 """Token ids in training order, written to fixed-stride binary shards.
 
 Every document is encoded and cut into sequences of at most ``length`` tokens.
-A keyed hash of (document, sequence) deals them to shards of about equal size,
+A keyed hash of (document, text, sequence) deals them to shards of about equal size,
 and inside a shard a keyed Feistel network, walked until it lands inside the
 shard, permutes their ranks; shard and rank give the global slot, a number from
 0 to one less than the number of sequences, each used once.  The slots of a
@@ -14,7 +14,9 @@ text writer lays the bytes down and commits whole files, so an attempt that is
 lost leaves nothing.
 
 Dealing by a hash needs no count before the tokens are known: the texts are
-encoded once and shuffled once.
+encoded once and shuffled once.  Rows without an id, or that repeat one, are
+told apart by their texts; an id and text that many rows repeat is dealt row by
+row, so no shard gets them all (which of equal rows is where does not matter).
 
 Defined results: null and empty texts have no sequences; special strings are
 ordinary text; rows that repeat give sequences each (in the order of their
@@ -34,12 +36,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, blocks
+from .cluster import cut
 from .tokencount import stable
 
 LENGTH = 256
 KEY = 0x5EED
 #: Bytes of text whose tokens go to one shard; a task holds one shard.
 SHARD_BYTES = 16_000_000
+#: An id and text that more rows repeat is dealt to shards row by row.
+COPIES = 1_024
+BROADCAST_ROWS = 100_000
 #: Longer texts are encoded in stretches, cut where the encoding splits anyway.
 STRETCH_CHARS = 65_536
 _NO_ID = -(1 << 63)
@@ -47,13 +53,13 @@ HEAD = np.dtype([("id", "<i8"), ("seq", "<u4"), ("n", "<u4")])
 
 
 @lru_cache(maxsize=2)
-def load(path: str):
-    """The encoder of a rank file, one for each Python worker."""
+def load(path: str, pattern: str = PATTERN):
+    """The encoder of a rank file, one for each Python worker; ``pattern`` cuts texts into words."""
     import tiktoken
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def stretches(text: str, size: int = STRETCH_CHARS) -> Iterator[str]:
@@ -93,39 +99,62 @@ def stride(length: int, width: int) -> int:
     return HEAD.itemsize + length * width + 1
 
 
-def sequences(docs: DataFrame, path: str, id_col: str, text_col: str, length: int, width: int) -> DataFrame:
-    """``(id, seq, n, tokens)``: tokens as little-endian numbers of ``width`` bytes."""
+def sequences(
+    docs: DataFrame, path: str, id_col: str, text_col: str, length: int, width: int, pattern: str = PATTERN,
+    copies: DataFrame | None = None, key: int = KEY,
+) -> DataFrame:
+    """``(id, mark, seq, n, tokens)``: a keyed hash of the row, and tokens as little-endian numbers of ``width`` bytes.
+
+    Rows of one id and text have one mark, but those named in ``copies`` (id, h,
+    copies) have as many marks as they are, whichever row gets which.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load(path)
+        encoder = load(path, pattern)
         for batch in batches:
             for start, texts in blocks(batch.column(1).to_pylist()):
                 rows: list[tuple] = []
-                for doc, text in zip(batch.column(0).slice(start, len(texts)).to_pylist(), texts, strict=True):
+                own = batch.slice(start, len(texts))
+                for doc, mark, text in zip(own.column(0).to_pylist(), own.column(2).to_pylist(), texts, strict=True):
                     tokens = np.concatenate([np.array(encoder.encode_ordinary(t), f"<u{width}") for t in stretches(text)])
                     rows += [
-                        (doc, seq, min(length, len(tokens) - at), tokens[at : at + length].tobytes())
+                        (doc, mark, seq, min(length, len(tokens) - at), tokens[at : at + length].tobytes())
                         for seq, at in enumerate(range(0, len(tokens), length))
                     ]
                 if rows:
-                    ids, seqs, n, data = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, pa.int64()), pa.array(seqs, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())],
-                        ["id", "seq", "n", "tokens"],
-                    )
+                    ids, marks, seqs, n, data = zip(*rows, strict=True)
+                    longs = [pa.array(c, pa.int64()) for c in (ids, marks)]
+                    ints = [pa.array(c, pa.int32()) for c in (seqs, n)]
+                    yield pa.RecordBatch.from_arrays([*longs, *ints, pa.array(data, pa.binary())], ["id", "mark", "seq", "n", "tokens"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "id long, seq int, n int, tokens binary")
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    place = F.lit(0).cast("long")
+    if copies is not None:
+        named = copies.withColumnRenamed("id", "i")
+        texts = texts.join(named, texts["id"].eqNullSafe(named["i"]) & (texts["h"] == named["h"]), "left").select("id", "text", texts["h"], "copies")
+        place = F.when(F.col("copies").isNotNull(), F.monotonically_increasing_id() % F.col("copies")).otherwise(place)
+    marked = texts.select("id", "text", F.xxhash64(F.lit(key), "id", "h", place).alias("mark"))
+    return marked.mapInArrow(run, "id long, mark long, seq int, n int, tokens binary")
 
 
 def write_shards(
     docs: DataFrame, path: str, out: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-    width: int = 2, key: int = KEY, shard_bytes: int = SHARD_BYTES,
+    width: int = 2, key: int = KEY, shard_bytes: int = SHARD_BYTES, pattern: str = PATTERN,
 ) -> int:
     """Write the shards under ``out``, a file each, named by their number; returns how many shards there are."""
-    if load(path).n_vocab > 1 << (8 * width):
+    if load(path, pattern).n_vocab > 1 << (8 * width):
         raise ValueError(f"token ids do not fit into {width} bytes")
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
+    text = F.col(text_col).cast("string")
+    groups = cut(
+        docs.groupBy(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"))
+        .agg(F.count("*").alias("copies"), F.sum(F.octet_length(text)).alias("size"))
+    )
+    total = groups.agg(F.sum("size").alias("n")).first()["n"] or 0
+    copies = groups.where(F.col("copies") > COPIES).select("id", "h", "copies")
+    # Few rows in most tables; joining them must then not shuffle the texts.
+    few = copies.limit(BROADCAST_ROWS + 1).count()
+    copies = None if few == 0 else F.broadcast(copies) if few <= BROADCAST_ROWS else copies
     shards = max(1, -(-total // shard_bytes))
     size = length * width
 
@@ -151,12 +180,11 @@ def write_shards(
             values = [whole[i : i + step - 1] for i in range(0, len(whole), step)]  # the writer adds the line feed
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["value"])
 
-    dealt = sequences(docs, path, id_col, text_col, length, width).select(
-        F.pmod(F.xxhash64(F.lit(key), "id", "seq"), F.lit(shards)).cast("int").alias("shard"),
-        F.coalesce("id", F.lit(_NO_ID)).alias("id"), "seq", "n", "tokens",
+    dealt = sequences(docs, path, id_col, text_col, length, width, pattern, copies, key).select(
+        F.pmod(F.xxhash64("mark", "seq"), F.lit(shards)).cast("int").alias("shard"),
+        F.coalesce("id", F.lit(_NO_ID)).alias("id"), "seq", "mark", "n", "tokens",
     )
-    # The tokens' hash only settles the order of rows that repeat an id, without comparing long values.
-    ordered = dealt.repartitionById(shards, "shard").sortWithinPartitions("id", "seq", F.xxhash64("tokens"))
+    ordered = dealt.repartitionById(shards, "shard").sortWithinPartitions("id", "seq", "mark")
     laid = ordered.mapInArrow(lay, "value binary")
     laid.select(F.col("value").cast("string").alias("value")).write.option("compression", "none").text(out)
     return shards

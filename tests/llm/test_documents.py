@@ -81,11 +81,11 @@ def test_simhash_trees_lose_no_link():
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
     flips = np.array([sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for k in rng.integers(0, 4, 900)], np.uint64)
     points = np.unique(np.concatenate([base, base[rng.integers(0, 300, 900)] ^ flips]))
-    tree = simhash.grow(simhash._bands(points, 2)[0], 32)
     found = set()
-    for band in range(2):
-        values = simhash._bands(points, 2)[band]
-        for _, home, query in simhash.route(tree, values, 1):
+    for mask in simhash.band_masks(2):
+        tree, leaves = simhash.grow(points, [(mask, 1), (simhash.EVERY_BIT, 3)], 1.0, 32)
+        assert leaves > 8
+        for _, home, query in simhash.route(tree, points):
             both = np.concatenate([home, query])
             near = np.bitwise_count(points[both][:, None] ^ points[home][None, :]) <= 3
             found |= {tuple(sorted((int(both[i]), int(home[j])))) for i, j in zip(*np.nonzero(near))}
@@ -93,13 +93,17 @@ def test_simhash_trees_lose_no_link():
     assert {tuple(sorted(map(int, p))) for p in true} <= found
 
 
-def test_simhash_leaf_in_blocks_finds_the_same(spark, monkeypatch):
+def test_simhash_full_leaf_finds_the_same(spark, monkeypatch):
+    """A leaf that is parted in its task, groups that share a band among its rows."""
     rng = np.random.default_rng(3)
-    rows = [(int(v),) for v in rng.integers(-(2**62), 2**62, 40)]
-    near = [(v ^ (1 << int(b)),) for (v,) in rows for b in rng.integers(0, 63, 30)]
-    frame = spark.createDataFrame(sorted(set(rows + near)), "fp long")
+    rows = [int(v) for v in rng.integers(-(2**62), 2**62, 40)]
+    near = [v ^ (1 << int(b)) for v in rows for b in rng.integers(0, 63, 30)]
+    same = [rows[0] ^ (int(v) << 32) for v in rng.integers(0, 2**30, 300)]
+    frame = spark.createDataFrame([(v,) for v in sorted({*rows, *near, *same})], "fp long")
     want = {(r.node, r.root) for r in simhash.connected_components(simhash.links(frame), "a", "b").collect()}
-    monkeypatch.setattr(simhash, "LEAF_CAP", 50)
+    monkeypatch.setattr(simhash, "SAMPLE_BOUND", 4)
+    monkeypatch.setattr(simhash, "grow", lambda *a, grow=simhash.grow: grow(*a[:3], 40))
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 40)
     got = {(r.node, r.root) for r in simhash.connected_components(simhash.links(frame), "a", "b").collect()}
     assert got == want and got
 
@@ -115,6 +119,14 @@ def test_simhash_odd_rows(odder):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 5, 6, 7]
 
 
+def test_keep_one_judges_rows_that_repeat_an_id_by_their_texts(spark):
+    a, b = "one text of seven words is here", "another text that nothing else is near"
+    for order in ([0, 1, 2], [2, 1, 0], [1, 2, 0]):
+        rows = [[(1, a), (3, a), (3, b)][i] for i in order]
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+        assert sorted(map(tuple, kept.collect())) == [(1, a), (3, b)]
+
+
 def test_keep_one_equals_jaccard_brute_force(spark):
     """Near copies over a range of similarities about 0.8, chains of them among them."""
     rng = random.Random(12)
