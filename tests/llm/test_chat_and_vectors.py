@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lorekeep.llm import chat, crosspoly, queries
@@ -91,14 +93,16 @@ def slow_links(ids, vectors, cosine=0.95):
     return {i: (int(n), r) for i, n, r in zip(ids, near.sum(1), root)}
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_embedding_links_recall(spark, block, monkeypatch):
+@pytest.mark.parametrize("block_bytes", [1 << 25, 16 * 8 * 64])
+@pytest.mark.parametrize("sign_rows", [131_072, 20])
+def test_embedding_links_recall(spark, block_bytes, sign_rows, monkeypatch):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(60, 64))
     rows = [centres[i % 60] + rng.normal(scale=0.12, size=64) * (i % 3) for i in range(400)]
     rows += [rows[3]] * 60 + [centres[0] + rng.normal(scale=0.02, size=64) for _ in range(90)]
     frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
-    monkeypatch.setattr(crosspoly.class_links, "__defaults__", (crosspoly.TABLES, block))
+    monkeypatch.setattr(crosspoly.class_links, "__defaults__", (block_bytes,))
+    monkeypatch.setattr(crosspoly, "SIGN_ROWS", sign_rows)
     got = {r.id: (r.n_links, r.component) for r in crosspoly.near_duplicates(frame).collect()}
     want = slow_links(range(len(rows)), rows)
     true = sum(n for n, _ in want.values())
@@ -107,6 +111,35 @@ def test_embedding_links_recall(spark, block, monkeypatch):
     assert sum(got[i][1] == want[i][1] for i in want) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize(("parts", "recall"), [(1, 0.995), (2, 0.99), (3, 0.93)])
+def test_embedding_recall_at_the_limit(spark, parts, recall):
+    """Pairs at a cosine of just 0.95, in 64 dimensions, for each number of hashes a bucket."""
+    rng = np.random.default_rng(parts)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    both = np.concatenate([x, 0.95001 * x + np.sqrt(1 - 0.95001**2) * y])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    got = {r.id: r.n_links for r in crosspoly.near_duplicates(frame, parts=parts).collect()}
+    assert set(got.values()) <= {0, 1}
+    assert sum(got.values()) >= recall * len(both)
+
+
+def test_embedding_sign_limit_spares_pairs_at_the_limit():
+    rng = np.random.default_rng(4)
+    for dim in (2, 3, 16, 64, 300):
+        x = rng.normal(size=(20_000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = rng.normal(size=x.shape)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        near = 0.95 * x + np.sqrt(1 - 0.95**2) * y
+        differ = np.bitwise_count(crosspoly.signs(x) ^ crosspoly.signs(near))
+        assert differ.max() <= crosspoly.sign_limit(0.95) < 25
+
+
 def test_embedding_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None, 1), (2, [], 1), (3, [0.0, 0.0], 1), (4, [1.0, None], 1), (5, [nan, 1.0], 1), (6, [inf, 1.0], 1), (7, [1.0, 0.0], 1),
@@ -140,26 +173,27 @@ def test_components(spark):
 
 def test_pipeline_equals_its_parts(spark, sf_dir):
     """Brute force over the stages: the same decisions taken document by document."""
-    from lorekeep.llm import bpe, decontam, pii, quality, simhash
+    from lorekeep.llm import decontam, pii, quality
 
     docs = sorted(queries.table(spark, sf_dir, "documents").collect())
     model = quality.train(queries.table(spark, sf_dir, "documents"), queries.table(spark, sf_dir, "labels"))
     docs = [d for d in docs if model.score(quality.feature_matrix([d.text.encode()]))[0] >= quality.KEEP_SCORE]
-    prints = [simhash.fingerprint(d.text.encode()) for d in docs]
+    words = [[w for w in re.split("[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), d.text)) if w] for d in docs]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
     root = list(range(len(docs)))
     for i in range(len(docs)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
+            if sets[i] == sets[j] or 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) > 0:
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     docs = [d for i, d in enumerate(docs) if root[i] == i]
     items = [decontam.normalise(r.text) for r in queries.table(spark, sf_dir, "benchmark").collect()]
     docs = [d for d in docs if not any(slow_hit(item, decontam.normalise(d.text)) for item in items)]
-    own = bpe.load(queries.vocabulary())
+    own = Tokenizer.from_file(queries.vocabulary())
     want = {}
     for d in docs:
         text = pii.masked(d.text, pii.find(d.text)[1])
-        want[d.doc_id] = hashlib.sha256(own.encode([text])[0]).hexdigest()
+        want[d.doc_id] = hashlib.sha256(np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
     got = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert got == want
 
@@ -170,6 +204,27 @@ def slow_hit(item, text):
     return Myers(item).best(text, int(len(item) * ERROR_RATE)) is not None
 
 
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empty and long texts, repeated rows and ids, clashing names, and none at all."""
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"word{i % 977} of{i % 31}" for i in range(150_000))
+    rows = [(1, None, "en"), (2, "", None), (3, "one two", "en"), (3, "one two", "en"), (3, "one two", "de"), (3, "quite another text of eight words here", "en"),
+            (None, "one two", "en"), (None, None, None), (4, long, "en"), (5, long + " end", "en"), (6, "x" * 2_000_000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = docs.withColumns({n: F.lit(1) for n in ("id", "t", "c", "k", "hub", "a", "n", "fp", "score", "h", "ids", "component", "spans")})
+    sizes = {"quality": None, "near_duplicates": 7, "decontamination": 11, "personal_data": 11, "encoding": 11}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf_dir).collect()
+        assert sizes[name] in (None, len(got)), name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        if name == "near_duplicates":
+            # 1 stands for all without words, 4 for its near copy; rows without an id stay.
+            assert sorted((r.doc_id or 0, len(r.text or "")) for r in got) == sorted(
+                [(0, 7), (0, 0), (1, 0), (3, 7), (3, len(rows[5][1])), (4, len(long)), (6, 2_000_000)]
+            )
+
+
 def test_stages_keep_the_columns(spark, sf_dir):
     docs = queries.table(spark, sf_dir, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
