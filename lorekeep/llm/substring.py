@@ -14,10 +14,12 @@ anchors, |D| of every v positions, are hashed and shuffled.
 
 Whole copies are set apart first: all of a copy's words go, and its windows
 add nothing that the original has not.  Nothing is gathered by hash: counts and
-least ids are aggregates, joined back, so a passage in a third of all documents
-is a long run of rows, not a group in memory.
+least ids are aggregates, joined back.  The windows of passages that very many
+documents share are not even shuffled by hash: their anchors' counts tell them,
+and their bounds, aggregated in each task first, are joined back to where they
+are.
 
-Defined results: null texts have no words; documents of fewer words than a
+Defined results: a very long text is hashed whole, each word once; null texts have no words; documents of fewer words than a
 window lose nothing; rows without an id lose nothing and take nothing from
 others; rows that repeat an id are judged each on its own text, and equal ids
 are not smaller; other columns are ignored.
@@ -42,6 +44,11 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 #: Words whose hashes a Python worker remembers.
 CACHE_WORDS = 400_000
+#: Anchors with more rows than HOT_ROWS, and more than all but HOT_HASHES can have, mark hot passages.
+HOT_ROWS = 1_024
+HOT_HASHES = 100_000
+#: Parts into which a hot hash is dealt where it has to be shuffled.
+SALTS = 64
 #: Rows that leave a task at once.
 ROWS = 200_000
 
@@ -171,24 +178,46 @@ def anchors(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFra
 
 
 def _with_bounds(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with the least id of their key, those of keys in one document only left out; one shuffle by the key.
+    """Rows with the least id and the number of rows of their key, keys in one document left out; one shuffle by the key.
 
     Both sides of the join read the same shuffle.  The place, which is never
     negative, is in the condition so that both read the same columns of it.
     """
     dealt = rows.repartition(*keys)
-    bounds = dealt.groupBy(*keys).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max("at").alias("far"))
+    bounds = dealt.groupBy(*keys).agg(
+        F.min("id").alias("least"), F.max("id").alias("most"), F.max("at").alias("far"), F.count("*").alias("rows")
+    )
     return dealt.join(bounds.where("least <> most and far >= 0"), keys)
 
 
-def _by_document(rows: DataFrame) -> DataFrame:
-    """``(id, places)``: positions by document; no longer than the document itself."""
-    return rows.groupBy("id").agg(F.collect_set("at").alias("places"))
+def _with_hot_bounds(rows: DataFrame) -> DataFrame:
+    """Like ``_with_bounds`` for windows of few hashes with many rows each, which are not brought together.
+
+    The bounds of each task's rows are taken first.  They are joined back as a
+    whole where they are few, and otherwise copied to each of SALTS parts of a hash.
+    """
+    bounds = cut(rows.groupBy("h", "g").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most"))
+    if bounds.limit(HOT_HASHES + 1).count() <= HOT_HASHES:
+        return rows.join(F.broadcast(bounds), ["h", "g"])
+    each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int"))
+    return salted.join(bounds.withColumn("salt", each), ["h", "g", "salt"]).drop("salt")
+
 
+def _by_document(rows: DataFrame, heavy: int) -> DataFrame:
+    """``(id, places, hot)``: positions by document, no longer than it, and hashes with more than ``heavy`` rows among them."""
+    hot = F.collect_set(F.when(F.col("rows") > heavy, F.col("h")))
+    return rows.groupBy("id").agg(F.collect_set("at").alias("places"), hot.alias("hot"))
 
-def windows(texts: DataFrame, window: int) -> DataFrame:
-    """``(h, g, id, at)`` of every window that holds one of the row's anchors; (h, g) has 96 bits."""
+
+def windows(texts: DataFrame, window: int, hot: np.ndarray, want_hot: bool) -> DataFrame:
+    """``(h, g, id, at)`` of every window that holds one of the row's anchors; (h, g) has 96 bits.
+
+    Windows are hot that begin with a stretch whose hash is in ``hot``, in
+    every document alike; only these, or only the others, are given.
+    """
     width = window - PERIOD + 1
+    shared = texts.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Rows()
@@ -197,6 +226,8 @@ def windows(texts: DataFrame, window: int) -> DataFrame:
                 words = _words(text.as_py())
                 marks = np.array(places.as_py(), np.int64)
                 at = candidate_starts(marks[marks + width <= len(words)], len(words), window, width)
+                if len(at) and len(shared.value):
+                    at = at[np.isin(window_hashes(words, width, at).view(np.int64), shared.value) == want_hot]
                 if len(at):
                     h, g = (window_hashes(words, window, at, which) for which in (0, 1))
                     yield from out.add(doc, at, h, (g & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
@@ -255,12 +286,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     # An id may repeat; it is left out only if all its rows are copies.
     copies = marked.groupBy("id").agg(F.min("copied").alias("copied")).where("copied").select("id")
-    shared = _with_bounds(anchors(docs, id_col, text_col, window), ["h"]).select("id", "at")
+    shared = _with_bounds(anchors(docs, id_col, text_col, window), ["h"]).select("h", "id", "at", "rows")
+    # Fewer than HOT_HASHES hashes can have more rows than this.
+    words = seen.where(F.col("n_words") >= window).agg(F.sum("n_words").alias("n")).first()["n"] or 0
+    heavy = max(HOT_ROWS, words * len(COVER) // PERIOD // HOT_HASHES)
     # An anti join here would be pushed below the join by hash, and shuffle all anchors once more.
-    held = _by_document(shared).join(copies.withColumn("copied", F.lit(True)), "id", "left")
-    places = cut(held.where("copied is null").select("id", "places"))
+    held = _by_document(shared, heavy).join(copies.withColumn("copied", F.lit(True)), "id", "left")
+    places = cut(held.where("copied is null").select("id", "places", "hot"))
+    hot = places.select(F.explode("hot").alias("h")).distinct().toPandas()["h"].to_numpy(np.int64)
     texts = _source(docs, id_col, text_col)
-    every = _with_bounds(windows(only_ids(texts, places).join(places, "id"), window), ["h", "g"]).where("id > least")
+    found = only_ids(texts, places).join(places, "id")
+    every = _with_bounds(windows(found, window, hot, False), ["h", "g"]).where("id > least").select("id", "at", "h")
+    if len(hot):
+        every = every.unionByName(_with_hot_bounds(windows(found, window, hot, True)).where("id > least").select("id", "at", "h"))
     repeated = cut(every.groupBy("id").agg(F.collect_set(F.struct("at", "h")).alias("repeated")))
     return marked, remaining(only_ids(texts, repeated).join(repeated, "id"), window)
 

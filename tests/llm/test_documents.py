@@ -273,6 +273,25 @@ def test_substrings_at_the_limits(spark):
     assert got == slow_removal(docs)
 
 
+@pytest.mark.parametrize("hot_hashes", [100_000, 1])
+def test_substrings_in_a_hot_passage(spark, monkeypatch, hot_hashes):
+    """A passage of which each window is in many documents, and rows that repeat an id."""
+    monkeypatch.setattr(substring, "HOT_ROWS", 8)
+    monkeypatch.setattr(substring, "HOT_HASHES", hot_hashes)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randint(0, 10**9)}"
+    passage, other = [word() for _ in range(90)], [word() for _ in range(70)]
+    docs = {}
+    for i in range(120):
+        part = passage[rng.randint(0, 20) :][: rng.randint(45, 90)] if i % 3 else other
+        docs[i] = " ".join([word() for _ in range(rng.randint(0, 40))] + part + [word() for _ in range(rng.randint(0, 40))])
+    rows = [*docs.items(), (7, docs[7]), (119, docs[119])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(r.id, (r.n_words, r.n_removed, r.kept_sha256)) for r in substring.digests(frame).collect()]
+    want = slow_removal(docs)
+    assert sorted(got) == sorted((i, want[i]) for i, _ in rows)
+
+
 def test_substring_cover_is_complete():
     cover = substring.COVER
     assert {(a - b) % substring.PERIOD for a in cover for b in cover} == set(range(substring.PERIOD))
