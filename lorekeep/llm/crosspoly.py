@@ -11,8 +11,8 @@ at a cosine of exactly 0.95 is found with a chance of 0.998 in 64 dimensions
 and 0.994 in 256; with one of 1.0; with three of 0.97 and 0.93.  Nearer pairs
 are found more surely.  More parts make buckets smaller, for larger tables.
 
-Buckets are met twice.  First with 63 signs of random projections in place of
-the vector, 32 bytes a row: a row with no other of near signs in a bucket leaves
+Buckets are met twice.  First with 126 signs of random projections in place of
+the vector, 40 bytes a row: a row with no other of near signs in a bucket leaves
 it (near leaves six standard deviations about what the cosine gives).  What
 stays brings its vector and is compared by its cosine in double precision.
 
@@ -52,7 +52,8 @@ PARTS = 2
 BLOCK_BYTES = 1 << 25
 #: Rows of a bucket that are compared by signs; all rows of a fuller one go on to the cosines.
 SIGN_ROWS = 131_072
-SIGNS = 63
+#: Signs of random projections, in two numbers.
+SIGNS = 126
 SEED = 20_011
 
 
@@ -120,9 +121,9 @@ def _directions(dim: int) -> np.ndarray:
 
 
 def signs(units: np.ndarray) -> np.ndarray:
-    """SIGNS signs of random projections of each vector, as the low bits of a number."""
-    bits = (units @ _directions(units.shape[1]) > 0).astype(np.uint64)
-    return (bits << np.arange(SIGNS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    """(rows, 2) numbers of SIGNS / 2 bits each: the signs of random projections of each vector."""
+    bits = (units @ _directions(units.shape[1]) > 0).reshape(len(units), 2, -1).astype(np.uint64)
+    return (bits << np.arange(SIGNS // 2, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
 
 
 def sign_limit(cosine: float) -> int:
@@ -216,7 +217,7 @@ def _usable(embedding: Column) -> Column:
 
 
 def hashed(rows: DataFrame, tables: int, parts: int) -> DataFrame:
-    """``(id, a, b, signs, keys)`` of rows ``(id, a, b, v)``."""
+    """``(id, a, b, signs, more, keys)`` of rows ``(id, a, b, v)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,37 +228,38 @@ def hashed(rows: DataFrame, tables: int, parts: int) -> DataFrame:
                 keys = bucket_keys(units, tables, parts)
                 ends = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(keys.astype(np.uint32).view(np.int32).ravel()))
-                columns = [*part.columns[:3], pa.array(signs(units).view(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "a", "b", "signs", "keys"])
+                said = [pa.array(x) for x in signs(units).view(np.int64).T.copy()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *said, lists], ["id", "a", "b", "signs", "more", "keys"])
 
-    return rows.select("id", "a", "b", "v").mapInArrow(run, "id long, a long, b long, signs long, keys array<int>")
+    return rows.select("id", "a", "b", "v").mapInArrow(run, "id long, a long, b long, signs long, more long, keys array<int>")
 
 
 def meetings(classes: DataFrame, cosine: float, tables: int) -> DataFrame:
-    """``(key, c, home)``: classes ``(c, signs, keys)`` in the buckets where another has near signs."""
+    """``(key, c, home)``: classes ``(c, signs, more, keys)`` in the buckets where another has near signs."""
     limit = sign_limit(cosine)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, said = (batch.column(x).to_numpy() for x in (0, 1))
-            keys = batch.column(2).flatten().to_numpy().view(np.uint32).astype(np.int64).reshape(len(c), -1)
+            c, said, more = (batch.column(x).to_numpy() for x in (0, 1, 2))
+            keys = batch.column(3).flatten().to_numpy().view(np.uint32).astype(np.int64).reshape(len(c), -1)
             for at in range(keys.shape[1]):
                 table, probe = divmod(at, PROBES)
                 seen = keys[:, table * PROBES : at]
                 new = ~(seen == keys[:, at : at + 1]).any(axis=1)
                 # Rows that live in a bucket have an even word.
-                columns = (keys[new, at] | table << 32, c[new], said[new] << 1 | (probe > 0))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "c", "word"])
+                columns = (keys[new, at] | table << 32, c[new], said[new] << 1 | (probe > 0), more[new])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "c", "word", "more"])
 
-    def pack(key: np.ndarray, c: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
+    def pack(key: np.ndarray, c: np.ndarray, word: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(word & 1 == 0)], ["key", "c", "home"])
 
-    def near(word: np.ndarray) -> np.ndarray:
-        said, home = word.view(np.uint64) >> np.uint64(1), np.flatnonzero(word & 1 == 0)
+    def near(word: np.ndarray, more: np.ndarray) -> np.ndarray:
+        said, more, home = word.view(np.uint64) >> np.uint64(1), more.view(np.uint64), np.flatnonzero(word & 1 == 0)
         found = np.zeros(len(word), bool)
         step = max(1, 4_000_000 // max(1, len(home)))
         for at in range(0, len(word), step):
-            close = np.bitwise_count(said[at : at + step, None] ^ said[None, home]) <= limit
+            differ = np.bitwise_count(said[at : at + step, None] ^ said[None, home])
+            close = differ + np.bitwise_count(more[at : at + step, None] ^ more[None, home]) <= limit
             rows = np.arange(at, min(len(word), at + step))
             close &= rows[:, None] != home
             found[rows] |= close.any(axis=1)
@@ -271,16 +273,16 @@ def meetings(classes: DataFrame, cosine: float, tables: int) -> DataFrame:
         def close() -> list[tuple[np.ndarray, ...]]:
             if not 1 < size <= SIGN_ROWS:
                 return []
-            key, c, word = (np.concatenate(x) for x in zip(*held, strict=True)) if len(held) > 1 else held[0]
-            if (word & 1 == 1).all():
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)] if len(held) > 1 else held[0]
+            if (rows[2] & 1 == 1).all():
                 return []
-            found = near(word)
-            return [(key[found], c[found], word[found])] if found.any() else []
+            found = near(*rows[2:])
+            return [tuple(x[found] for x in rows)] if found.any() else []
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(x).to_numpy() for x in range(3)]
+            columns = [batch.column(x).to_numpy() for x in range(4)]
             change = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
             out: list[tuple[np.ndarray, ...]] = []
             for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
@@ -297,7 +299,7 @@ def meetings(classes: DataFrame, cosine: float, tables: int) -> DataFrame:
         if out := close():
             yield pack(*out[0])
 
-    rows = classes.select("c", "signs", "keys").mapInArrow(spread, "key long, c long, word long")
+    rows = classes.select("c", "signs", "more", "keys").mapInArrow(spread, "key long, c long, word long, more long")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, c long, home boolean")
 
 
@@ -375,7 +377,7 @@ def near_duplicates(
     marked = rows.withColumn("usable", _usable(F.col("v")) & F.col("id").isNotNull())
     keyed = marked.withColumns({"a": F.xxhash64("v"), "b": F.xxhash64(F.lit(1), F.col("v"))})
     used = keyed.where("usable")
-    firsts = [F.first(x).alias(x) for x in ("signs", "keys")]  # equal in a class
+    firsts = [F.first(x).alias(x) for x in ("signs", "more", "keys")]  # equal in a class
     classes = stored(
         hashed(used, tables, parts).groupBy("a", "b").agg(F.min("id").alias("id"), F.count("*").alias("weight"), *firsts), "vector-classes"
     )
