@@ -11,10 +11,10 @@ average 80 agree, and fewer than LIKELY do with a chance of about one in
 ten million; candidates below are not looked at further.  All others are
 verified on the sets of 64-bit shingle hashes.
 
-Links are only needed up to components.  In a few rounds each class is held
-against the likeliest of those that are chosen in its buckets; what then lies
-in different components of a bucket is compared in blocks.  Only texts of
-classes with candidates are shuffled, one for each class.
+Links are only needed up to components.  Each class is first held against the
+likeliest of those that are chosen in its buckets; what then lies in different
+components of a bucket meets in tasks, block by block.  Only texts of classes
+with candidates are shuffled.
 
 A null or wordless text has the empty set and links with its like only; a text
 of fewer than five words is one shingle; a very long text has as many shingles
@@ -39,8 +39,6 @@ SHINGLE = 5
 BANDS, ROWS = 25, 4
 #: Minima of which a byte must agree in a pair that is verified: six standard deviations below 80 of 100.
 LIKELY = 56
-#: Rounds in which classes are held against one of their buckets.
-ROUNDS = 2
 #: Rows of one class or bucket that a task handles at once; more are dealt out in parts.
 PART = 2_048
 
@@ -68,6 +66,11 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def alike(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether the similarity of two sets is 0.8 or more: x / (p + q - x) >= 4 / 5, in whole numbers."""
+    return 9 * len(np.intersect1d(one, two, assume_unique=True)) >= 4 * (len(one) + len(two))
+
+
 def class_of(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
@@ -175,9 +178,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if not asks[row]:
                     own = other
                     continue
-                # x / (p + q - x) >= 4 / 5, in whole numbers
-                shared = len(np.intersect1d(own, other, assume_unique=True))
-                if 9 * shared >= 4 * (len(own) + len(other)):
+                if alike(own, other):
                     found.append((a[row], hub[row]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "hub"])
@@ -189,53 +190,76 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of the buckets that still hold classes of more than one component."""
     roots = connected_components(links, "a", "hub").withColumnRenamed("node", "c")
-    named = rows.select("k", "c").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = rows.select("k", "c", "met").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     still = named.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return cut(named.join(still.select("k"), "k", "left_semi").select("k", "c", "root"))
+    return cut(named.join(still.select("k"), "k", "left_semi").select("k", "c", "met", "root"))
 
 
-def against_one(rows: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-    """``(a, hub)``: each class of an open bucket with the likeliest of those chosen for its buckets."""
-    order = F.struct(F.xxhash64("c", F.lit(turn)), "c")
-    chosen = rows.groupBy("k").agg(F.min_by(F.struct("c", "root"), order).alias("one"))
+def against_one(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(a, hub)``: each class of an open bucket with the likeliest of those chosen for its buckets.
+
+    The class that meets most others is chosen, an original rather than one of its copies.
+    """
+    chosen = rows.groupBy("k").agg(F.max_by(F.struct("c", "root"), F.struct("met", "c")).alias("one"))
     found = rows.join(chosen, "k").where(F.col("root") != F.col("one.root"))
     pairs = likely(found.select(F.col("c").alias("a"), F.col("one.c").alias("hub")).distinct(), classes)
-    best = pairs.groupBy("a").agg(F.max_by("hub", F.struct("same", "hub")).alias("hub"))
-    # Two that chose each other are one pair.
-    return best.select(F.greatest("a", "hub").alias("a"), F.least("a", "hub").alias("hub")).distinct()
+    return pairs.groupBy("a").agg(F.max_by("hub", F.struct("same", "hub")).alias("hub"))
 
 
-def across(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(a, hub)``: in each open bucket, all likely pairs of different components."""
+def across(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(a, hub)``: verified links that join what is left in each open bucket.
+
+    Blocks of a bucket meet in tasks, which take the likeliest pairs first and
+    verify only those of components not yet joined there; they give a spanning
+    forest of the links, never the pairs.
+    """
     sizes = rows.groupBy("k").agg(F.ceil(F.count("*") / PART).alias("blocks"))
-    own = rows.join(sizes, "k").join(classes.select("c", "n", "sketch"), "c").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")))
+    own = rows.join(sizes, "k").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = own.withColumn("other", other).select(
-        "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "n", "root", "sketch"
+    dealt = own.withColumn("other", other).join(classes.select("c", "n", "sketch"), "c").join(texts, "c").select(
+        "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "n", "root", "sketch", "text"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, 3):
-            i, own, c, n, root = (group.column(x).to_numpy() for x in (1, 3, 4, 5, 6))
-            j = int(group.column(2)[0].as_py())
-            sketch = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-            left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j)
-            found = []
-            for at in range(0, len(left), 64):
-                rows = left[at : at + 64]
-                fine = root[rows][:, None] != root[right]
-                fine &= 5 * np.minimum(n[rows][:, None], n[right]) >= 4 * np.maximum(n[rows][:, None], n[right])
-                x, y = np.nonzero(fine)
-                x, y = rows[x], right[y]
-                for a in range(0, len(x), 65_536):
-                    p, q = x[a : a + 65_536], y[a : a + 65_536]
-                    near = (sketch[p] == sketch[q]).sum(axis=1) >= LIKELY
-                    found.append((np.maximum(c[p[near]], c[q[near]]), np.minimum(c[p[near]], c[q[near]])))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "hub"])
+            if found := linked(group):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "hub"])
+
+    def linked(group: pa.RecordBatch) -> list[tuple[int, int]]:
+        i, own, c, n, root = (group.column(x).to_numpy() for x in (1, 3, 4, 5, 6))
+        j = int(group.column(2)[0].as_py())
+        sketch = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j)
+        _, label = np.unique(root, return_inverse=True)
+        if not label.any():
+            return []
+        sets: dict[int, np.ndarray] = {}
+        found: list[tuple[int, int]] = []
+
+        def read(row: int) -> np.ndarray:
+            if row not in sets:
+                sets[row] = shingles((group.column(8)[row].as_py() or "").encode("utf-8", "replace"))
+            return sets[row]
+
+        # A few rows at a time, so that what they ask is not held for the whole block.
+        for at in range(0, len(left), 64):
+            rows = left[at : at + 64]
+            fine = label[rows][:, None] != label[right]
+            fine &= 5 * np.minimum(n[rows][:, None], n[right]) >= 4 * np.maximum(n[rows][:, None], n[right])
+            x, y = np.nonzero(fine)
+            x, y = rows[x], right[y]
+            same = np.concatenate([(sketch[x[p : p + 65_536]] == sketch[y[p : p + 65_536]]).sum(axis=1) for p in range(0, len(x), 65_536)] or [[]])
+            for p in np.argsort(-same, kind="stable"):
+                if same[p] < LIKELY:
+                    break
+                one, two = int(x[p]), int(y[p])
+                if label[one] != label[two] and alike(read(one), read(two)):
+                    found.append((int(c[one]), int(c[two])))
+                    label[label == label[one]] = label[two]
+        return found
 
     dealt = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    return dealt.mapInArrow(run, "a long, hub long").distinct()
+    return dealt.mapInArrow(run, "a long, hub long")
 
 
 def within_bits(classes: DataFrame, trees: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -260,18 +284,17 @@ def near_duplicates(docs: DataFrame, trees: Callable[[DataFrame], DataFrame], id
     firsts = [F.first(x).alias(x) for x in ("n", "fp", "keys", "sketch")]  # equal in a class
     classes = stored(marked.groupBy("c").agg(F.min("id").alias("first"), *firsts), "classes")
     dealt = classes.select("c", F.explode("keys").alias("k")).repartition("k")
-    shared = dealt.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    rows = cut(dealt.join(shared.select("k"), "k").select("k", "c"))
+    shared = dealt.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high")
+    rows = cut(dealt.join(shared.select("k", "m"), "k").select("k", "c", "m"))
+    met = rows.groupBy("c").agg(F.sum("m").alias("met"))
+    rows = rows.join(met, "c").select("k", "c", "met")
     seeds = cut(within_bits(classes, trees))
     wanted = rows.select("c").unionByName(seeds.select(F.col("a").alias("c"))).unionByName(seeds.select(F.col("hub").alias("c")))
     texts = stored(class_texts(docs, id_col, text_col, marked, wanted.distinct()), "texts")
     links = cut(verified(likely(seeds, classes), texts))
     rows = _rooted(rows, links)
-    for turn in range(ROUNDS + 1):
-        new = cut(verified(cut(against_one(rows, classes, turn) if turn < ROUNDS else across(rows, classes)), texts))
-        links = links.unionByName(new)
-        if turn < ROUNDS:
-            rows = _rooted(rows, links)
+    links = links.unionByName(cut(verified(cut(against_one(rows, classes)), texts)))
+    links = links.unionByName(cut(across(_rooted(rows, links), classes, texts)))
     roots = connected_components(links, "a", "hub").withColumnRenamed("node", "c")
     joined = classes.select("c", "first").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = joined.groupBy("root").agg(F.min("first").alias("component"))
