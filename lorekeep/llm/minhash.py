@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import cut, only_ids, runs, stored
-from .components import connected_components
+from .components import connected_components, merge
 
 SEED = 42
 SHINGLE = 5
@@ -40,7 +40,7 @@ BANDS, ROWS = 25, 4
 #: Minima of which a byte must agree in a pair that is verified: six standard deviations below 80 of 100.
 LIKELY = 56
 #: Rows of one class or bucket that a task handles at once; more are dealt out in parts.
-PART = 2_048
+PART = 1_024
 
 _odd = np.random.default_rng(SEED).integers(1 << 63, size=(3, 128), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES, _TIMES, _PLUS = _odd[0, :SHINGLE], _odd[1, : BANDS * ROWS], _odd[2, : BANDS * ROWS]
@@ -206,18 +206,34 @@ def against_one(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.groupBy("a").agg(F.max_by("hub", F.struct("same", "hub")).alias("hub"))
 
 
-def across(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share, by products of their incidence matrix, some shingles at a time."""
+    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = times[place] > 1  # what one set alone has is shared by none
+    owner, place = owner[twice], (np.cumsum(times > 1) - 1)[place[twice]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    found = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers below 2**24
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+        some = slice(*np.searchsorted(place, (at, at + 4096)))
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[owner[some], place[some] - at] = 1
+        found += held @ held.T
+    return found
+
+
+def across(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """``(a, hub)``: verified links that join what is left in each open bucket.
 
-    Blocks of a bucket meet in tasks, which take the likeliest pairs first and
-    verify only those of components not yet joined there; they give a spanning
-    forest of the links, never the pairs.
+    Blocks of a bucket meet in tasks, which count what each two sets share and
+    give a spanning forest of the links, never the pairs.
     """
     sizes = rows.groupBy("k").agg(F.ceil(F.count("*") / PART).alias("blocks"))
     own = rows.join(sizes, "k").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = own.withColumn("other", other).join(classes.select("c", "n", "sketch"), "c").join(texts, "c").select(
-        "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "n", "root", "sketch", "text"
+    dealt = own.withColumn("other", other).join(texts, "c").select(
+        "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "root", "text"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,37 +242,18 @@ def across(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "hub"])
 
     def linked(group: pa.RecordBatch) -> list[tuple[int, int]]:
-        i, own, c, n, root = (group.column(x).to_numpy() for x in (1, 3, 4, 5, 6))
-        j = int(group.column(2)[0].as_py())
-        sketch = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j)
+        c, root = (group.column(x).to_numpy() for x in (3, 4))
         _, label = np.unique(root, return_inverse=True)
         if not label.any():
             return []
-        sets: dict[int, np.ndarray] = {}
-        found: list[tuple[int, int]] = []
-
-        def read(row: int) -> np.ndarray:
-            if row not in sets:
-                sets[row] = shingles((group.column(8)[row].as_py() or "").encode("utf-8", "replace"))
-            return sets[row]
-
-        # A few rows at a time, so that what they ask is not held for the whole block.
-        for at in range(0, len(left), 64):
-            rows = left[at : at + 64]
-            fine = label[rows][:, None] != label[right]
-            fine &= 5 * np.minimum(n[rows][:, None], n[right]) >= 4 * np.maximum(n[rows][:, None], n[right])
-            x, y = np.nonzero(fine)
-            x, y = rows[x], right[y]
-            same = np.concatenate([(sketch[x[p : p + 65_536]] == sketch[y[p : p + 65_536]]).sum(axis=1) for p in range(0, len(x), 65_536)] or [[]])
-            for p in np.argsort(-same, kind="stable"):
-                if same[p] < LIKELY:
-                    break
-                one, two = int(x[p]), int(y[p])
-                if label[one] != label[two] and alike(read(one), read(two)):
-                    found.append((int(c[one]), int(c[two])))
-                    label[label == label[one]] = label[two]
-        return found
+        sets = [shingles((text.as_py() or "").encode("utf-8", "replace")) for text in group.column(5)]
+        size = np.array(list(map(len, sets)), np.float32)
+        shared = _shared(sets)
+        a, b = np.nonzero((9 * shared >= 4 * (size[:, None] + size)) & (label[:, None] > label))
+        first = np.unique(label, return_index=True)[1][label]  # one row for each component, joined by the links
+        joined = merge(first.copy(), a, b)
+        moved = np.flatnonzero(joined != first)
+        return list(zip(c[moved].tolist(), c[joined[moved]].tolist(), strict=True))
 
     dealt = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
     return dealt.mapInArrow(run, "a long, hub long")
@@ -294,7 +291,7 @@ def near_duplicates(docs: DataFrame, trees: Callable[[DataFrame], DataFrame], id
     links = cut(verified(likely(seeds, classes), texts))
     rows = _rooted(rows, links)
     links = links.unionByName(cut(verified(cut(against_one(rows, classes)), texts)))
-    links = links.unionByName(cut(across(_rooted(rows, links), classes, texts)))
+    links = links.unionByName(cut(across(_rooted(rows, links), texts)))
     roots = connected_components(links, "a", "hub").withColumnRenamed("node", "c")
     joined = classes.select("c", "first").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = joined.groupBy("root").agg(F.min("first").alias("component"))
