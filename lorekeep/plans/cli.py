@@ -53,13 +53,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if given.command == "scan":
             held = settings.scan_settings(local)
             hits, binary, stale = scan.scan_repository(spark, given.repo, held, None if given.worktree else given.rev)
-            for row in hits.where("state = 'new'").orderBy("file", "line").collect():
-                print(f"{row['file']}:{row['line']}: {row['kind']}")
+            commits = scan.scan_commits(spark, given.repo, held, given.upstream).persist()
+            for said in (hits, commits):
+                for row in said.where("state = 'new'").orderBy("file", "line").collect():
+                    placeholder = " (a placeholder)" if row["kind"] == "placeholder email" else ""
+                    print(f"{row['file']}:{row['line']}: {row['kind']}{placeholder}")
             for row in binary.collect():
                 print(f"{row['file']}: binary, not read")
             for row in stale.collect():
                 print(f"accepted entry for {row['file']}: {row['found']} lines, not {row['count']}")
-            return scan.exit_code(hits)
+            return scan.exit_code(hits, commits, stale=stale)
         found = settings.load([given.config, local])
         if given.command == "discover":
             return _discover(spark, found, given.json)

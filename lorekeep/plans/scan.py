@@ -11,35 +11,62 @@ from ..sources import git
 from ..sources.settings import ScanSettings
 
 
+def _accepted(spark: SparkSession, settings: ScanSettings) -> DataFrame:
+    return spark.createDataFrame(
+        [(a.file, a.match, a.count, a.note) for a in settings.accepted], "file string, match string, count int, note string"
+    )
+
+
+def _hits(lines: DataFrame, terms: list[str]) -> DataFrame:
+    found = leaks.pattern_hits(lines)
+    return found.unionByName(leaks.term_hits(lines, terms)) if terms else found
+
+
 def scan_repository(spark: SparkSession, repo: str, settings: ScanSettings, rev: str | None = "HEAD") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(hits with their state, binary files, stale entries)."""
     files = git.tracked(spark.createDataFrame([(repo,)], "path string"), rev).where("problem is null").persist()
     binary = files.where(leaks.is_binary(F.col("content"))).select("file")
     texts = files.where(~leaks.is_binary(F.col("content"))).select("file", decode_utf8("content").alias("text"))
-    each = leaks.numbered_lines(texts)
     terms = list(settings.terms)
-    hits = leaks.pattern_hits(each)
+    hits = _hits(leaks.numbered_lines(texts), terms)
     if terms:
         names = files.select("file", F.lit(0).alias("line"), F.col("file").alias("text"))
-        hits = hits.unionByName(leaks.term_hits(each, terms)).unionByName(leaks.term_hits(names, terms))
-    accepted = spark.createDataFrame(
-        [(a.file, a.match, a.count, a.note) for a in settings.accepted], "file string, match string, count int, note string"
-    )
+        hits = hits.unionByName(leaks.term_hits(names, terms))
+    accepted = _accepted(spark, settings)
     return leaks.classified(hits, accepted), binary, leaks.stale(hits, accepted)
 
 
 def scan_commits(spark: SparkSession, repo: str, settings: ScanSettings, upstream: str = "origin/main", end: str = "HEAD") -> DataFrame:
-    """Hits in lines and messages that commits past ``upstream`` add; none is accepted here."""
-    range_ = f"{upstream}..{end}"
-    log = git.commits(spark.createDataFrame([(repo, repo)], "project string, path string"), range_).where("problem is null")
+    """Hits in lines and messages that commits past ``upstream`` add, with their state; ``file`` is hash:file.
+
+    A line is accepted where the commit's own version of the file still has as
+    many such lines as the entry counts; a message or a key never is.  Where
+    git does not know the upstream, nothing can be said of the commits, and
+    that is an error.
+    """
+    log = git.commits(spark.createDataFrame([(repo, repo)], "project string, path string"), f"{upstream}..{end}").persist()
+    if problem := log.where("problem is not null").select("problem").first():
+        raise ValueError(f"commits past {upstream} cannot be read: {problem['problem']}")
     shown = git.diffs(log.select("path", "hash")).where("problem is null")
-    added = leaks.added_lines(shown).select(F.concat_ws(":", F.substring("hash", 1, 7), "file").alias("file"), "line", "text")
-    said = log.select(F.concat_ws(":", F.substring("hash", 1, 7), F.lit("message")).alias("file"), F.concat_ws("\n", "subject", "body").alias("text"))
-    each = added.unionByName(leaks.numbered_lines(said))
-    hits = leaks.pattern_hits(each)
-    return hits.unionByName(leaks.term_hits(each, list(settings.terms))) if settings.terms else hits
+    added = leaks.added_lines(shown).select(F.concat_ws(":", "hash", "file").alias("file"), "line", "text")
+    said = log.select(F.concat_ws(":", "hash", F.lit("")).alias("file"), F.concat_ws("\n", "subject", "body").alias("text"))
+    terms = list(settings.terms)
+    hits = _hits(added.unionByName(leaks.numbered_lines(said)), terms)
+    # What entries name is counted again in whole files, as they were at the commit.
+    name = F.regexp_extract("file", "^[^:]*:(.*)$", 1)
+    named = hits.select("file", name.alias("name"), F.lower("match").alias("match")).distinct()
+    entries = _accepted(spark, settings).select(F.col("file").alias("name"), F.lower("match").alias("match"), "count", "note")
+    asked = named.join(entries, ["name", "match"]).select("file", "match", "count", "note").persist()
+    places = asked.select(F.lit(repo).alias("path"), F.substring_index("file", ":", 1).alias("hash"), name.alias("file")).distinct()
+    versions = git.versions(places).where("problem is null")
+    texts = versions.select(F.concat_ws(":", "hash", "file").alias("file"), decode_utf8("content").alias("text"))
+    fine = leaks.classified(_hits(leaks.numbered_lines(texts), terms), asked).where("state = 'accepted'")
+    fine = fine.select("file", F.lower("match").alias("low"), "kind", F.lit("accepted").alias("state")).distinct()
+    marked = hits.withColumn("low", F.lower("match")).join(fine, ["file", "low", "kind"], "left")
+    return marked.select(*hits.columns, F.coalesce("state", F.lit("new")).alias("state"))
 
 
-def exit_code(hits: DataFrame) -> int:
-    """1 while a hit is new that is no placeholder."""
-    return int(hits.where("state = 'new' and kind <> 'placeholder email'").limit(1).count() > 0)
+def exit_code(*found: DataFrame, stale: DataFrame | None = None) -> int:
+    """1 while a hit is new that is no placeholder, or an entry is stale."""
+    new = any(not hits.where("state = 'new' and kind <> 'placeholder email'").isEmpty() for hits in found)
+    return int(new or (stale is not None and not stale.isEmpty()))

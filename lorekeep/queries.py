@@ -385,14 +385,14 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("role").alias("author_name"),
         F.concat("role", F.lit("@Example.com")).alias("author_email"),
         F.when(F.col("turn") == 2, bump).otherwise(F.substring("text", 1, 40)).alias("subject"),
-        F.substring("text", 41, 300).alias("body"),
-        F.slice(F.split("text", " "), 1, 35).alias("files"),
+        F.expr("substring(text, 41)").alias("body"),
+        F.split("text", " ").alias("files"),
     )
 
 
 HISTORY = """
 WITH h AS (SELECT conv_id, turn, 'repo' || (conv_id % 7) AS project, turn % 4 = 3 AS merged, role,
-  CASE WHEN turn = 2 THEN 'v1.' || conv_id ELSE substring(text, 1, 40) END AS subject, substring(text, 41, 300) AS body, string_split(text, ' ')[1:35] AS files FROM conversations)"""
+  CASE WHEN turn = 2 THEN 'v1.' || conv_id ELSE substring(text, 1, 40) END AS subject, substring(text, 41) AS body, string_split(text, ' ') AS files FROM conversations)"""
 
 
 @query(HISTORY + r""" SELECT project, count(*) FILTER (c = 1) AS merges, count(*) FILTER (c = 2) AS version_bumps, count(*) FILTER (c = 3) AS other_authors,
@@ -614,7 +614,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "conversations").where("turn = 0")
     n = (F.length("text") % 9).cast("int")
     return first.select(
-        F.col("conv_id").alias("query_id"), (F.col("conv_id") % 5 > 0).alias("answerable"), F.substring("text", 1, 10).alias("answer"),
+        F.col("conv_id").alias("query_id"), (F.col("conv_id") % 5 > 0).alias("answerable"), F.col("text").alias("answer"),
         F.array(n, n, F.lit(0), (n + 2).cast("int"), F.lit(-1)).alias("citations"),
     )
 
@@ -631,7 +631,7 @@ def citations_resolve(spark, sf_dir):
     return found.select("query_id", long("number"), "project")
 
 
-@query(CITED + """ SELECT conv_id AS query_id, verdict, CASE WHEN verdict = 'answered' THEN substring(text, 1, 10) END AS answer FROM (
+@query(CITED + """ SELECT conv_id AS query_id, verdict, CASE WHEN verdict = 'answered' THEN text END AS answer FROM (
 SELECT conv_id, text, CASE WHEN conv_id % 5 = 0 OR trim(substring(text, 1, 10)) = '' THEN 'refused' WHEN conv_id NOT IN (SELECT conv_id FROM v) THEN 'uncited' ELSE 'answered' END AS verdict FROM f)""")
 def answer_verdicts(spark, sf_dir):
     said = replies(spark, sf_dir)

@@ -102,6 +102,17 @@ def diffs(kept: DataFrame) -> DataFrame:
     return _over(kept, ["path", "hash"], "path string, hash string, diff string, problem string", work)
 
 
+def versions(places: DataFrame) -> DataFrame:
+    """``(path, hash, file, content)``: files as they are at a commit; one task for each few of them."""
+
+    def work(path: str, commit: str, file: str) -> Iterator[dict]:
+        if not _HASH.fullmatch(commit):
+            raise GitError("not a commit hash")
+        yield {"content": git(path, "show", f"{commit}:{file}")}
+
+    return _over(places, ["path", "hash", "file"], "path string, hash string, file string, content binary, problem string", work)
+
+
 def tracked(repos: DataFrame, rev: str | None = "HEAD") -> DataFrame:
     """``(path, file, content)`` of each tracked file at a revision, or as it lies in the worktree (None)."""
 

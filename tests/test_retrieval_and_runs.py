@@ -250,7 +250,14 @@ def test_leak_scan_of_a_repository(spark, tree):
     assert got == {("app.py", "term #1", "new"), ("app.py", "email", "accepted")}
     assert scan.exit_code(hits) == 1 and stale.count() == 0 and binary.count() == 0
     added = scan.scan_commits(spark, str(tree / "Alpha"), held, "HEAD~2")
-    assert {r.kind for r in added.collect()} == {"term #1", "email"}
+    got = {(r.file.split(":", 1)[1], r.kind, r.state) for r in added.collect()}
+    assert {(k, s) for f, k, s in got if f == "app.py"} == {("term #1", "new"), ("email", "accepted")}
+    other = settings.ScanSettings((), (settings.Accepted("app.py", "real@corp.io", 2, "two"),))
+    assert {r.state for r in scan.scan_commits(spark, str(tree / "Alpha"), other, "HEAD~2").where("kind = 'email'").collect()} == {"new"}
+    assert scan.exit_code(hits.where("state = 'accepted'")) == 0
+    assert scan.exit_code(hits.where("state = 'accepted'"), stale=scan.scan_repository(spark, str(tree / "Alpha"), other)[2]) == 1
+    with pytest.raises(ValueError, match="no-such"):
+        scan.scan_commits(spark, str(tree / "Alpha"), held, "no-such/upstream")
 
 
 def test_settings(tmp_path):
