@@ -205,6 +205,32 @@ def test_bpe_on_mixed_texts(library):
         assert own.decode(ids) == text
 
 
+def test_word_borders_are_the_librarys_on_all_planes(library):
+    """Every character of which the regex module thinks otherwise, each seventh of all, and random texts."""
+    own, counter = bpe.load(queries.vocabulary()), tokencount.load(queries.vocabulary())
+    every = [chr(c) for c in range(0x40000) if not 0xD800 <= c <= 0xDFFF]
+    _, odd = bpe.borders(queries.vocabulary())
+    some = [c for n, c in enumerate(every) if n % 7 == 0 or any(a <= c <= b for a, b in zip(odd[::3], odd[2::3]))]
+    assert len(some) > 40_000 and odd
+    rng = random.Random(11)
+    texts = [form.replace("{}", c) for c in some for form in ("{}'s", "1{}", "a{}")]
+    texts += ["".join(rng.choice(every) if rng.random() < 0.6 else rng.choice(" a1'!s\n") for _ in range(rng.randint(0, 30))) for _ in range(10_000)]
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        want = [w.ids for w in library.encode_batch_fast(part, add_special_tokens=False)]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode(part)] == want
+        assert counter.counts(part) == list(map(len, want))
+
+
+def test_counts_are_equal_on_both_sides_of_the_chunk_size(library):
+    counter = tokencount.load(queries.vocabulary())
+    base = " ".join(mixed(7, 4000))
+    for size in (tokencount.CHUNK_CHARS + d for d in (-1, 0, 1, 2, 255, 256, 257)):
+        text = base[:size]
+        assert len(text) == size
+        assert counter.counts([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+
+
 def test_bpe_round_trip_odd_rows(odder):
     path = queries.vocabulary()
     one = bpe.round_trip(odder, path).collect()
