@@ -458,6 +458,20 @@ def test_token_shards_odd_rows(spark, odder, tmp_path):
     assert tokenshards.read_shards(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_token_shards_deal_repeated_rows_apart(spark, tmp_path, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(tokenshards, "COPIES", 10)
+    monkeypatch.setattr(tokenshards, "BROADCAST_ROWS", broadcast_rows)
+    rows = [(None, "the same text without an id")] * 200 + [(1, "another")] * 5 + [(2, f"text {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = f"file://{tmp_path}/same{broadcast_rows}"
+    shards = tokenshards.write_shards(docs, queries.vocabulary("byte_bpe_50k.tiktoken"), out, shard_bytes=700)
+    got = tokenshards.read_shards(spark, out).collect()
+    assert sorted(r.slot for r in got) == list(range(305)) and shards > 5
+    held = [sum(r.shard == s and r.id is None for r in got) for s in range(shards)]
+    assert sum(held) == 200 and max(held) < 80
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 64, 1000, 4097])
 def test_feistel_is_a_permutation(size):
     got = tokenshards.feistel(np.arange(size), size, 99)
