@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import neutralise, strip
 
-OPEN, CLOSE = "<<<PASSAGE {}>>>", "<<<END PASSAGE {}>>>"
-
 REPLY = "struct<answerable:boolean,answer:string,citations:array<string>>"
 
 
@@ -53,12 +51,14 @@ def parse_replies(replies: DataFrame, text_col: str = "reply") -> DataFrame:
     Nothing is coerced: a number for a text, ``true`` for a number or a missing
     field is a problem.  Citations may be numbers or texts of digits.
     """
-    said = replies.withColumn("_json", unfenced(F.col(text_col)))
-    value = F.try_parse_json("_json")
+    # Columns of their own, so that each reply is parsed once.
+    said = replies.withColumn("_json", unfenced(F.col(text_col))).withColumn("_value", F.try_parse_json("_json"))
+    names = ("answerable", "answer", "citations")
+    said = said.withColumns({f"_{k}": F.try_variant_get("_value", f"$.{k}", "variant") for k in names})
+    value, fields = F.col("_value"), {k: F.col(f"_{k}") for k in names}
     kind = F.schema_of_variant(value)
-    fields = {k: F.try_variant_get(value, f"$.{k}", "variant") for k in ("answerable", "answer", "citations")}
     kinds = {k: F.schema_of_variant(v) for k, v in fields.items()}
-    cited = F.try_variant_get(value, "$.citations", "array<variant>")
+    cited = F.try_variant_get(fields["citations"], "$", "array<variant>")
     good = F.forall(
         cited,
         lambda c: F.coalesce(
@@ -79,11 +79,11 @@ def parse_replies(replies: DataFrame, text_col: str = "reply") -> DataFrame:
         .when(~good, "citations are not passage numbers")
     )
     raw = F.struct(
-        F.try_variant_get(value, "$.answerable", "boolean").alias("answerable"),
-        F.try_variant_get(value, "$.answer", "string").alias("answer"),
+        F.try_variant_get(fields["answerable"], "$", "boolean").alias("answerable"),
+        F.try_variant_get(fields["answer"], "$", "string").alias("answer"),
         F.transform(cited, lambda c: strip(F.try_variant_get(c, "$", "string")).cast("int")).alias("citations"),
     )
-    return said.withColumn("problem", problem).withColumn("raw", F.when(F.col("problem").isNull(), raw)).drop("_json")
+    return said.withColumn("problem", problem).withColumn("raw", F.when(F.col("problem").isNull(), raw)).drop("_json", "_value", *(f"_{k}" for k in names))
 
 
 def citations(answers: DataFrame, passages: DataFrame) -> DataFrame:
