@@ -100,7 +100,7 @@ def commit_text(subject: Column, body: Column, files: Column, excerpt: Column) -
 
 def commit_chunks(
     commits: DataFrame, diffs: DataFrame | None = None, size: int = MAX_CHARS, overlap: int = OVERLAP,
-    least: int = MIN_CHARS, thin_chars: int = THIN_CHARS,
+    least: int = MIN_CHARS, thin_chars: int = THIN_CHARS, excerpt_chars: int = EXCERPT_CHARS,
 ) -> DataFrame:
     """Chunks of kept commits ``(project, path, hash, parents, author_*, subject, body, files)``.
 
@@ -110,7 +110,7 @@ def commit_chunks(
         said = commits.withColumn("excerpt", F.lit(""))
     else:
         thin = is_thin(F.col("subject"), F.col("body"), thin_chars) & (F.size("parents") > 0)
-        said = commits.join(diff_excerpts(diffs), "hash", "left").withColumn(
+        said = commits.join(diff_excerpts(diffs, chars=excerpt_chars), "hash", "left").withColumn(
             "excerpt", F.when(thin, F.coalesce("excerpt", F.lit(""))).otherwise(F.lit(""))
         )
     text = commit_text(F.col("subject"), F.col("body"), F.col("files"), F.col("excerpt"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import time
 from abc import ABC, abstractmethod
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +21,9 @@ from ..functions.text import estimate_tokens
 from ..functions.vectors import unit
 
 BATCH_TEXTS, BATCH_TOKENS, WINDOW_SECONDS = 100, 12_000, 60
+#: Words whose dimension a task remembers.
+WORDS_KNOWN = 1_000_000
+_WORD = re.compile("[a-z0-9]+")
 
 
 def bucket(word: Column, dimensions: int) -> Column:
@@ -32,34 +39,39 @@ def keyword_counts(texts: DataFrame, id_col: str, text_col: str, dimensions: int
 
 
 def keyword_vectors(texts: DataFrame, id_col: str, text_col: str, dimensions: int = 256) -> DataFrame:
-    """``(id, embedding)``: keyword counts as a unit vector; a text without words gives a zero vector.
+    """``(id, embedding)`` of each row: keyword counts as a unit vector; a text without words gives a zero vector.
 
-    Words are counted in the JVM; only the few counts of each text go through
-    Arrow to be laid out, as a lookup for each dimension would cost far more.
+    Words are counted where their text lies, so nothing is shuffled; a word's
+    digest is computed once and remembered while the table of words is small.
     """
-    counts = keyword_counts(texts, id_col, text_col, dimensions)
-    held = counts.groupBy("id").agg(F.collect_list(F.struct("dimension", "weight")).alias("e"))
-    ids = texts.select(F.col(id_col).alias("id")).distinct()
+    stop = frozenset(STOP_WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
-            at, weights = batch.column(1), batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            rows = np.repeat(np.arange(batch.num_rows), np.diff(at.offsets.to_numpy()))
-            dense = np.zeros((batch.num_rows, dimensions))
-            dense[rows, at.flatten().to_numpy(zero_copy_only=False)] = weights
-            size = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
-            dense = np.divide(dense, size, out=dense, where=size > 0)
-            ends = pa.array(np.arange(0, dense.size + 1, dimensions, dtype=np.int32))
-            vectors = pa.ListArray.from_arrays(ends, pa.array(dense.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], ["id", "embedding"])
-
-    filled = ids.join(held, "id", "left").select(
-        "id",
-        F.coalesce(F.col("e.dimension"), F.array().cast("array<int>")).alias("at"),
-        F.coalesce(F.col("e.weight"), F.array().cast("array<bigint>")).alias("weights"),
-    )
-    kind = T.StructType([texts.select(F.col(id_col).alias("id")).schema["id"], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
-    return filled.mapInArrow(run, kind)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                dense = np.zeros((part.num_rows, dimensions))
+                for row, text in enumerate(part.column(1)):
+                    for word, n in Counter(m.group() for m in _WORD.finditer(text.as_py() or "")).items():
+                        if word in stop:
+                            continue
+                        place = known.get(word)
+                        if place is None:
+                            place = int.from_bytes(hashlib.sha256(word.encode()).digest()[:4], "big") % dimensions
+                            if len(word) <= 64:
+                                known[word] = place
+                        dense[row, place] += n
+                    if len(known) > WORDS_KNOWN:
+                        known.clear()
+                size = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
+                dense = np.divide(dense, size, out=dense, where=size > 0)
+                ends = pa.array(np.arange(0, dense.size + 1, dimensions, dtype=np.int32))
+                vectors = pa.ListArray.from_arrays(ends, pa.array(dense.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors], ["id", "embedding"])
+
+    source = texts.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
+    return source.mapInArrow(run, T.StructType([source.schema["id"], T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
 
 
 class Embedder(ABC):
@@ -71,6 +83,10 @@ class Embedder(ABC):
     def documents(self, texts: DataFrame) -> DataFrame:
         """``(key, vector)`` for ``(key, embed_text)``."""
 
+    def save_documents(self, texts: DataFrame, save: Callable[[DataFrame], None]) -> None:
+        """Give the vectors of ``texts`` to ``save``."""
+        save(self.documents(texts))
+
     @abstractmethod
     def query(self, text: str) -> list[float]: ...
 
@@ -107,17 +123,16 @@ class RemoteEmbedder(Embedder):
     """An outside service behind a global rate limit: batches go one after the other.
 
     ``call`` takes texts and whether they are queries, and returns a vector for
-    each.  ``save`` gets each batch's rows as they come, so a run that breaks
-    off keeps what it has paid for.
+    each.  Saving goes batch by batch, so a run that breaks off keeps what it
+    has paid for.
     """
 
     def __init__(
         self, spark, namespace: str, call: Callable[[Sequence[str], bool], list[list[float]]], attempts: int = 4,
         window: float = WINDOW_SECONDS, sleep: Callable[[float], None] = time.sleep,
-        save: Callable[[DataFrame], None] = lambda rows: None,
     ):
         self._spark, self.namespace, self._call = spark, namespace, call
-        self._attempts, self._window, self._sleep, self._save = attempts, window, sleep, save
+        self._attempts, self._window, self._sleep = attempts, window, sleep
 
     def _once(self, texts: Sequence[str], query: bool) -> list[list[float]]:
         for attempt in range(1, self._attempts + 1):
@@ -140,28 +155,30 @@ class RemoteEmbedder(Embedder):
             return found
         raise AssertionError
 
-    def documents(self, texts: DataFrame) -> DataFrame:
-        planned = plan_batches(texts.withColumn("tokens", estimate_tokens("embed_text")), [], ["key"]).persist()
-        spark, parts = self._spark, []
+    def _batches(self, texts: DataFrame) -> Iterator[DataFrame]:
+        """Rows of each batch once the service has answered; only keys and token counts are planned."""
+        planned = plan_batches(texts.select("key", estimate_tokens("embed_text").alias("tokens")), [], ["key"]).persist()
         try:
             last = planned.agg(F.max("batch").alias("n")).first()["n"]
             for number in range(1, (last or 0) + 1):
-                batch = planned.where(F.col("batch") == number).orderBy("key").select("key", "embed_text").collect()
+                keys = planned.where(F.col("batch") == number).select("key")
+                batch = texts.join(keys, "key").orderBy("key").select("key", "embed_text").collect()
                 if number > 1:
                     self._sleep(self._window)
                 vectors = self._once([r["embed_text"] for r in batch], False)
-                rows = spark.createDataFrame(
-                    [(r["key"], [float(x) for x in v]) for r, v in zip(batch, vectors, strict=True)],
-                    "key string, vector array<double>",
-                ).select("key", unit(F.col("vector")).alias("vector"))
-                self._save(rows)
-                parts.append(rows)
+                rows = [(r["key"], [float(x) for x in v]) for r, v in zip(batch, vectors, strict=True)]
+                yield self._spark.createDataFrame(rows, "key string, vector array<double>").select("key", unit(F.col("vector")).alias("vector"))
         finally:
             planned.unpersist()
-        out = spark.createDataFrame([], "key string, vector array<double>")
-        for rows in parts:
-            out = out.unionByName(rows)
-        return out
+
+    def documents(self, texts: DataFrame) -> DataFrame:
+        """All vectors at once, for a few texts such as questions; ``save_documents`` holds a batch at a time."""
+        none = self._spark.createDataFrame([], "key string, vector array<double>")
+        return reduce(DataFrame.unionByName, self._batches(texts), none)
+
+    def save_documents(self, texts: DataFrame, save: Callable[[DataFrame], None]) -> None:
+        for rows in self._batches(texts):
+            save(rows)
 
     def query(self, text: str) -> list[float]:
         raw = self._once([text], True)[0]

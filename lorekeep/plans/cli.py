@@ -1,9 +1,11 @@
-"""The command line: discover, index, search, eval and scan."""
+"""The command line: discover, index, search, ask, eval and scan."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import shlex
+import subprocess
 import sys
 from datetime import UTC, datetime
 from pathlib import Path
@@ -32,6 +34,11 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     find.add_argument("query")
     find.add_argument("-k", type=int, default=5, choices=range(1, 51), metavar="1-50")
     find.add_argument("--project")
+    answer = commands.add_parser("ask")
+    answer.add_argument("question")
+    answer.add_argument("-k", type=int, default=10, choices=range(1, 51), metavar="1-50")
+    answer.add_argument("--project")
+    answer.add_argument("--model", required=True, metavar="COMMAND", help="gets the prompt on its input and prints the reply")
     score = commands.add_parser("eval")
     score.add_argument("--fixture", type=Path, required=True)
     score.add_argument("--out", type=Path)
@@ -76,12 +83,39 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for row in shown.orderBy("rank").collect():
                 print(f"{row['rank']}. [{row['score']:.3f}] {row['where']}\n   {row['text']}")
             return 0
+        if given.command == "ask":
+            return _ask(index, embedder, given)
         return _evaluate(spark, index, embedder, given)
     except (settings.SettingsError, suites.SuiteError, ValueError, RuntimeError) as problem:
         print(problem, file=sys.stderr)
         return 2
 
 
+class Command:
+    """A generator that runs a command for each prompt."""
+
+    def __init__(self, words: str):
+        self._words = shlex.split(words)
+
+    def generate(self, prompt: str) -> str:
+        try:
+            done = subprocess.run(self._words, input=prompt.encode(), capture_output=True, check=True)
+        except (OSError, subprocess.CalledProcessError) as problem:
+            raise RuntimeError(f"the model command failed: {problem}") from problem
+        return done.stdout.decode("utf-8", "replace")
+
+
+def _ask(index: Index, embedder: KeywordEmbedder, given: argparse.Namespace) -> int:
+    said = runs.ask(index, embedder, Command(given.model), given.question, given.k, given.project)
+    if said["verdict"] == "answered":
+        print(said["answer"], *(f"[{r['number']}] {r['line']}" for r in said["citations"]), sep="\n")
+        return 0
+    print("The reply cites no passage, so it is not shown." if said["verdict"] == "uncited" else "The passages do not answer this. The nearest:")
+    for row in said["passages"][:3]:
+        print(f"  {row['project']} / {row['rel_path']}")
+    return 1
+
+
 def _discover(spark: SparkSession, found: settings.Settings, as_json: bool) -> int:
     rows = documents.discover(spark, found)
     if as_json:

@@ -68,11 +68,13 @@ class Index:
         row.coalesce(1).write.mode("append").parquet(f"{self._root}/pointer")
         return version
 
-    def upsert(self, chunks: DataFrame, namespace: str) -> str | None:
-        """Chunks by id over those that are there, as a new version."""
+    def upsert(self, chunks: DataFrame, namespace: str, documents: DataFrame | None = None) -> str | None:
+        """Chunks by id over those that are there, as a new version; other chunks of ``documents`` (project, rel_path) go."""
         meta, old = self.meta(), self.chunks()
         if meta and meta["namespace"] != namespace:
             raise SpaceMismatch(f"the index holds {meta['namespace']}, not {namespace}")
+        if documents is not None and old is not None:
+            old = old.join(documents.select("project", "rel_path").distinct(), ["project", "rel_path"], "left_anti").select(old.columns)
         new = upserted(old, chunks)
         return self.replace(new, namespace, (meta or {}).get("excluded", []), (meta or {}).get("indexed"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import estimate_tokens
+from ..functions.text import citation, day, estimate_tokens, source_line
 from ..operators import answers, chunking, commits, embedding, evaluation, guards, retrieval
 from ..sources import documents, git
 from ..sources.settings import Settings, required_exclusions
@@ -37,6 +39,8 @@ class Collected:
     unreadable: DataFrame
     commit_classes: DataFrame | None
     chunks: DataFrame
+    #: Repositories ``(project, path, head, branch, ..., flags, problem)``; those with a problem were skipped.
+    repositories: DataFrame | None = None
 
 
 def collect(spark: SparkSession, settings: Settings) -> Collected:
@@ -45,18 +49,21 @@ def collect(spark: SparkSession, settings: Settings) -> Collected:
     found = documents.discover(spark, settings).persist()
     texts, unreadable = documents.read_texts(found)
     chunks = chunking.chunk_documents(texts)
-    classes = None
+    classes = repositories = None
     if settings.git_enabled:
         if not settings.author_emails and not settings.author_names:
             raise ValueError("git is enabled but no author is named")
-        repos = found.select("project", F.col("project_root").alias("path")).distinct()
-        log = git.commits(repos).where("problem is null")
+        roots = found.select("project", F.col("project_root").alias("path")).distinct()
+        # A project root that is no repository is no fault.
+        repositories = git.status(roots).where("problem is null or lower(problem) not like '%not a git repository%'")
+        read = repositories.where("problem is null").select("project", "path", F.coalesce("default_branch", F.lit("HEAD")).alias("ref"))
+        log = git.commits(read, F.col("ref")).where("problem is null")
         classes = commits.classified(log, list(settings.author_emails), list(settings.author_names))
         kept = classes.where("class = 'kept'").drop("class", "problem")
         thin = kept.where(commits.is_thin(F.col("subject"), F.col("body"), settings.thin_message_chars) & (F.size("parents") > 0))
         shown = git.diffs(thin.select("path", "hash")).where("problem is null").select("hash", "diff")
-        chunks = chunks.unionByName(commits.commit_chunks(kept, shown, thin_chars=settings.thin_message_chars))
-    return Collected(found, unreadable, classes, chunks)
+        chunks = chunks.unionByName(commits.commit_chunks(kept, shown, thin_chars=settings.thin_message_chars, excerpt_chars=settings.diff_excerpt_chars))
+    return Collected(found, unreadable, classes, chunks, repositories)
 
 
 def index_totals(chunks: DataFrame) -> DataFrame:
@@ -82,17 +89,26 @@ def plan_embedding(index: Index, chunks: DataFrame, namespace: str) -> DataFrame
     return embedding.with_cache(chunks, cache, namespace)
 
 
-def store(index: Index, chunks: DataFrame, embedder: embedding.Embedder, excluded: list[str] = ()) -> str:
-    """Embed what the cache lacks, then make the chunks the index: all vectors are there before anything is replaced."""
+@contextmanager
+def embedded(index: Index, chunks: DataFrame, embedder: embedding.Embedder) -> Iterator[DataFrame]:
+    """The chunks with ``embedding``; what the cache lacks is embedded and saved first, batch by batch."""
     looked_up = plan_embedding(index, chunks, embedder.namespace).persist()
-    missing = embedding.pending(looked_up, ["project", "rel_path", "chunk_index"]).select("key", "embed_text")
-    index.save_vectors(embedder.documents(missing))
-    vectors = embedding.latest(index.cache())
-    whole = looked_up.drop("vector").join(vectors, "key").withColumnRenamed("vector", "embedding").drop("key")
-    names = [r["project"] for r in chunks.select("project").distinct().collect()]
-    version = index.replace(whole, embedder.namespace, list(excluded), sorted(names))
-    looked_up.unpersist()
-    return version
+    try:
+        missing = embedding.pending(looked_up, ["project", "rel_path", "chunk_index"]).select("key", "embed_text")
+        embedder.save_documents(missing, index.save_vectors)
+        cache = index.cache()
+        if cache is None:
+            cache = chunks.sparkSession.createDataFrame([], "key string, vector array<double>, written timestamp")
+        yield looked_up.drop("vector").join(embedding.latest(cache), "key").withColumnRenamed("vector", "embedding").drop("key")
+    finally:
+        looked_up.unpersist()
+
+
+def store(index: Index, chunks: DataFrame, embedder: embedding.Embedder, excluded: list[str] = ()) -> str:
+    """Make the chunks the index: all vectors are there before anything is replaced."""
+    with embedded(index, chunks, embedder) as whole:
+        names = [r["project"] for r in chunks.select("project").distinct().collect()]
+        return index.replace(whole, embedder.namespace, list(excluded), sorted(names))
 
 
 def build(
@@ -112,9 +128,12 @@ def build(
     looked_up = plan_embedding(index, chunks, embedder.namespace)
     plan = embedding.embedding_plan(looked_up).first()
     waits = embedding.plan_batches(
-        embedding.pending(looked_up, ["project", "rel_path", "chunk_index"]).withColumn("tokens", estimate_tokens("embed_text")), [], ["first_seen"]
+        embedding.pending(looked_up, ["project", "rel_path", "chunk_index"]).select("key", "first_seen", estimate_tokens("embed_text").alias("tokens")), [], ["first_seen"]
     ).agg(embedding.pacing_seconds(F.coalesce(F.max("batch"), F.lit(0))).alias("s")).first()["s"]
-    report = totals.asDict() | plan.asDict() | {"new_projects": new, "seconds": waits, "version": None}
+    report = totals.asDict() | plan.asDict() | {"new_projects": new, "seconds": waits, "version": None, "repositories": []}
+    if found.repositories is not None:
+        states = found.repositories.select("project", "default_branch", "ahead", "behind", "flags", "problem").orderBy("project")
+        report["repositories"] = [r.asDict() for r in states.collect()]
     if not dry_run:
         if problem := guards.acceptance_problem(new, list(accept), accept_all, recorded is None):
             raise ValueError(problem)
@@ -149,6 +168,17 @@ def passages_for(index: Index, embedder: embedding.Embedder, questions: DataFram
     return found.join(chunks.drop("project", "rel_path", "content_hash", "embedding"), "chunk_id")
 
 
+def dated(cited: DataFrame) -> DataFrame:
+    """Cited chunks with ``date`` (of the commit, else of the file's last commit, else of the file) and ``changed``."""
+    root = F.expr("substring(path, 1, length(path) - length(rel_path) - 1)")
+    files = cited.where("source <> 'git'").select(root.alias("path"), F.col("rel_path").alias("file"))
+    known = git.file_dates(files).select(F.concat_ws("/", "path", "file").alias("path"), "date", "seconds")
+    rows = cited.join(known, "path", "left")
+    said = F.when(F.col("source") == "git", day("author_date")).otherwise(F.coalesce("date", F.lit("unknown")))
+    changed = answers.changed_since_indexed(F.col("seconds"), F.col("mtime"), F.col("source"))
+    return rows.withColumns({"date": said, "changed": changed}).drop("seconds")
+
+
 def ask(index: Index, embedder: embedding.Embedder, generator: Generator, question: str, k: int = retrieval.ANSWER_K, project: str | None = None) -> dict:
     """A cited answer, or a refusal; the text of an answer without a valid citation is not shown."""
     found = search(index, embedder, question, retrieval.POOL, project).withColumn("query_id", F.lit("q"))
@@ -165,7 +195,10 @@ def ask(index: Index, embedder: embedding.Embedder, generator: Generator, questi
         raise RuntimeError(f"the reply is not usable: {one['problem']}")
     cited = answers.citations(parsed, held).orderBy("number")
     verdict = answers.verdicts(parsed, cited).first()
-    numbers = cited.select("number", "project", "rel_path", "heading_path", "author_date", "source").collect() if verdict["verdict"] == "answered" else []
+    numbers = []
+    if verdict["verdict"] == "answered":
+        shown = dated(cited).withColumn("line", source_line(citation("project", "rel_path", "heading_path"), "date", "changed"))
+        numbers = shown.select("number", "project", "rel_path", "heading_path", "author_date", "source", "date", "changed", "line").orderBy("number").collect()
     return {"verdict": verdict["verdict"], "answer": verdict["answer"], "citations": numbers, "passages": held.orderBy("rank").collect()}
 
 

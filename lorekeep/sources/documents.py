@@ -118,7 +118,7 @@ def read_texts(found: DataFrame, tasks: int = 64) -> tuple[DataFrame, DataFrame]
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                read = [_content(p) for p in part.column(at_path).to_pylist()]
+                read = [content_of(p) for p in part.column(at_path).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(read, pa.binary())], names)
 
     kind = T.StructType([*found.schema.fields, T.StructField("content", T.BinaryType())])
@@ -127,7 +127,7 @@ def read_texts(found: DataFrame, tasks: int = 64) -> tuple[DataFrame, DataFrame]
     return texts, read.where("content is null").drop("content")
 
 
-def _content(path: str) -> bytes | None:
+def content_of(path: str) -> bytes | None:
     try:
         with open(path, "rb") as file:
             return file.read()

@@ -1,18 +1,23 @@
 """Git history as DataFrames: log, diffs, tracked trees and repository state.
 
-Each repository is a row; tasks run git over theirs and give rows back.
+Tasks run git and hand on its output, a record a row as it comes; what the
+records say is taken apart, filtered and counted by Spark.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import subprocess
-from collections.abc import Callable, Iterator
+import threading
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import strip
+from .documents import content_of
 
 #: Separators and fields of the log, and settings that could change git's output.
 RECORD, FIELD = "\x1e", "\x1f"
@@ -20,174 +25,224 @@ LOG_FORMAT = "%x1e%H%x1f%P%x1f%an%x1f%ae%x1f%aI%x1f%s%x1f%b%x1f"
 FIELDS = ("hash", "parents", "author_name", "author_email", "author_date", "subject", "body", "files")
 PINNED = ("core.quotePath=false", "log.showSignature=false", "log.showRoot=true", "color.ui=never")
 ELSEWHERE = ("GIT_DIR", "GIT_WORK_TREE", "GIT_INDEX_FILE", "GIT_COMMON_DIR")
-_HASH = re.compile(r"[0-9a-f]{40,64}")
+SECONDS = 60.0
 
 
 class GitError(RuntimeError):
-    """Git did not do as asked."""
+    """A request that git must not get."""
 
 
-def git(repo: str, *args: str, timeout: float = 60.0) -> bytes:
-    """Output of a git command in one repository, whatever the user's settings and environment."""
-    environment = {k: v for k, v in os.environ.items() if k not in ELSEWHERE}
-    environment |= {"GIT_CEILING_DIRECTORIES": os.path.dirname(os.path.abspath(repo)), "GIT_OPTIONAL_LOCKS": "0"}
-    pinned = [part for setting in PINNED for part in ("-c", setting)]
+def _records(repo: str, args: list[str], end: bytes | None) -> Iterator[tuple[list[bytes], str | None]]:
+    """Git's output cut at ``end`` while it comes (None: whole, at last), then what went wrong, if anything did."""
+    environment = {k: v for k, v in os.environ.items() if k not in ELSEWHERE} | {"GIT_OPTIONAL_LOCKS": "0"}
+    environment["GIT_CEILING_DIRECTORIES"] = os.path.dirname(os.path.abspath(repo))
+    settings = [word for pin in PINNED for word in ("-c", pin)]
     try:
-        done = subprocess.run(["git", *pinned, "-C", repo, *args], capture_output=True, env=environment, timeout=timeout)
-    except (OSError, subprocess.TimeoutExpired) as problem:
-        raise GitError(str(problem)) from problem
-    if done.returncode:
-        said = done.stderr.decode("utf-8", "replace").strip().splitlines()
-        raise GitError(said[0] if said else f"git ended with {done.returncode}")
-    return done.stdout
-
-
-def _over(repos: DataFrame, columns: list[str], schema: str, work: Callable[..., Iterator[dict]]) -> DataFrame:
-    """Rows of ``work(*columns)`` for each row; an error gives a row with ``problem`` and nothing else."""
+        process = subprocess.Popen(["git", *settings, "-C", repo, *args], stdout=subprocess.PIPE, stderr=subprocess.PIPE, env=environment)
+    except OSError as problem:
+        yield [], str(problem)
+        return
+    complaints: list[bytes] = []
+    reader = threading.Thread(target=lambda: complaints.append(process.stderr.read()), daemon=True)
+    watch = threading.Timer(SECONDS, process.kill)
+    reader.start()
+    watch.start()
+    with process:
+        rest = b""
+        while end is not None and (block := process.stdout.read(1 << 20)):
+            *whole, rest = (rest + block).split(end)
+            if whole:
+                yield whole, None
+        rest += process.stdout.read()
+        ended = process.wait()
+        watch.cancel()
+        reader.join()
+    if ended:
+        first = b"".join(complaints).decode("utf-8", "replace").strip().partition("\n")[0]
+        yield [], first or f"git ended with {ended}"
+    elif rest or end is None:
+        yield [rest], None
+
+
+def ask(asked: DataFrame, args: Column, end: str | None = None) -> DataFrame:
+    """``asked`` (with ``path``) and what git answers to ``args`` there.
+
+    A row for each record in ``said`` (bytes), in git's order; where git fails
+    a last row has ``problem`` instead.
+    """
+    names = [*asked.columns, "said", "problem"]
+    at_path, n = asked.columns.index("path"), len(asked.columns)
+    cut = None if end is None else end.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key = dict(zip(columns, row, strict=True))
-                try:
-                    rows = [key | r for r in work(*row)]
-                except GitError as problem:
-                    rows = [key | {"problem": str(problem)}]
-                for at in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_pylist(rows[at : at + 1000], schema=wide)
+            asks = zip(batch.column(at_path).to_pylist(), batch.column(n).to_pylist(), strict=True)
+            for row, (path, words) in enumerate(asks):
+                for records, problem in _records(path, words, cut):
+                    rows = max(1, len(records))
+                    own = [c.take(pa.array([row] * rows)) for c in batch.columns[:n]]
+                    answers = [pa.array(records or [None], pa.binary()), pa.array([problem] * rows, pa.string())]
+                    yield pa.RecordBatch.from_arrays([*own, *answers], names)
+
+    kind = T.StructType([*asked.schema.fields, T.StructField("said", T.BinaryType()), T.StructField("problem", T.StringType())])
+    return asked.withColumn("_args", args).mapInArrow(run, kind)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    kind = _parse_datatype_string(schema)
-    wide = to_arrow_schema(kind)
-    return repos.select(*columns).mapInArrow(run, kind)
+def _words(*words: str | Column) -> Column:
+    return F.array(*[F.lit(w) if isinstance(w, str) else w for w in words])
 
 
-def commits(repos: DataFrame, ref: str = "HEAD") -> DataFrame:
+def _text(said: str = "said") -> Column:
+    return F.make_valid_utf8(F.col(said).cast("string"))
+
+
+def commits(repos: DataFrame, ref: str | Column = "HEAD") -> DataFrame:
     """Commits of each ``(project, path)``, newest first, with the files that each touches; ``problem`` where git failed."""
-    if ref.startswith("-"):
+    if isinstance(ref, str) and ref.startswith("-"):
         raise GitError(f"not a ref: {ref!r}")
-
-    def work(project: str, path: str) -> Iterator[dict]:
-        said = git(path, "log", f"--format={LOG_FORMAT}", "--name-only", ref).decode("utf-8", "replace")
-        for record in said.split(RECORD)[1:]:
-            parts = record.split(FIELD)
-            if len(parts) != len(FIELDS):
-                raise GitError("a log record with another number of fields")
-            row = dict(zip(FIELDS, parts, strict=True))
-            yield row | {
-                "parents": row["parents"].split(),
-                "subject": row["subject"].strip(),
-                "body": row["body"].strip(),
-                "files": [f for f in row["files"].split("\n") if f.strip()],
-            }
-
-    return _over(
-        repos, ["project", "path"],
-        "project string, path string, hash string, parents array<string>, author_name string, author_email string,"
-        " author_date string, subject string, body string, files array<string>, problem string", work,
+    log = ask(repos, _words("log", f"--format={LOG_FORMAT}", "--name-only", "--end-of-options", ref, "--"), RECORD)
+    parts = F.split(_text(), FIELD)
+    rows = log.where("problem is not null or length(said) > 0").withColumn("_f", parts)
+    field = {name: F.get("_f", F.lit(i)) for i, name in enumerate(FIELDS)}
+    full = F.size("_f") == len(FIELDS)
+    return rows.select(
+        "project", "path", field["hash"].alias("hash"),
+        F.filter(F.split(field["parents"], " "), lambda x: x != "").alias("parents"),
+        *[field[x].alias(x) for x in ("author_name", "author_email", "author_date")],
+        strip(field["subject"]).alias("subject"), strip(field["body"]).alias("body"),
+        F.filter(F.split(field["files"], "\n"), lambda x: strip(x) != "").alias("files"),
+        F.coalesce("problem", F.when(~full, "a log record with another number of fields")).alias("problem"),
     )
 
 
-def diffs(kept: DataFrame) -> DataFrame:
-    """``(path, hash, diff)`` without context lines."""
+def _hashed(places: DataFrame) -> DataFrame:
+    """``places`` whose hash is one; anything else would reach git as an option or another ref."""
+    return places.where(F.col("hash").rlike("^[0-9a-f]{40,64}$"))
 
-    def work(path: str, commit: str) -> Iterator[dict]:
-        if not _HASH.fullmatch(commit):
-            raise GitError("not a commit hash")
-        shown = git(path, "show", "--format=", "-U0", "--no-ext-diff", "--no-textconv", "--first-parent", commit)
-        yield {"diff": shown.decode("utf-8", "replace")}
 
-    return _over(kept, ["path", "hash"], "path string, hash string, diff string, problem string", work)
+def diffs(kept: DataFrame) -> DataFrame:
+    """``(path, hash, diff, problem)`` of each commit ``(path, hash)`` against its first parent, without context lines."""
+    asked = _hashed(kept.select("path", "hash"))
+    shown = ask(asked, _words("show", "--format=", "-U0", "--no-ext-diff", "--no-textconv", "--first-parent", F.col("hash")))
+    return shown.select("path", "hash", _text().alias("diff"), "problem")
 
 
 def versions(places: DataFrame) -> DataFrame:
-    """``(path, hash, file, content)``: files as they are at a commit; one task for each few of them."""
-
-    def work(path: str, commit: str, file: str) -> Iterator[dict]:
-        if not _HASH.fullmatch(commit):
-            raise GitError("not a commit hash")
-        yield {"content": git(path, "show", f"{commit}:{file}")}
-
-    return _over(places, ["path", "hash", "file"], "path string, hash string, file string, content binary, problem string", work)
+    """``(path, hash, file, content, problem)``: files as they are at a commit."""
+    asked = _hashed(places.select("path", "hash", "file"))
+    return ask(asked, _words("show", F.concat_ws(":", "hash", "file"))).withColumnRenamed("said", "content")
 
 
 def tracked(repos: DataFrame, rev: str | None = "HEAD") -> DataFrame:
-    """``(path, file, content)`` of each tracked file at a revision, or as it lies in the worktree (None)."""
-
-    def work(path: str) -> Iterator[dict]:
-        if rev is None:
-            for name in git(path, "ls-files", "-z").decode("utf-8", "replace").split("\0"):
-                full = os.path.join(path, name)
-                if name and os.path.isfile(full):
-                    with open(full, "rb") as file:
-                        yield {"file": name, "content": file.read()}
-            return
-        for entry in git(path, "ls-tree", "-r", "-z", rev).decode("utf-8", "replace").split("\0"):
-            head, _, name = entry.partition("\t")
-            if head.split()[1:2] == ["blob"]:
-                yield {"file": name, "content": git(path, "cat-file", "blob", head.split()[2])}
-
-    return _over(repos, ["path"], "path string, file string, content binary, problem string", work)
+    """``(path, file, content, problem)`` of each tracked file at a revision, or as it lies in the worktree (None).
+
+    The tree is listed first and its files are dealt out, so that tasks share
+    the reading of one large repository.
+    """
+    if rev is not None and rev.startswith("-"):
+        raise GitError(f"not a revision: {rev!r}")
+    if rev is None:
+        listed = ask(repos.select("path"), _words("ls-files", "-z"), "\0").select("path", _text().alias("file"), "problem")
+        return _read(listed.repartition("file"))
+    entry = ask(repos.select("path"), _words("ls-tree", "-r", "-z", rev), "\0")
+    head = F.split(F.substring_index(_text(), "\t", 1), " ")
+    name = F.expr("substring(_t, locate('\t', _t) + 1)")
+    listed = entry.withColumn("_t", _text()).select("path", name.alias("file"), head.alias("head"), "problem")
+    failed = listed.where("problem is not null").select("path", F.lit(None).cast("string").alias("file"), F.lit(None).cast("binary").alias("content"), "problem")
+    blobs = listed.where("problem is null and head[1] = 'blob'").select("path", "file", F.col("head")[2].alias("blob")).repartition("blob", "file")
+    read = ask(blobs, _words("cat-file", "blob", F.col("blob"))).select("path", "file", F.col("said").alias("content"), "problem")
+    return read.unionByName(failed)
+
+
+def _read(listed: DataFrame) -> DataFrame:
+    """Contents of files in a worktree; those that are gone or no files are left out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, file, problem in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = content_of(os.path.join(path, file)) if file else None
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path]), pa.array([file], pa.string()), pa.array([found], pa.binary()), pa.array([problem], pa.string())],
+                    ["path", "file", "content", "problem"],
+                )
 
-def _line(path: str, *args: str) -> str | None:
-    try:
-        return git(path, *args).decode("utf-8", "replace").strip() or None
-    except GitError:
-        return None
+    read = listed.mapInArrow(run, "path string, file string, content binary, problem string")
+    return read.where("content is not null or problem is not null")
 
 
 def status(repos: DataFrame) -> DataFrame:
-    """Branch, default branch, distance to it, and flags of each repository."""
-
-    def work(path: str) -> Iterator[dict]:
-        head = git(path, "rev-parse", "HEAD").decode().strip()
-        branch = _line(path, "symbolic-ref", "--short", "-q", "HEAD")
-        remotes = (_line(path, "remote") or "").split()
-        remote = "origin" if "origin" in remotes else remotes[0] if remotes else None
-        default = _line(path, "symbolic-ref", "--short", "-q", f"refs/remotes/{remote}/HEAD") if remote else None
-        if remote and default is None:
-            names = (f"{remote}/main", f"{remote}/master")
-            default = next((n for n in names if _line(path, "rev-parse", "-q", "--verify", f"refs/remotes/{n}")), None)
-        ahead = behind = None
-        if default and (counts := _line(path, "rev-list", "--left-right", "--count", f"HEAD...{default}")):
-            ahead, behind = map(int, counts.split())
-        flags = [
-            flag
-            for flag, holds in (
-                ("no remote", remote is None),
-                ("detached", branch is None),
-                ("not on the default branch", bool(default and branch and default != f"{remote}/{branch}")),
-                ("unpushed commits", bool(ahead)),
-                ("behind", bool(behind)),
-            )
-            if holds
-        ]
-        yield {"head": head, "branch": branch, "default_branch": default, "ahead": ahead, "behind": behind, "flags": flags}
-
-    return _over(
-        repos, ["path"],
-        "path string, head string, branch string, default_branch string, ahead int, behind int, flags array<string>,"
-        " problem string", work,
+    """``repos`` (with ``path``) with head, branch, default branch, distance to it, and flags; ``problem`` where git failed.
+
+    The default branch is what the remote (origin, else the first by name)
+    points its head at, else its main, else its master.
+    """
+    paths = repos.select("path").distinct()
+    questions = {
+        "state": ("status", "--porcelain=v2", "--branch", "--untracked-files=no"),
+        "remote": ("remote",),
+        "ref": ("for-each-ref", "--format=%(refname)%1f%(symref)", "refs/remotes"),
+    }
+    each = F.explode(F.create_map(*[x for k, words in questions.items() for x in (F.lit(k), _words(*words))])).alias("kind", "words")
+    lines = ask(paths.select("path", each), F.col("words"), "\n").withColumn("line", _text())
+
+    def after(head: str) -> Column:
+        return F.max(F.when((F.col("kind") == "state") & F.col("line").startswith(head), F.expr(f"substring(line, {len(head) + 1})")))
+
+    ref = F.struct(F.split("line", FIELD)[0].alias("name"), F.split("line", FIELD)[1].alias("target"))
+    seen = lines.groupBy("path").agg(
+        after("# branch.oid ").alias("head"), after("# branch.head ").alias("branch"),
+        F.sort_array(F.collect_set(F.when(F.col("kind") == "remote", F.col("line")))).alias("remotes"),
+        F.collect_set(F.when((F.col("kind") == "ref") & F.col("line").isNotNull(), ref)).alias("refs"),
+        F.max("problem").alias("problem"),
     )
+    remote = F.when(F.array_contains("remotes", "origin"), "origin").otherwise(F.get("remotes", F.lit(0)))
+    seen = seen.withColumn("remote", remote).withColumn("base", F.concat(F.lit("refs/remotes/"), F.col("remote"), F.lit("/")))
+    pointed = F.get(F.filter("refs", lambda r: r["name"] == F.concat("base", F.lit("HEAD"))), F.lit(0))["target"]
+    names = F.transform("refs", lambda r: r["name"])
+    usual = [F.when(F.array_contains(names, F.concat("base", F.lit(n))), F.concat("base", F.lit(n))) for n in ("main", "master")]
+    whole = F.coalesce(F.nullif(pointed, F.lit("")), *usual)
+    seen = seen.withColumn("whole", whole).withColumn("default_branch", F.expr("substring(whole, 14)"))  # without refs/remotes/
+    seen = seen.withColumn("problem", F.coalesce("problem", F.when(F.col("head") == "(initial)", "no commits yet")))
+
+    compared = seen.where("problem is null and whole is not null").select("path", "whole")
+    apart = ask(compared, _words("rev-list", "--left-right", F.concat(F.lit("HEAD..."), F.col("whole"))), "\n").withColumn("line", _text())
+    counts = apart.groupBy("path").agg(
+        F.count_if(F.col("line").startswith("<")).cast("int").alias("ahead"), F.count_if(F.col("line").startswith(">")).cast("int").alias("behind")
+    )
+    rows = seen.join(counts, "path", "left").withColumn("branch", F.when(F.col("branch") != "(detached)", F.col("branch")))
+    for side in ("ahead", "behind"):
+        rows = rows.withColumn(side, F.coalesce(side, F.when(F.col("whole").isNotNull(), 0)))
+    holds = {
+        "no remote": F.col("remote").isNull(),
+        "detached": F.col("branch").isNull(),
+        "not on the default branch": F.col("default_branch") != F.concat_ws("/", "remote", "branch"),
+        "unpushed commits": F.col("ahead") > 0,
+        "behind": F.col("behind") > 0,
+    }
+    flags = F.array_compact(F.array(*[F.when(held, F.lit(flag)) for flag, held in holds.items()]))
+    found = rows.select(
+        "path", "head", "branch", "default_branch", "ahead", "behind", F.when(F.col("problem").isNull(), flags).alias("flags"), "problem"
+    )
+    return repos.join(found, "path")
 
 
 def file_dates(files: DataFrame) -> DataFrame:
     """``(path, file, date, dated_by)``: the date of the last commit of a file, else of the file, else unknown."""
+    asked = files.select("path", "file").distinct()
+    committed = ask(asked, _words("log", "-1", "--format=%cs", "--", F.col("file")))
+    committed = committed.select("path", "file", F.nullif(strip(_text()), F.lit("")).alias("committed"))
 
-    def work(path: str, file: str) -> Iterator[dict]:
-        if said := _line(path, "log", "-1", "--format=%cs", "--", file):
-            yield {"date": said, "dated_by": "git"}
-            return
-        try:
-            seconds = os.stat(os.path.join(path, file)).st_mtime
-        except OSError:
-            yield {"date": "unknown", "dated_by": "unknown"}
-        else:
-            yield {"seconds": seconds, "dated_by": "mtime"}
-
-    found = _over(files, ["path", "file"], "path string, file string, date string, dated_by string, seconds double, problem string", work)
-    local = F.date_format(F.timestamp_seconds("seconds"), "yyyy-MM-dd")
-    return found.select("path", "file", F.coalesce("date", local, F.lit("unknown")).alias("date"), F.coalesce("dated_by", F.lit("unknown")).alias("dated_by"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seconds = []
+            for path, file in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                try:
+                    seconds.append(os.stat(os.path.join(path, file)).st_mtime)
+                except OSError:
+                    seconds.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seconds, pa.float64())], ["path", "file", "committed", "seconds"])
+
+    found = committed.mapInArrow(run, "path string, file string, committed string, seconds double")
+    touched = F.date_format(F.timestamp_seconds("seconds"), "yyyy-MM-dd")
+    by = F.when(F.col("committed").isNotNull(), "git").when(F.col("seconds").isNotNull(), "mtime").otherwise("unknown")
+    return found.select("path", "file", F.coalesce("committed", touched, F.lit("unknown")).alias("date"), by.alias("dated_by"), "seconds")
