@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 import subprocess
 from pathlib import Path
 
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lorekeep import queries
 from lorekeep.operators import answers, evaluation, guards, leaks, retrieval
-from lorekeep.operators.embedding import KeywordEmbedder
+from lorekeep.operators.embedding import DailyQuotaExceeded, KeywordEmbedder, RemoteEmbedder
 from lorekeep.plans import cli, runs, scan
 from lorekeep.plans.index import Index, SpaceMismatch
+from lorekeep.plans.service import Service
 from lorekeep.sources import documents, git, settings, suites
 
 FOUND = "query_id string, rank int, project string, rel_path string, content_hash string, chunk_id int"
@@ -204,6 +206,78 @@ def test_git_sources(spark, tree):
         git.commits(repos, "--all")
 
 
+def test_status_against_the_default_branch(spark, tree, tmp_path):
+    run(tmp_path, "clone", "--bare", str(tree / "Alpha"), "far.git")
+    run(tmp_path, "clone", "far.git", "near")
+    near = tmp_path / "near"
+    run(near, "commit", "--allow-empty", "-m", "Not pushed")
+    row = git.status(spark.createDataFrame([("near", str(near))], "project string, path string")).first()
+    assert (row.project, row.branch, row.default_branch, row.ahead, row.behind) == ("near", "main", "origin/main", 1, 0)
+    assert row.flags == ["unpushed commits"] and row.problem is None
+    run(near, "reset", "--hard", "HEAD~2")
+    run(near, "checkout", "-b", "side")
+    row = git.status(spark.createDataFrame([(str(near),)], "path string")).first()
+    assert (row.ahead, row.behind, row.flags) == (0, 1, ["not on the default branch", "behind"])
+    run(near, "checkout", "--detach")
+    assert "detached" in git.status(spark.createDataFrame([(str(near),)], "path string")).first().flags
+    (tmp_path / "new").mkdir()
+    run(tmp_path / "new", "init")
+    assert git.status(spark.createDataFrame([(str(tmp_path / "new"),)], "path string")).first().problem == "no commits yet"
+    asked = spark.createDataFrame([("near", str(near))], "project string, path string")
+    assert git.commits(asked, "origin/main").count() == 3 and git.commits(asked).count() == 2
+
+
+def test_tracked_files(spark, tree):
+    repo = tree / "Alpha"
+    (repo / "app.py").write_bytes(b"changed\0")
+    rows = spark.createDataFrame([(str(repo),)], "path string")
+    at_head = {r.file: bytes(r.content) for r in git.tracked(rows).collect()}
+    lying = {r.file: bytes(r.content) for r in git.tracked(rows, None).collect()}
+    assert at_head.keys() == lying.keys() and at_head["app.py"].startswith(b"print") and lying["app.py"] == b"changed\0"
+    assert [bool(r.problem) for r in git.tracked(rows, "no-such").collect()] == [True]
+
+
+def test_service_hides_and_counts(spark, tree, tmp_path):
+    index, embedder = Index(spark, f"file://{tmp_path}/index"), KeywordEmbedder(spark)
+    with pytest.raises(retrieval.RetrievalError):
+        Service(index, embedder, chosen(tree, service_exclude_projects=()))
+    runs.build(spark, chosen(tree), index, embedder, accept_all=True)
+    with pytest.raises(settings.SettingsError):
+        Service(index, embedder, chosen(tree))
+    with pytest.raises(ValueError, match="position"):
+        Service(index, embedder, chosen(tree, service_exclude_projects=("Alhpa",)))
+    held = Service(index, embedder, chosen(tree, service_exclude_projects=("ALPHA", "Secret"), max_searches=1))
+    assert held.projects() == ["inner", "Parent", "root"]
+    for refused in (lambda: held.search(" "), lambda: held.search("x", project="Alpha")):
+        with pytest.raises(retrieval.RetrievalError):
+            refused()
+    assert "Alpha" not in {r.project for r in held.search("photos caching", 5).collect()}
+    with pytest.raises(RuntimeError, match="SESSION_CAP"):
+        held.search("photos")
+    one, other = (index.chunks().where(f"project = '{p}'").first().chunk_id for p in ("Alpha", "inner"))
+    assert held.get(other).project == "inner"
+    with pytest.raises(KeyError):
+        held.get(one)
+
+
+def test_paid_batches_stay_saved(spark, tree, tmp_path):
+    asked = []
+
+    def call(texts, query):
+        asked.append(len(texts))
+        if len(asked) == 2:
+            raise DailyQuotaExceeded("no more today")
+        return [[1.0, 2.0]] * len(texts)
+
+    index = Index(spark, f"file://{tmp_path}/index")
+    rows = spark.createDataFrame([(str(i), f"text {i}") for i in range(150)], "key string, embed_text string")
+    embedder = RemoteEmbedder(spark, "far", call, sleep=lambda seconds: None)
+    with pytest.raises(DailyQuotaExceeded):
+        embedder.save_documents(rows, index.save_vectors)
+    assert index.cache().count() == 100
+    assert embedder.documents(rows).count() == 150 and asked == [100, 50, 100, 50]
+
+
 def test_index_search_ask_and_evaluate(spark, tree, tmp_path):
     held = chosen(tree, git_enabled=True, author_names=("me",))
     index, embedder = Index(spark, f"file://{tmp_path}/index"), KeywordEmbedder(spark)
@@ -236,7 +310,9 @@ def test_index_search_ask_and_evaluate(spark, tree, tmp_path):
 
     good = Says('{"answerable": true, "answer": "Close [1].", "citations": [1]}')
     said = runs.ask(index, embedder, good, "Where are photos kept?")
-    assert said["verdict"] == "answered" and said["citations"][0].number == 1 and "<<<PASSAGE 1>>>" in good.prompt
+    cited = said["citations"][0]
+    assert re.fullmatch(r"\d{4}-\d\d-\d\d", cited.date) and not cited.changed and cited.line.endswith(cited.date)
+    assert said["verdict"] == "answered" and cited.number == 1 and "<<<PASSAGE 1>>>" in good.prompt
     assert runs.ask(index, embedder, Says('{"answerable": true, "answer": "x", "citations": [99]}'), "photos")["verdict"] == "uncited"
     suite = spark.createDataFrame([("a", "c", "photos caching", ["Alpha"], ["close to the reader"], None, None)], evaluation.QUESTION)
     outcomes, summary = runs.evaluate(index, embedder, suite)
@@ -284,6 +360,12 @@ def test_command_line(spark, tree, tmp_path, monkeypatch, capsys):
     assert cli.main([*base, "search", "x"], spark) == 2
     assert cli.main([*base, "index", "--accept-all-new"], spark) == 0
     assert cli.main([*base, "search", "tides and moons", "-k", "1"], spark) == 0 and "inner / readme.md" in capsys.readouterr().out
+    reply = tmp_path / "reply.json"
+    reply.write_text('{"answerable": true, "answer": "Moons [1].", "citations": [1]}')
+    assert cli.main([*base, "ask", "tides and moons", "--model", f"cat {reply}"], spark) == 0
+    assert "Moons [1].\n[1] inner / readme.md" in capsys.readouterr().out
+    reply.write_text('{"answerable": false, "answer": "", "citations": []}')
+    assert cli.main([*base, "ask", "tides", "--model", f"cat {reply}"], spark) == 1 and "Moons" not in capsys.readouterr().out
     (tmp_path / "suite.toml").write_text('version = 2\n[[question]]\nid = "a"\ncategory = "c"\ntext = "tides"\nexpected_projects = ["inner"]\n')
     assert cli.main([*base, "eval", "--fixture", str(tmp_path / "suite.toml"), "--out", str(tmp_path / "out")], spark) == 0
     report = json.loads(next((tmp_path / "out").iterdir()).read_text())
@@ -299,7 +381,12 @@ def test_stream_follows_documents(spark, tmp_path):
     for n, word in enumerate(("rivers", "lakes")):
         spark.createDataFrame([("P", "a.md", "/a", 1.0, body.replace("rivers", word)), ("P", f"{n}.md", "/b", 1.0, body)], schema).write.mode("append").parquet(source)
         follow(spark.readStream.schema(schema).parquet(source), index, KeywordEmbedder(spark), f"{tmp_path}/checkpoint").awaitTermination()
-    assert sorted((r.rel_path, "lakes" in r.text) for r in index.chunks().collect()) == [("0.md", False), ("1.md", False), ("a.md", True)]
+    long = "\n\n".join(f"{body} {n}" for n in range(60))
+    for text, more in ((long, True), (body, False)):
+        spark.createDataFrame([("P", "c.md", "/c", 1.0, text)], schema).write.mode("append").parquet(source)
+        follow(spark.readStream.schema(schema).parquet(source), index, KeywordEmbedder(spark), f"{tmp_path}/checkpoint").awaitTermination()
+        assert (index.chunks().where("rel_path = 'c.md'").count() > 1) is more
+    assert sorted((r.rel_path, "lakes" in r.text) for r in index.chunks().where("rel_path <> 'c.md'").collect()) == [("0.md", False), ("1.md", False), ("a.md", True)]
 
 
 def plain(value):
