@@ -123,16 +123,17 @@ class RemoteEmbedder(Embedder):
     """An outside service behind a global rate limit: batches go one after the other.
 
     ``call`` takes texts and whether they are queries, and returns a vector for
-    each.  Saving goes batch by batch, so a run that breaks off keeps what it
-    has paid for.
+    each.  ``save``, and that of ``save_documents``, gets each batch's rows as
+    they come, so a run that breaks off keeps what it has paid for.
     """
 
     def __init__(
         self, spark, namespace: str, call: Callable[[Sequence[str], bool], list[list[float]]], attempts: int = 4,
         window: float = WINDOW_SECONDS, sleep: Callable[[float], None] = time.sleep,
+        save: Callable[[DataFrame], None] = lambda rows: None,
     ):
         self._spark, self.namespace, self._call = spark, namespace, call
-        self._attempts, self._window, self._sleep = attempts, window, sleep
+        self._attempts, self._window, self._sleep, self._save = attempts, window, sleep, save
 
     def _once(self, texts: Sequence[str], query: bool) -> list[list[float]]:
         for attempt in range(1, self._attempts + 1):
@@ -167,7 +168,9 @@ class RemoteEmbedder(Embedder):
                     self._sleep(self._window)
                 vectors = self._once([r["embed_text"] for r in batch], False)
                 rows = [(r["key"], [float(x) for x in v]) for r, v in zip(batch, vectors, strict=True)]
-                yield self._spark.createDataFrame(rows, "key string, vector array<double>").select("key", unit(F.col("vector")).alias("vector"))
+                found = self._spark.createDataFrame(rows, "key string, vector array<double>").select("key", unit(F.col("vector")).alias("vector"))
+                self._save(found)
+                yield found
         finally:
             planned.unpersist()
 
