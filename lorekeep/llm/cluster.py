@@ -2,54 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the bitmap that picks rows before they are shuffled: 4 MB whatever the data.
-FILTER_BITS = 25
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what the session has set.
-
-    Where neither is set, a local session (one machine, as in tests) gets a
-    temporary folder; a cluster's is an error, as its machines share none.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(folder)
-    return folder
-
+from ..sources.shared import cut, new_path, numbered, shared_dir, stored
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` now and keep it in the shared folder, without its lineage.
+__all__ = ["cut", "new_path", "numbered", "only_ids", "runs", "shared_dir", "stored"]
 
-    A lost executor then costs a read, not a recomputation.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like ``cut``, but as compressed columns: for tables with wide rows."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+#: Bits of the bitmap that picks rows before they are shuffled: 4 MB whatever the data.
+FILTER_BITS = 25
 
 
 def only_ids(texts: DataFrame, ids: DataFrame, log_bits: int = FILTER_BITS) -> DataFrame:
