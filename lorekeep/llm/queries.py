@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, crosspoly, decontam, negatives, pii, quality, simhash, substring, tokencount, tokenshards
+from . import bpe, chat, crosspoly, decontam, mixing, negatives, pii, quality, simhash, substring, tokencount, tokenshards
 from .cluster import new_path
 
 
@@ -97,6 +97,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.shares(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontam": op9_decontam,
     "op10_pii": op10_pii,
+    "op12_mixing": op12_mixing,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
