@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, crosspoly, decontam, mixing, negatives, pii, quality, simhash, substring, tokencount, tokenshards
+from . import bpe, chat, crosspoly, decontam, mixing, negatives, periods, pii, quality, simhash, substring, tokencount, tokenshards
 from .cluster import new_path
 
 
@@ -97,6 +97,28 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: every tenth document, by its id's CRC, repeats a stretch of its words up to its end."""
+    split = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", (h / 10).cast("long").alias("g"), F.when(h % 10 == 0, split).alias("w"))
+    rows = rows.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    planted = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[int(a + (i - a) % p)])), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("s"), (-r.period).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    rows = found.select("id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_runs", (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.p")).alias("period"),
+        F.expr("1000 * best.length div -best.p").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.shares(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -119,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontam": op9_decontam,
     "op10_pii": op10_pii,
+    "op11_periods": op11_periods,
     "op12_mixing": op12_mixing,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -151,6 +174,26 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec
 r AS (SELECT vec_id, vec_id AS reached FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached),
 c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c""",
+    "op11_periods": r"""
+WITH c AS (SELECT doc_id, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)),
+             lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) AS h,
+             list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+a AS (SELECT doc_id, w, h % 10 = 0 AND len(w) > 0 AS hit, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS k FROM c),
+d AS (SELECT doc_id, CASE WHEN hit THEN list_transform(w, lambda x, i: CASE WHEN i - 1 < a THEN x ELSE w[1 + a + (i - 1 - a) % (1 + (len(w) - a) // k)] END) ELSE w END AS w FROM a),
+t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM d),
+b AS (SELECT doc_id, i, x, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM t),
+f AS (SELECT * FROM b WHERE y IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, x, y) > 2),
+m AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM f l JOIN f r ON l.doc_id = r.doc_id AND l.x = r.x AND l.y = r.y AND l.i < r.i),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM m),
+r AS (SELECT doc_id, min(i) AS start, count(*) + 1 + q AS length, q FROM s GROUP BY doc_id, q, g HAVING count(*) + 1 + q >= greatest(6, 4 * q)),
+u AS (SELECT doc_id, start, length, min(q) AS period FROM r GROUP BY doc_id, start, length),
+best AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+runs AS (SELECT doc_id, count(*) AS n, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM u GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM u),
+kept AS (SELECT t.doc_id, string_agg(x, ' ' ORDER BY t.i) FILTER (g.i IS NULL) AS k FROM t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k, '')) AS collapsed_sha256
+FROM d LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN runs ON runs.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id""",
     "op13_hard_negatives": """
 WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l,
                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
