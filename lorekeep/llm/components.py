@@ -1,13 +1,19 @@
-"""Connected components of a link table, by alternating star contractions."""
+"""Connected components of a link table: a counted small table in one task, others by alternating star contractions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import cut
 
+#: Links that one task joins; beyond, rounds of aggregations and joins give the same result.
+AT_ONCE = 100_000
+
 
 def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Join the classes of a[i] and b[i] for all i, in one task's memory."""
@@ -29,13 +35,23 @@ def _fingerprint(links: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
-def connected_components(links: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
+def _in_one_task(pairs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([batch.column(c).to_numpy() for c in (0, 1)]) for batch in batches]
+        nodes, both = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *held], axis=1), return_inverse=True)
+        root = nodes[merge(np.arange(len(nodes)), *both.reshape(2, -1))]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], ["node", "root"])
+
+    return pairs.select("u", "v").repartition(1).mapInArrow(run, "node long, root long")
+
+
+def connected_components(links: DataFrame, left: str, right: str, max_rounds: int = 60, at_once: int | None = None) -> DataFrame:
     """Return ``(node, root)`` for every node that has a link; root is the least node reachable.
 
     ``links`` are pairs of longs in any order; repeats, loops and nulls are
-    allowed and the last two ignored.  Each round runs one large-star and one
+    allowed and the last two ignored.  Up to ``at_once`` links go to one task.  Beyond, each round runs one large-star and one
     small-star step, each an aggregation and a join on the node, so no group
-    is ever gathered in a task or at the driver; only a count and a checksum
+    is gathered in a task or at the driver; only a count and a checksum
     of the links reach the driver to notice the fixed point.
     """
     pairs = (
@@ -45,6 +61,8 @@ def connected_components(links: DataFrame, left: str, right: str, max_rounds: in
     )
     pairs = cut(pairs)
     seen = _fingerprint(pairs)
+    if seen[0] <= (AT_ONCE if at_once is None else at_once):
+        return cut(_in_one_task(pairs))
     for _ in range(max_rounds):
         if seen[0] == 0:
             break

@@ -12,9 +12,11 @@ ten million; candidates below are not looked at further.  All others are
 verified on the sets of 64-bit shingle hashes.
 
 Links are only needed up to components.  Each class is first held against the
-likeliest of those that are chosen in its buckets; what then lies in different
-components of a bucket meets in tasks, block by block.  Only texts of classes
-with candidates are shuffled.
+likeliest of those that are chosen in its buckets.  What then lies in different
+components of a bucket meets in tasks by the minima, 100 bytes a class; only
+classes with a likely partner in another component bring their texts, and only
+in the first bucket that the two share (told by bytes of the minima, so one pair
+in a hundred million is missed), where blocks of them meet in tasks.
 
 A null or wordless text has the empty set and links with its like only; a text
 of fewer than five words is one shingle; a very long text has as many shingles
@@ -39,8 +41,11 @@ SHINGLE = 5
 BANDS, ROWS = 25, 4
 #: Minima of which a byte must agree in a pair that is verified: six standard deviations below 80 of 100.
 LIKELY = 56
-#: Rows of one class or bucket that a task handles at once; more are dealt out in parts.
+#: Rows of one class or bucket that a task handles at once, and their shingles; more are dealt out in parts.
 PART = 1_024
+PART_SHINGLES = 1 << 20
+#: Rows of a bucket whose minima a task compares at once.
+SKETCHES = 8_192
 
 _odd = np.random.default_rng(SEED).integers(1 << 63, size=(3, 128), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES, _TIMES, _PLUS = _odd[0, :SHINGLE], _odd[1, : BANDS * ROWS], _odd[2, : BANDS * ROWS]
@@ -187,12 +192,22 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, hub long")
 
 
-def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of the buckets that still hold classes of more than one component."""
-    roots = connected_components(links, "a", "hub").withColumnRenamed("node", "c")
-    named = rows.select("k", "c", "met").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+def _rooted(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows of the buckets that still hold classes of more than one component; ``names`` has the roots of linked classes."""
+    named = rows.select("k", "band", "c", "met").join(names, "c", "left").withColumn("root", F.coalesce("root", "c"))
     still = named.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return cut(named.join(still.select("k"), "k", "left_semi").select("k", "c", "met", "root"))
+    return cut(named.join(still.select("k"), "k", "left_semi").select("k", "band", "c", "met", "root"))
+
+
+def _joined(names: DataFrame, links: DataFrame) -> DataFrame:
+    """``(c, root)`` of all linked classes once ``links`` join components: only these are worked on, not those before."""
+    side = names.withColumnRenamed("root", "of")
+    moved = links.join(side.withColumnRenamed("c", "a"), "a", "left").withColumn("p", F.coalesce("of", "a")).drop("of")
+    moved = moved.join(side.withColumnRenamed("c", "hub"), "hub", "left").withColumn("q", F.coalesce("of", "hub"))
+    roots = connected_components(moved, "p", "q").withColumnRenamed("root", "top")
+    known = names.join(roots.withColumnRenamed("node", "root"), "root", "left").select("c", F.coalesce("top", "root").alias("root"))
+    fresh = roots.select(F.col("node").alias("c"), F.col("top").alias("root")).join(names, "c", "left_anti")
+    return cut(known.unionByName(fresh))
 
 
 def against_one(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -223,18 +238,57 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return found
 
 
+def _dealt(rows: DataFrame, blocks: DataFrame, *columns: str) -> DataFrame:
+    """``(k, i, j, ...)``: each block of a bucket with each, for ``blocks`` with their number for each k."""
+    own = rows.join(blocks, "k").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    return own.withColumn("other", other).select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *columns)
+
+
+def _likely_rows(n: np.ndarray, root: np.ndarray, sketch: np.ndarray, band: int) -> np.ndarray:
+    """Which rows of a bucket have a likely partner in another component that they meet in no earlier bucket."""
+    hit = np.zeros(len(n), bool)
+    columns = np.ascontiguousarray(sketch.T)
+    for at in range(0, len(n), 256):
+        some = slice(at, at + 256)
+        same = np.zeros((len(n[some]), len(n)), np.uint8)
+        for byte in columns:
+            same += byte[some, None] == byte
+        least, most = np.minimum(n[some, None], n), np.maximum(n[some, None], n)
+        a, b = np.nonzero((same >= LIKELY) & (root[some, None] != root) & (5 * least >= 4 * most))
+        for part in range(0, len(a), 65_536):
+            x, y = a[part : part + 65_536] + at, b[part : part + 65_536]
+            earlier = (sketch[x, : band * ROWS] == sketch[y, : band * ROWS]).reshape(len(x), band, ROWS).all(axis=2).any(axis=1)
+            hit[x[~earlier]] = True
+    return hit
+
+
+def with_partners(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows ``(k, c, root, n)`` of classes with a likely partner in another component."""
+    blocks = rows.groupBy("k").agg(F.ceil(F.count("*") / SKETCHES).alias("blocks"))
+    dealt = _dealt(rows.join(classes.select("c", "n", "sketch"), "c"), blocks, "c", "root", "n", "band", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, 3):
+            root, n, band = (group.column(x).to_numpy() for x in (4, 5, 6))
+            if (root == root[0]).all():
+                continue
+            sketch = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+            hit = pa.array(_likely_rows(n, root, sketch, int(band[0])))
+            yield pa.RecordBatch.from_arrays([group.column(x) for x in (0, 3, 4, 5)], ["k", "c", "root", "n"]).filter(hit)
+
+    dealt = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+    return dealt.mapInArrow(run, "k long, c long, root long, n long").distinct()
+
+
 def across(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(a, hub)``: verified links that join what is left in each open bucket.
+    """``(a, hub)``: verified links that join what ``with_partners`` left in each bucket.
 
     Blocks of a bucket meet in tasks, which count what each two sets share and
     give a spanning forest of the links, never the pairs.
     """
-    sizes = rows.groupBy("k").agg(F.ceil(F.count("*") / PART).alias("blocks"))
-    own = rows.join(sizes, "k").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = own.withColumn("other", other).join(texts, "c").select(
-        "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "root", "text"
-    )
+    blocks = rows.groupBy("k").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / PART_SHINGLES), F.lit(1)).alias("blocks"))
+    dealt = _dealt(rows, blocks, "c", "root").join(texts, "c").select("k", "i", "j", "c", "root", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, 3):
@@ -272,28 +326,28 @@ def within_bits(classes: DataFrame, trees: Callable[[DataFrame], DataFrame]) ->
 
 
 def near_duplicates(docs: DataFrame, trees: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, t, c, component)`` per row with an id: hash of its text, class, and the least id reachable over links.
+    """``(id, t, c, root, component)`` per row with an id: hash of its text, class, a class of its group, least id of the group.
 
     ``trees`` gives links ``(a, b)`` between near fingerprints, for a frame of
-    distinct ones in column fp.
+    distinct ones in column fp.  Groups that hold one id may share a component;
+    their roots differ.
     """
     marked = stored(signatures(docs, id_col, text_col), "signatures")
     firsts = [F.first(x).alias(x) for x in ("n", "fp", "keys", "sketch")]  # equal in a class
     classes = stored(marked.groupBy("c").agg(F.min("id").alias("first"), *firsts), "classes")
-    dealt = classes.select("c", F.explode("keys").alias("k")).repartition("k")
+    dealt = classes.select("c", F.posexplode("keys").alias("band", "k"))
     shared = dealt.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high")
-    rows = cut(dealt.join(shared.select("k", "m"), "k").select("k", "c", "m"))
+    rows = cut(dealt.join(shared.select("k", "m"), "k").select("k", "band", "c", "m"))
     met = rows.groupBy("c").agg(F.sum("m").alias("met"))
-    rows = rows.join(met, "c").select("k", "c", "met")
+    rows = rows.join(met, "c").select("k", "band", "c", "met")
     seeds = cut(within_bits(classes, trees))
     wanted = rows.select("c").unionByName(seeds.select(F.col("a").alias("c"))).unionByName(seeds.select(F.col("hub").alias("c")))
     texts = stored(class_texts(docs, id_col, text_col, marked, wanted.distinct()), "texts")
-    links = cut(verified(likely(seeds, classes), texts))
-    rows = _rooted(rows, links)
-    links = links.unionByName(cut(verified(cut(against_one(rows, classes)), texts)))
-    links = links.unionByName(cut(across(_rooted(rows, links), texts)))
-    roots = connected_components(links, "a", "hub").withColumnRenamed("node", "c")
-    joined = classes.select("c", "first").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    names = connected_components(verified(likely(seeds, classes), texts), "a", "hub").withColumnRenamed("node", "c")
+    rows = _rooted(rows, names)
+    names = _joined(names, verified(cut(against_one(rows, classes)), texts))
+    names = _joined(names, across(cut(with_partners(_rooted(rows, names), classes)), texts))
+    joined = classes.select("c", "first").join(names, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = joined.groupBy("root").agg(F.min("first").alias("component"))
-    named = cut(joined.join(least, "root").select("c", "component"))
-    return marked.select("id", "t", "c").join(named, "c").select("id", "t", "c", "component")
+    named = cut(joined.join(least, "root").select("c", "root", "component"))
+    return marked.select("id", "t", "c").join(named, "c").select("id", "t", "c", "root", "component")

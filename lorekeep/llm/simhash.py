@@ -48,7 +48,6 @@ LEAF_ROWS = 2_048
 #: Fingerprints that a task routes through the trees at once.
 ROUTE_ROWS = 262_144
 EVERY_BIT = np.uint64(2**64 - 1)
-_ID, _TEXT, _PLACE = "__id", "__text", "__place"  # beside the columns of a table, whatever their names
 
 
 def fingerprint(text: bytes) -> int:
@@ -287,11 +286,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     cannot be told apart and all stay, and take the place of none.
     """
     found = minhash.near_duplicates(docs, links, id_col, text_col)
-    kept = found.where("id = component").groupBy("id", "c").agg(F.min("t").alias("t")).select("id", "t")
-    own = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))]
-    named = docs.withColumns({_ID: own[0], _TEXT: own[1]}).where(F.col(_ID).isNotNull())
-    chosen = named.join(kept.select(F.col("id").alias(_ID), F.col("t").alias(_TEXT)), [_ID, _TEXT], "left_semi")
+    kept = found.where("id = component").groupBy("id", "root").agg(F.min("t").alias("t"))
+    free = "k" * (1 + max(map(len, docs.columns)))  # no column has names as long
+    own, text, place = f"{free}i", f"{free}t", f"{free}p"
+    named = docs.withColumns({own: F.col(id_col).cast("long"), text: F.xxhash64(F.col(text_col).cast("string"))}).where(F.col(own).isNotNull())
+    chosen = named.join(kept.select(F.col("id").alias(own), F.col("t").alias(text)), [own, text], "left_semi")
     order = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    place = F.row_number().over(Window.partitionBy(_ID, _TEXT).orderBy(order))
-    first = chosen.withColumn(_PLACE, place).where(F.col(_PLACE) == 1)
-    return first.select(*docs.columns).unionByName(docs.where(F.col(id_col).cast("long").isNull()))
+    first = chosen.withColumn(place, F.row_number().over(Window.partitionBy(own, text).orderBy(order))).where(F.col(place) == 1)
+    return first.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where(F.col(id_col).cast("long").isNull()))

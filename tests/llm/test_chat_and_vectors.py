@@ -167,8 +167,10 @@ def test_components(spark):
         a, b = sorted((find(a), find(b)))
         root[b] = a
     linked = {i for a, b in links if a != b for i in (a, b)}
-    got = {r.node: r.root for r in connected_components(frame, "a", "b").collect()}
-    assert got == {i: find(i) for i in linked}
+    for at_once in (0, 100_000):  # rounds of contractions, or one task
+        got = {r.node: r.root for r in connected_components(frame, "a", "b", at_once=at_once).collect()}
+        assert got == {i: find(i) for i in linked}
+        assert connected_components(frame.limit(0), "a", "b", at_once=at_once).count() == 0
 
 
 def test_pipeline_equals_its_parts(spark, sf_dir):

@@ -10,7 +10,9 @@ import xxhash
 from public_tokenizers import path as vocabulary_path
 from tokenizers import Tokenizer
 
-from lorekeep.llm import bpe, decontam, pii, quality, queries, simhash, substring, tokencount, tokenshards
+from pyspark.sql import functions as F
+
+from lorekeep.llm import bpe, decontam, minhash, pii, quality, queries, simhash, substring, tokencount, tokenshards
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -127,8 +129,30 @@ def test_keep_one_judges_rows_that_repeat_an_id_by_their_texts(spark):
         assert sorted(map(tuple, kept.collect())) == [(1, a), (3, b)]
 
 
-def test_keep_one_equals_jaccard_brute_force(spark):
-    """Near copies over a range of similarities about 0.8, chains of them among them."""
+def test_keep_one_takes_one_row_of_an_id_in_a_group(spark):
+    base = [f"w{i}" for i in range(200)]
+    near = [*base[:100], "other", *base[101:]]
+    far = [f"v{i}" for i in range(200)]
+    rows = [(1, " ".join(base)), (1, " ".join(near)), (1, " ".join(far)), (2, " ".join(base)), (2, " ".join(far))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in kept] == [1, 1]
+    assert sorted(r.text.split()[0] for r in kept) == ["v0", "w0"]
+
+
+def test_keep_one_leaves_columns_of_any_name(spark):
+    base = " ".join(f"w{i}" for i in range(50))
+    shape = "doc_id long, text string, `__id` int, `__text` int, kk int, `a.b` int"
+    kept = simhash.keep_one(spark.createDataFrame([(1, base, 7, 8, 9, 10), (2, base, 1, 1, 1, 1)], shape)).collect()
+    assert [tuple(r)[2:] for r in kept] == [(7, 8, 9, 10)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_keep_one_equals_jaccard_brute_force(spark, small, monkeypatch):
+    """Near copies over a range of similarities about 0.8, chains of them among them; also with blocks of few rows."""
+    if small:
+        monkeypatch.setattr(minhash, "PART", 2)
+        monkeypatch.setattr(minhash, "SKETCHES", 2)
+        monkeypatch.setattr(minhash, "against_one", lambda rows, classes: classes.select(F.col("c").alias("a"), F.col("c").alias("hub")).limit(0))
     rng = random.Random(12)
     docs = []
     for _ in range(40):
