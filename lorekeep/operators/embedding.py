@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions.patterns import STOP_WORDS
 from ..functions.text import estimate_tokens
 from ..functions.vectors import unit
+from . import batches
 
 BATCH_TEXTS, BATCH_TOKENS, WINDOW_SECONDS = 100, 12_000, 60
 #: Words whose dimension a task remembers.
@@ -92,7 +93,7 @@ class Embedder(ABC):
 
 
 class KeywordEmbedder(Embedder):
-    """Bags of words in a fixed number of dimensions; offline, and all in the JVM."""
+    """Bags of words in a fixed number of dimensions; offline."""
 
     def __init__(self, spark, dimensions: int = 256):
         self._spark, self.dimensions = spark, dimensions
@@ -195,31 +196,9 @@ def plan_batches(
 ) -> DataFrame:
     """``texts`` with ``batch``, from 1 in each group: in order, as many as both limits allow.
 
-    A text over the token limit goes alone.  When a batch closes depends on
-    where the one before closed, so a group's rows stream in order through one
-    task, which holds two running numbers and no rows.
+    A text over the token limit goes alone.
     """
-    names = texts.columns
-    n_group, at_tokens = len(group), names.index("tokens")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, number, count, total = None, 0, 0, 0
-        for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(names), len(names) + n_group)), strict=True)) if n_group else [()] * batch.num_rows
-            out = []
-            for own, tokens in zip(keys, batch.column(at_tokens).to_pylist(), strict=True):
-                if key != own or number == 0:
-                    key, number, count, total = own, 1, 0, 0
-                elif count >= most_texts or (most_tokens is not None and count and total + tokens > most_tokens):
-                    number, count, total = number + 1, 0, 0
-                count, total = count + 1, total + tokens
-                out.append(number)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, pa.int64())], [*names, "batch"])
-
-    keyed = texts.select("*", *[F.col(g).alias(f"_group{i}") for i, g in enumerate(group)])
-    own = [f"_group{i}" for i in range(n_group)]
-    dealt = keyed.repartition(*own) if own else keyed.repartition(1)
-    return dealt.sortWithinPartitions(*own, *order).mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField("batch", T.LongType())]))
+    return batches.plan_batches(texts, group, order, most_texts, most_tokens)
 
 
 def pacing_seconds(batches: Column, window: int = WINDOW_SECONDS) -> Column:

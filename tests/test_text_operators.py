@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text, vectors
 from lorekeep.functions.patterns import left_out_of_excerpts, looks_secret
-from lorekeep.operators import chunking, commits, embedding
+from lorekeep.operators import batches, chunking, commits, embedding
 
 
 def headings(body):
@@ -88,6 +88,47 @@ def test_batches_of_groups_and_nothing(spark):
     assert embedding.plan_batches(rows.limit(0), ["g"], ["n"]).count() == 0
 
 
+def one_by_one(rows, most, limit):
+    """The plan by a walk in order; rows are (group, order, tokens)."""
+    plan, now = {}, None
+    for group, n, tokens in sorted(rows):
+        if group != now:
+            now, number, count, total = group, 1, 0, 0
+        elif count >= most or (limit is not None and total + tokens > limit):
+            number, count, total = number + 1, 0, 0
+        count, total = count + 1, total + tokens
+        plan[group, n] = number
+    return plan
+
+
+@pytest.mark.parametrize(("most", "limit", "chunk", "fan"), [(7, 40, 8, 2), (3, None, 5, 3), (10, 25, 64, 256), (100, 300, 128, 2)])
+def test_batches_over_many_chunks(spark, most, limit, chunk, fan, monkeypatch):
+    monkeypatch.setattr(batches, "FAN", fan)
+    rng = random.Random(most)
+    groups = ["a"] * 300 + ["b"] * 3 + ["c"] + ["d"] * 200 + ["é"] * 90
+    rows = [(g, i, rng.choice([0, 1, 5, 9, 60])) for i, g in enumerate(groups)]
+    frame = spark.createDataFrame(rows, "g string, n long, tokens long").repartition(5)
+    got = batches.plan_batches(frame, ["g"], ["n"], most, limit, chunk)
+    assert got.columns == ["g", "n", "tokens", "batch"]
+    assert {(r.g, r.n): r.batch for r in got.collect()} == one_by_one(rows, most, limit)
+    assert got.count() == len(rows)
+
+
+def test_batches_of_one_large_group(spark):
+    """A million rows of one group: every task has a chunk, and the plan equals a walk."""
+    rows = spark.range(1_000_000, numPartitions=8).select("id", (F.xxhash64("id") % 200).alias("tokens"), F.spark_partition_id().alias("kp"))
+    planned = batches.plan_batches(rows.withColumn("tokens", F.abs("tokens")), [], ["id"], 100, 5_000, chunk=50_000)
+    got = planned.orderBy("id").select("tokens", "batch").toPandas()
+    number, count, total, want = 1, 0, 0, []
+    for tokens in got["tokens"].tolist():
+        if count >= 100 or (count and total + tokens > 5_000):
+            number, count, total = number + 1, 0, 0
+        count, total = count + 1, total + tokens
+        want.append(number)
+    assert got["batch"].tolist() == want and number > 10_000
+    assert planned.columns == ["id", "tokens", "kp", "batch"]
+
+
 def test_keyword_vectors(spark):
     rows = spark.createDataFrame([(1, "Caching the caching"), (2, "the of"), (3, None), (4, "caching")], "id long, text string")
     got = {r.id: r.embedding for r in embedding.keyword_vectors(rows, "id", "text").collect()}
