@@ -80,26 +80,18 @@ def evaluate(questions: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def reason():
-    """Why a question passed or not, in words."""
-    first = F.col("matches")[0]
-    place = F.concat(
-        first["needle"], F.lit(" at rank "), first["rank"].cast("string"), F.lit(" ("), first["project"], F.lit(" / "),
-        first["rel_path"], F.lit(" #"), first["chunk_index"].cast("string"), F.lit(")"),
-    )
-    hit = F.size("matches") > 0
-    some, gone = F.array_join("found", ", "), F.array_join("missing", ", ")
-    where = F.when(F.size("found") > 0, F.concat(some, F.lit(" returned"))).otherwise(F.concat(gone, F.lit(" not returned")))
-    score = F.when(F.col("top_score").isNull(), "nothing retrieved").otherwise(F.format_string("top score %.3f", "top_score"))
-    return (
-        F.when(F.col("check") == "no-answer", F.concat(F.lit("expects no answer; "), score))
-        .when((F.col("check") == "lure") & hit, F.concat(F.lit("lure "), place))
-        .when(F.col("check") == "lure", F.concat(F.lit("LURE NOT IN CONTEXT: "), F.col("lure_text")))
-        .when((F.col("check") == "text") & hit, place)
-        .when(F.col("check") == "text", F.concat(F.lit("no expected text ("), where, F.lit(")")))
-        .when(F.size("missing") == 0, F.concat(F.lit("found "), some))
-        .when(F.size("found") > 0, F.concat(F.lit("missing "), gone, F.lit("; found "), some))
-        .otherwise(F.concat(F.lit("missing "), gone))
+    """What the outcome rests on: the first passage that holds a text, the projects seen and unseen, or the best score."""
+    first = F.get("matches", F.lit(0))
+    held = F.format_string("%s: passage %d, %s/%s, chunk %d", first["needle"], first["rank"], first["project"], first["rel_path"], first["chunk_index"])
+    by_text = F.col("check").isin("text", "lure")
+    parts = (
+        F.when(by_text, F.coalesce(held, F.lit("in no passage"))),
+        F.when((F.col("check") == "lure") & first.isNull(), F.concat(F.lit("the trap was not set: "), F.col("lure_text"))),
+        F.when(F.size("found") > 0, F.concat(F.lit("projects seen: "), F.array_join("found", ", "))),
+        F.when(F.size("missing") > 0, F.concat(F.lit("projects unseen: "), F.array_join("missing", ", "))),
+        F.when(F.col("check") == "no-answer", F.coalesce(F.format_string("best score %.3f", "top_score"), F.lit("no passage"))),
     )
+    return F.concat_ws("; ", *parts)
 
 
 def summary(outcomes: DataFrame) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.patterns import BINARY_SNIFF, LEAKS, PLACEHOLDER, SECRET_KINDS
 from ..functions.text import LINE_END, lines
+from .terms import mask_terms, term_hits
+
+__all__ = ["added_lines", "classified", "diff_lines", "is_binary", "mask_terms", "numbered_lines", "pattern_hits", "read_diffs", "stale", "term_hits", "totals"]
 
 #: What each match holds for certain: a cheap test before the patterns, which go back and forth on long words.
 HINTS = {"drive path": (":\\", ":/"), "home path": ("/home/", "/Users/"), "email": ("@",), "google api key": ("AIza",)}
@@ -47,53 +53,6 @@ def _named(kind: str):
     return lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("match"))
 
 
-def term_hits(each: DataFrame, terms: list[str], key: str = "file") -> DataFrame:
-    """Hits of private terms without case, overlapping ones too; of terms that begin together the longest counts.
-
-    ``kind`` names the term by its number only, so a report does not repeat it.
-    """
-    low = F.lower("text")
-    found = F.array(
-        *[
-            F.transform(
-                F.filter(F.sequence(F.lit(1), F.length("text")), _begins(low, term)),
-                _spanned(n, len(term)),
-            )
-            for n, term in enumerate(terms, 1)
-        ]
-    )
-    likely = reduce(Column.__or__, [F.contains(low, F.lit(t.lower())) for t in terms])
-    spans = each.where(likely).withColumn("spans", F.flatten(found))
-    free = F.filter("spans", lambda s: ~F.exists("spans", lambda o: _within(s, o)))
-    rows = spans.select(F.col(key), "line", "text", F.explode(free).alias("s"))
-    return rows.select(
-        F.col(key), "line", F.concat(F.lit("term #"), F.col("s.n").cast("string")).alias("kind"),
-        F.substring("text", F.col("s.start"), F.col("s.size")).alias("match"),
-    )
-
-
-def _begins(low: Column, term: str):
-    return lambda i: F.substring(low, i, len(term)) == term.lower()
-
-
-def _spanned(n: int, size: int):
-    return lambda i: F.struct(F.lit(n).alias("n"), i.alias("start"), F.lit(size).alias("size"))
-
-
-def _within(s: Column, o: Column) -> Column:
-    inside = (o["start"] <= s["start"]) & (o["start"] + o["size"] >= s["start"] + s["size"])
-    return inside & ((o["size"] > s["size"]) | ((o["size"] == s["size"]) & (o["n"] < s["n"])))
-
-
-def mask_terms(text: Column, terms: list[str]) -> Column:
-    """The text with each term as ``[term #n]``, longest first."""
-    out = text
-    for n, term in sorted(enumerate(terms, 1), key=lambda x: -len(x[1])):
-        quoted = "".join("\\" + c if not c.isalnum() and c.isascii() and c != " " else c for c in term)
-        out = F.regexp_replace(out, f"(?i){quoted}", f"[term #{n}]")
-    return out
-
-
 def classified(hits: DataFrame, accepted: DataFrame, key: str = "file") -> DataFrame:
     """Hits with ``state``: accepted where an entry ``(file, match, count)`` counts as many lines as there are, else new.
 
@@ -117,23 +76,90 @@ def stale(hits: DataFrame, accepted: DataFrame, key: str = "file") -> DataFrame:
     return rows.where("found < count").drop("_m")
 
 
+def diff_lines(diffs: DataFrame, key: str = "hash", diff_col: str = "diff") -> DataFrame:
+    """``(hash, raw)``: the lines of each diff in order."""
+    return diffs.select(key, F.explode(F.split(diff_col, LINE_END)).alias("raw"))
+
+
+#: Of each hunk the number of its first new line, and what names a file or its kind before the first hunk.
+_HUNK = re.compile(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@")
+_BINARY = re.compile(r"Binary files .* and (.*) differ$")
+
+
+def _name(said: str) -> str:
+    bare = said.strip().strip('"')
+    return bare[2:] if bare[:2] in ("a/", "b/") else bare
+
+
+class _Diff:
+    """Where a walk through the lines of one diff stands."""
+
+    def __init__(self):
+        self.file, self.line, self.in_hunk, self.new = None, 0, False, False
+
+    def read(self, raw: str) -> Iterator[tuple[str, str | None, int, str]]:
+        """(what, file, line, text): added lines, names of files that are new, and binary files."""
+        if raw.startswith("diff --git "):
+            yield from self.close()
+            self.file, self.line, self.in_hunk, self.new = _name(raw.rpartition(" b/")[2]), 0, False, False
+        elif hunk := _HUNK.match(raw):
+            self.line, self.in_hunk = int(hunk[1]), True
+        elif self.in_hunk:
+            if raw.startswith("+"):
+                yield "line", self.file, self.line, raw[1:]
+            self.line += raw.startswith(("+", " "))
+        elif raw.startswith("+++ ") and raw != "+++ /dev/null":
+            self.file = _name(raw[4:])
+        elif raw.startswith(("rename to ", "copy to ")):
+            self.file, self.new = _name(raw.partition(" to ")[2]), True
+        elif raw.startswith("new file mode"):
+            self.new = True
+        elif (binary := _BINARY.match(raw)) and binary[1] != "/dev/null":
+            self.file = _name(binary[1])
+            yield "binary", self.file, 0, self.file
+
+    def close(self) -> Iterator[tuple[str, str | None, int, str]]:
+        if self.new and self.file is not None:
+            yield "name", self.file, 0, self.file
+            self.new = False
+
+
+def read_diffs(rows: DataFrame, key: str = "hash") -> DataFrame:
+    """``(hash, what, file, line, text)`` of diffs given as lines ``(hash, raw)`` in order: ``what`` is line, name or binary.
+
+    Where rows have a ``problem`` it is handed on in ``text``, as what problem.
+
+    Lines stream through the task that has them, with a few values of state, so
+    a diff of any length costs no sort and is never one value.  Added lines are
+    numbered as in the new file; a name is of a file that is new, renamed or copied.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, kind = None, _Diff(), pa.null()
+        for batch in batches:
+            kind = batch.column(0).type
+            out: list[tuple] = []
+            for own, raw, problem in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != now:
+                    out += [(now, *found) for found in state.close()]
+                    now, state = own, _Diff()
+                out += [(own, "problem", None, 0, problem)] if problem else [(own, *found) for found in state.read(raw or "")]
+            if out:
+                yield batch_of(out, kind)
+        if last := [(now, *found) for found in state.close()]:
+            yield batch_of(last, kind)
+
+    def batch_of(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        kinds = (kind, pa.string(), pa.string(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [key, "what", "file", "line", "text"])
+
+    source = rows.select(key, "raw", F.col("problem") if "problem" in rows.columns else F.lit(None).cast("string").alias("problem"))
+    return source.mapInArrow(run, f"`{key}` {dict(source.dtypes)[key]}, what string, file string, line long, text string")
+
+
 def added_lines(diffs: DataFrame, key: str = "hash", diff_col: str = "diff") -> DataFrame:
     """``(hash, file, line, text)``: lines that a diff adds, numbered as in the new file."""
-    by_diff = W.partitionBy(key).orderBy("n")
-    each = diffs.select(key, F.posexplode(F.split(diff_col, LINE_END)).alias("n", "raw"))
-    each = each.withColumn("block", F.sum(F.col("raw").startswith("diff --git ").cast("int")).over(by_diff))
-    head = F.regexp_extract("raw", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", 1)
-    in_block = W.partitionBy(key, "block").orderBy("n")
-    each = each.withColumn("start", F.when(head != "", head.cast("int")))
-    each = each.withColumn("hunk", F.count("start").over(in_block))
-    name = F.when((F.col("hunk") == 0) & F.col("raw").startswith("+++ "), F.regexp_replace(F.expr("substring(raw, 5)"), r'^"?b/|"?\s*$', ""))
-    each = each.withColumn("file", F.max(name).over(W.partitionBy(key, "block")))
-    in_hunk = W.partitionBy(key, "block", "hunk").orderBy("n")
-    new_side = F.when(F.col("start").isNull() & (F.col("hunk") > 0) & F.col("raw").rlike(r"^[+ ]"), 1).otherwise(0)
-    each = each.withColumn("line", F.first("start", ignorenulls=True).over(in_hunk) + F.sum(new_side).over(in_hunk) - 1)
-    return each.where((F.col("hunk") > 0) & F.col("start").isNull() & F.col("raw").startswith("+")).select(
-        key, "file", "line", F.expr("substring(raw, 2)").alias("text")
-    )
+    return read_diffs(diff_lines(diffs, key, diff_col), key).where("what = 'line'").drop("what")
 
 
 def totals(states: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import json
 import shlex
 import subprocess
 import sys
+from dataclasses import replace
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import citation, human_bytes, snippet
 from ..operators.embedding import KeywordEmbedder
+from ..operators.terms import Terms
 from ..sources import documents, settings, suites
 from . import runs, scan
 from .index import Index
@@ -38,6 +40,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     answer.add_argument("question")
     answer.add_argument("-k", type=int, default=10, choices=range(1, 51), metavar="1-50")
     answer.add_argument("--project")
+    answer.add_argument("--show-context", action="store_true", help="print the passages that the prompt holds")
     answer.add_argument("--model", required=True, metavar="COMMAND", help="gets the prompt on its input and prints the reply")
     score = commands.add_parser("eval")
     score.add_argument("--fixture", type=Path, required=True)
@@ -49,6 +52,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     which.add_argument("--rev", default="HEAD")
     which.add_argument("--worktree", action="store_true")
     leak.add_argument("--upstream", default="origin/main")
+    leak.add_argument("--ignore-accepted", action="store_true", help="report accepted hits as new")
     return parser.parse_args(argv)
 
 
@@ -58,18 +62,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     local = given.config.with_name(given.config.stem + ".local.toml")
     try:
         if given.command == "scan":
-            held = settings.scan_settings(local)
-            hits, binary, stale = scan.scan_repository(spark, given.repo, held, None if given.worktree else given.rev)
-            commits = scan.scan_commits(spark, given.repo, held, given.upstream).persist()
-            for said in (hits, commits):
-                for row in said.where("state = 'new'").orderBy("file", "line").collect():
-                    placeholder = " (a placeholder)" if row["kind"] == "placeholder email" else ""
-                    print(f"{row['file']}:{row['line']}: {row['kind']}{placeholder}")
-            for row in binary.collect():
-                print(f"{row['file']}: binary, not read")
-            for row in stale.collect():
-                print(f"accepted entry for {row['file']}: {row['found']} lines, not {row['count']}")
-            return scan.exit_code(hits, commits, stale=stale)
+            return _scan(spark, given, settings.scan_settings(local))
         found = settings.load([given.config, local])
         if given.command == "discover":
             return _discover(spark, found, given.json)
@@ -91,6 +84,33 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 2
 
 
+def _scan(spark: SparkSession, given: argparse.Namespace, held: settings.ScanSettings) -> int:
+    """Reports hits by place and kind; names that hold a private term are masked."""
+    if given.ignore_accepted:
+        held = replace(held, accepted=())
+    rev = None if given.worktree else given.rev
+    hits, binary, stale = scan.scan_repository(spark, given.repo, held, rev)
+    commits = scan.scan_commits(spark, given.repo, held, given.upstream, rev or "HEAD")
+    mask = Terms(held.all_terms).mask
+
+    def place(file: str, of_commit: bool) -> str:
+        commit, _, name = file.partition(":") if of_commit else ("", "", file)
+        return " ".join(x for x in (commit[:7], mask(name) or "message") if x)
+
+    for rows, of_commit in ((hits, False), (commits.hits, True)):
+        for row in rows.orderBy("file", "line").toLocalIterator():
+            kind = "PLACEHOLDER" if row["kind"] == "placeholder email" else row["state"].upper()
+            print(f"{kind} {place(row['file'], of_commit)}:{row['line']}: {row['kind']}")
+    for rows, of_commit in ((binary, False), (commits.binary, True)):
+        for row in rows.toLocalIterator():
+            print(f"BINARY {place(row['file'], of_commit)}: not read")
+    for row in commits.merges.toLocalIterator():
+        print(f"MERGE {row['hash'][:7]}: only its message is read")
+    for row in stale.toLocalIterator():
+        print(f"STALE accepted entry for {mask(row['file'])}: {row['found']} lines, not {row['count']}")
+    return scan.exit_code(hits, commits.hits, stale=stale)
+
+
 class Command:
     """A generator that runs a command for each prompt."""
 
@@ -107,6 +127,9 @@ class Command:
 
 def _ask(index: Index, embedder: KeywordEmbedder, given: argparse.Namespace) -> int:
     said = runs.ask(index, embedder, Command(given.model), given.question, given.k, given.project)
+    if given.show_context:
+        for row in said["passages"]:
+            print(f"[{row['rank']}] {row['project']} / {row['rel_path']} ({row['score']:.3f})\n{row['text']}\n")
     if said["verdict"] == "answered":
         print(said["answer"], *(f"[{r['number']}] {r['line']}" for r in said["citations"]), sep="\n")
         return 0

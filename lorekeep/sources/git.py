@@ -7,6 +7,7 @@ records say is taken apart, filtered and counted by Spark.
 from __future__ import annotations
 
 import os
+import select
 import subprocess
 import threading
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ LOG_FORMAT = "%x1e%H%x1f%P%x1f%an%x1f%ae%x1f%aI%x1f%s%x1f%b%x1f"
 FIELDS = ("hash", "parents", "author_name", "author_email", "author_date", "subject", "body", "files")
 PINNED = ("core.quotePath=false", "log.showSignature=false", "log.showRoot=true", "color.ui=never")
 ELSEWHERE = ("GIT_DIR", "GIT_WORK_TREE", "GIT_INDEX_FILE", "GIT_COMMON_DIR")
+#: Git may be silent so long; how long its reader takes does not count.
 SECONDS = 60.0
 
 
@@ -34,7 +36,7 @@ class GitError(RuntimeError):
 
 def _records(repo: str, args: list[str], end: bytes | None) -> Iterator[tuple[list[bytes], str | None]]:
     """Git's output cut at ``end`` while it comes (None: whole, at last), then what went wrong, if anything did."""
-    environment = {k: v for k, v in os.environ.items() if k not in ELSEWHERE} | {"GIT_OPTIONAL_LOCKS": "0"}
+    environment = {k: v for k, v in os.environ.items() if k not in ELSEWHERE} | {"GIT_OPTIONAL_LOCKS": "0", "LC_ALL": "C"}
     environment["GIT_CEILING_DIRECTORIES"] = os.path.dirname(os.path.abspath(repo))
     settings = [word for pin in PINNED for word in ("-c", pin)]
     try:
@@ -44,23 +46,31 @@ def _records(repo: str, args: list[str], end: bytes | None) -> Iterator[tuple[li
         return
     complaints: list[bytes] = []
     reader = threading.Thread(target=lambda: complaints.append(process.stderr.read()), daemon=True)
-    watch = threading.Timer(SECONDS, process.kill)
     reader.start()
-    watch.start()
+    silent = False
     with process:
-        rest = b""
-        while end is not None and (block := process.stdout.read(1 << 20)):
+        rest, parts = b"", []
+        while True:
+            if not select.select([process.stdout], [], [], SECONDS)[0]:
+                silent = True
+                process.kill()
+                break
+            if not (block := os.read(process.stdout.fileno(), 1 << 20)):
+                break
+            if end is None:
+                parts.append(block)
+                continue
             *whole, rest = (rest + block).split(end)
             if whole:
                 yield whole, None
-        rest += process.stdout.read()
         ended = process.wait()
-        watch.cancel()
         reader.join()
-    if ended:
+    if silent or ended:
         first = b"".join(complaints).decode("utf-8", "replace").strip().partition("\n")[0]
-        yield [], first or f"git ended with {ended}"
-    elif rest or end is None:
+        yield [], f"git said nothing for {SECONDS:g} seconds" if silent else first or f"git ended with {ended}"
+    elif end is None:
+        yield [b"".join(parts)], None
+    elif rest:
         yield [rest], None
 
 
@@ -127,6 +137,20 @@ def diffs(kept: DataFrame) -> DataFrame:
     return shown.select("path", "hash", _text().alias("diff"), "problem")
 
 
+def diff_lines(kept: DataFrame) -> DataFrame:
+    """``(path, hash, raw, problem)``: the same a line at a time, with renames, in git's order within a task."""
+    asked = _hashed(kept.select("path", "hash"))
+    shown = ask(asked, _words("show", "--format=", "-U0", "-M", "--no-ext-diff", "--no-textconv", "--first-parent", F.col("hash")), "\n")
+    return shown.select("path", "hash", _text().alias("raw"), "problem")
+
+
+def resolved(repos: DataFrame, rev: str) -> DataFrame:
+    """``(path, hash, problem)``: the commit that a revision names."""
+    found = ask(repos.select("path"), _words("rev-parse", "--verify", "-q", "--end-of-options", rev + "^{commit}"))
+    problem = F.when(F.col("problem").isNotNull(), F.lit(f"unknown revision {rev!r}"))
+    return found.select("path", strip(_text()).alias("hash"), problem.alias("problem"))
+
+
 def versions(places: DataFrame) -> DataFrame:
     """``(path, hash, file, content, problem)``: files as they are at a commit."""
     asked = _hashed(places.select("path", "hash", "file"))

@@ -107,12 +107,23 @@ class Accepted:
 class ScanSettings:
     terms: tuple[str, ...]
     accepted: tuple[Accepted, ...]
+    #: Private values that the other tables hold: authors and projects that are left out.
+    config_terms: tuple[str, ...] = ()
+
+    @property
+    def all_terms(self) -> tuple[str, ...]:
+        return tuple(dict.fromkeys([*self.terms, *self.config_terms]))
+
+
+#: Settings whose values must not be published.
+PRIVATE = ("author_emails", "author_names", "exclude_projects", "service_exclude_projects")
 
 
 def scan_settings(path: Path) -> ScanSettings:
     """Private terms and accepted hits from the local file; whatever is odd refuses, by position."""
     try:
-        said = tomllib.loads(path.read_text(encoding="utf-8")).get("scan")
+        whole = path.read_text(encoding="utf-8")
+        said = tomllib.loads(whole).get("scan")
     except (OSError, tomllib.TOMLDecodeError) as problem:
         raise SettingsError(f"{path.name} cannot be read") from problem
     if not isinstance(said, dict) or set(said) - {"private_terms", "accepted"} or "private_terms" not in said:
@@ -128,4 +139,6 @@ def scan_settings(path: Path) -> ScanSettings:
         if not fits or not isinstance(entry["count"], int) or isinstance(entry["count"], bool) or entry["count"] < 1:
             raise SettingsError(f"accepted entry #{position} is not usable")
         out.append(Accepted(**entry))
-    return ScanSettings(tuple(terms), tuple(out))
+    own = parse(whole, path.name)
+    held = [value for name in PRIVATE for value in own.get(name) or () if value.strip()]
+    return ScanSettings(tuple(terms), tuple(out), tuple(dict.fromkeys(held)))

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import subprocess
+import time
 from pathlib import Path
 
 import duckdb
@@ -61,8 +62,8 @@ def test_evaluation(spark):
     out = evaluation.evaluate(spark.createDataFrame(suite, evaluation.QUESTION), frame)
     got = {r.id: r for r in out.collect()}
     assert {i: r.passed for i, r in got.items()} == {"t": True, "p": False, "n": None, "l": False}
-    assert got["t"].matches[0]["rank"] == 2 and got["p"].missing == ["C"] and got["p"].reason == "missing C; found A"
-    assert got["l"].reason.startswith("LURE NOT IN CONTEXT") and got["n"].reason == "expects no answer; top score 0.900"
+    assert got["t"].matches[0]["rank"] == 2 and got["p"].missing == ["C"] and got["p"].reason == "projects seen: A; projects unseen: C"
+    assert "the trap was not set" in got["l"].reason and got["n"].reason.endswith("best score 0.900")
     counts = evaluation.summary(out).first()
     assert (counts.questions, counts.passed, counts.failed, counts.no_answer, counts.traps) == (4, 1, 2, 1, 2)
 
@@ -320,20 +321,101 @@ def test_index_search_ask_and_evaluate(spark, tree, tmp_path):
 
 
 def test_leak_scan_of_a_repository(spark, tree):
+    repo = str(tree / "Alpha")
     held = settings.ScanSettings(("hello",), (settings.Accepted("app.py", "real@corp.io", 1, "fine"),))
-    hits, binary, stale = scan.scan_repository(spark, str(tree / "Alpha"), held)
+    hits, binary, stale = scan.scan_repository(spark, repo, held)
     got = {(r.file, r.kind, r.state) for r in hits.where("file = 'app.py'").collect()}
     assert got == {("app.py", "term #1", "new"), ("app.py", "email", "accepted")}
     assert scan.exit_code(hits) == 1 and stale.count() == 0 and binary.count() == 0
-    added = scan.scan_commits(spark, str(tree / "Alpha"), held, "HEAD~2")
-    got = {(r.file.split(":", 1)[1], r.kind, r.state) for r in added.collect()}
+    added = scan.scan_commits(spark, repo, held, "HEAD~2")
+    got = {(r.file.split(":", 1)[1], r.kind, r.state) for r in added.hits.collect()}
     assert {(k, s) for f, k, s in got if f == "app.py"} == {("term #1", "new"), ("email", "accepted")}
     other = settings.ScanSettings((), (settings.Accepted("app.py", "real@corp.io", 2, "two"),))
-    assert {r.state for r in scan.scan_commits(spark, str(tree / "Alpha"), other, "HEAD~2").where("kind = 'email'").collect()} == {"new"}
+    assert {r.state for r in scan.scan_commits(spark, repo, other, "HEAD~2").hits.where("kind = 'email'").collect()} == {"new"}
     assert scan.exit_code(hits.where("state = 'accepted'")) == 0
-    assert scan.exit_code(hits.where("state = 'accepted'"), stale=scan.scan_repository(spark, str(tree / "Alpha"), other)[2]) == 1
+    assert scan.exit_code(hits.where("state = 'accepted'"), stale=scan.scan_repository(spark, repo, other)[2]) == 1
     with pytest.raises(ValueError, match="no-such"):
-        scan.scan_commits(spark, str(tree / "Alpha"), held, "no-such/upstream")
+        scan.scan_commits(spark, repo, held, "no-such/upstream")
+    with pytest.raises(ValueError, match="nosuch"):
+        scan.scan_repository(spark, repo, held, "nosuch")
+
+
+def test_commit_scan_reads_names_binaries_and_merges(spark, tree):
+    repo = tree / "Alpha"
+    run(repo, "branch", "start")
+    (repo / "hush.txt").write_text("plain\n" * 20)
+    (repo / "pic.bin").write_bytes(b"\0\1")
+    run(repo, "add", "-A")
+    run(repo, "commit", "-m", "Add files")
+    run(repo, "mv", "hush.txt", "a Hush b.txt")
+    run(repo, "commit", "-m", "Rename")
+    run(repo, "checkout", "-b", "side", "start")
+    run(repo, "commit", "--allow-empty", "-m", "on the side for me@corp.io")
+    run(repo, "checkout", "main")
+    run(repo, "merge", "--no-ff", "side", "-m", "Merge hush")
+    found = scan.scan_commits(spark, str(repo), settings.ScanSettings(("hush",), (), ("hush", "other")), "start")
+    got = sorted((r.file.split(":", 1)[1], r.line, r.kind, r.match) for r in found.hits.collect())
+    assert got == [("", 1, "email", "me@corp.io"), ("", 1, "term #1", "hush"), ("a Hush b.txt", 0, "term #1 in file name", "Hush"), ("hush.txt", 0, "term #1 in file name", "hush")]
+    assert [r.file.split(":")[1] for r in found.binary.collect()] == ["pic.bin"] and found.merges.count() == 1
+
+
+def break_a_commit(repo):
+    """Loses the object of the oldest commit but one, so that the log breaks off part-way."""
+    shown = subprocess.run(["git", "-C", str(repo), "rev-list", "HEAD"], check=True, capture_output=True, text=True).stdout.split()
+    lost = shown[-2]
+    (repo / ".git" / "objects" / lost[:2] / lost[2:]).unlink()
+
+
+def test_broken_history_is_left_out_and_listed(spark, tree):
+    for n in range(5):
+        run(tree / "Alpha", "commit", "--allow-empty", "-m", f"Commit {n}\n\nIt explains at some length what this commit is here for.")
+    break_a_commit(tree / "Alpha")
+    found = runs.collect(spark, chosen(tree, git_enabled=True, author_emails=("me@x.y",)))
+    states = {r.project: r.problem for r in found.repositories.collect()}
+    assert states["Alpha"] and states["inner"] is None
+    git_chunks = found.chunks.where("source = 'git'").select("project").distinct().collect()
+    assert [r.project for r in git_chunks] == ["inner"]
+    assert found.chunks.where("project = 'Alpha' and source = 'doc'").count() > 0
+    with pytest.raises(ValueError):
+        scan.scan_commits(spark, str(tree / "Alpha"), settings.ScanSettings((), ()), "HEAD~6")
+
+
+def test_a_slow_reader_loses_nothing(tree, monkeypatch):
+    monkeypatch.setattr(git, "SECONDS", 0.5)
+    got = []
+    for records, problem in git._records(str(tree / "Alpha"), ["log", "--format=%H%x1e"], b"\x1e"):
+        time.sleep(1)
+        assert problem is None
+        got += records
+    assert len([r for r in got if r.strip()]) == 3
+    shell = git._records(str(tree / "Alpha"), ["-c", "alias.wait=!sleep 5", "wait"], None)
+    assert "nothing for" in list(shell)[-1][1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_terms_equal_a_plain_search(spark, seed):
+    rng = random.Random(seed)
+    terms = ["".join(rng.choice("abAB") for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    texts = ["".join(rng.choice("aAbBİ ") for _ in range(rng.randint(0, 40))) for _ in range(40)]
+    frame = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts)], "file string, line int, text string")
+    want = []
+    for i, text in enumerate(texts):
+        spans = {(at, at + len(t), min(k for k, u in enumerate(terms, 1) if u.lower() == t.lower()))
+                 for t in terms for at in range(len(text)) if text[at : at + len(t)].lower() == t.lower()}
+        want += [(i, f"term #{n}", text[a:b]) for a, b, n in spans if not any((x, y) != (a, b) and x <= a and b <= y for x, y, _ in spans)]
+    assert sorted((r.line, r.kind, r.match) for r in leaks.term_hits(frame, terms).collect()) == sorted(want)
+
+
+def test_a_long_diff_is_read_in_one_pass(spark):
+    head = ["diff --git a/old.py b/new.py", "similarity index 90%", "rename from old.py", "rename to new.py", "--- a/old.py", "+++ b/new.py"]
+    body = [line for i in range(100_000) for line in (f"@@ -{i} +{i * 2 + 1} @@", "-gone", f"+{i}")]
+    tail = ["diff --git a/x.bin b/x.bin", "new file mode 100644", "Binary files /dev/null and b/x.bin differ", "diff --git a/gone b/gone", "deleted file mode 100644", "--- a/gone", "+++ /dev/null", "@@ -1 +0,0 @@", "-x"]
+    diffs = spark.createDataFrame([("h", "\n".join(head + body + tail)), ("i", "\n".join(head))], "hash string, diff string")
+    read = leaks.read_diffs(leaks.diff_lines(diffs)).toPandas()
+    lines = read[read.what == "line"]
+    assert lines["line"].tolist() == list(range(1, 200_000, 2)) and lines["text"].tolist() == [str(i) for i in range(100_000)] and set(lines["file"]) == {"new.py"}
+    others = read[read.what != "line"]
+    assert sorted(zip(others.hash, others.what, others.file)) == [("h", "binary", "x.bin"), ("h", "name", "new.py"), ("h", "name", "x.bin"), ("i", "name", "new.py")]
 
 
 def test_settings(tmp_path):
