@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +12,21 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, new_path, numbered, shared_dir, stored
 
-__all__ = ["cut", "new_path", "numbered", "only_ids", "runs", "shared_dir", "stored"]
+__all__ = ["cut", "new_path", "numbered", "only_ids", "release", "runs", "shared_dir", "stored"]
 
 #: Bits of the bitmap that picks rows before they are shuffled: 4 MB whatever the data.
 FILTER_BITS = 25
 
 
+def release() -> None:
+    """Give memory that a finished task used back to the machine; a Python worker lives on and serves other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def only_ids(texts: DataFrame, ids: DataFrame, log_bits: int = FILTER_BITS) -> DataFrame:
     """The rows of ``texts`` whose id may be in ``ids``: all that are, and few others.
 

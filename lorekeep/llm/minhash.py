@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut, only_ids, runs, stored
+from .cluster import cut, only_ids, release, runs, stored
 from .components import connected_components, merge
 
 SEED = 42
@@ -126,6 +126,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 pa.array(sketch, pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["id", "t", "c", "n", "fp", "keys", "sketch"])
+        release()
 
     source = _texts(docs, id_col, text_col).where("id is not null")
     return source.mapInArrow(run, "id long, t long, c long, n long, fp long, keys array<long>, sketch binary")
@@ -187,6 +188,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     found.append((a[row], hub[row]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "hub"])
+        release()
 
     dealt = hubs.unionByName(asking).repartition("hub", "part").sortWithinPartitions("hub", "part", "asks")
     return dealt.mapInArrow(run, "a long, hub long")
@@ -230,9 +232,9 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
     found = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers below 2**24
-    for at in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
-        some = slice(*np.searchsorted(place, (at, at + 4096)))
-        held = np.zeros((len(sets), 4096), np.float32)
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, 1024):
+        some = slice(*np.searchsorted(place, (at, at + 1024)))
+        held = np.zeros((len(sets), 1024), np.float32)
         held[owner[some], place[some] - at] = 1
         found += held @ held.T
     return found
@@ -276,6 +278,7 @@ def with_partners(rows: DataFrame, classes: DataFrame) -> DataFrame:
             sketch = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
             hit = pa.array(_likely_rows(n, root, sketch, int(band[0])))
             yield pa.RecordBatch.from_arrays([group.column(x) for x in (0, 3, 4, 5)], ["k", "c", "root", "n"]).filter(hit)
+        release()
 
     dealt = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
     return dealt.mapInArrow(run, "k long, c long, root long, n long").distinct()
@@ -294,6 +297,7 @@ def across(rows: DataFrame, texts: DataFrame) -> DataFrame:
         for group in runs(batches, 3):
             if found := linked(group):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "hub"])
+        release()
 
     def linked(group: pa.RecordBatch) -> list[tuple[int, int]]:
         c, root = (group.column(x).to_numpy() for x in (3, 4))
@@ -303,9 +307,12 @@ def across(rows: DataFrame, texts: DataFrame) -> DataFrame:
         sets = [shingles((text.as_py() or "").encode("utf-8", "replace")) for text in group.column(5)]
         size = np.array(list(map(len, sets)), np.float32)
         shared = _shared(sets)
-        a, b = np.nonzero((9 * shared >= 4 * (size[:, None] + size)) & (label[:, None] > label))
         first = np.unique(label, return_index=True)[1][label]  # one row for each component, joined by the links
-        joined = merge(first.copy(), a, b)
+        joined = first.copy()
+        for at in range(0, len(sets), 128):  # pairs that are joined already need not be held
+            some = slice(at, at + 128)
+            a, b = np.nonzero((9 * shared[some] >= 4 * (size[some, None] + size)) & (joined[some, None] != joined))
+            joined = merge(joined, a + at, b)
         moved = np.flatnonzero(joined != first)
         return list(zip(c[moved].tolist(), c[joined[moved]].tolist(), strict=True))
 
