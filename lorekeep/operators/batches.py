@@ -121,7 +121,7 @@ def plan_batches(texts: DataFrame, group: Sequence[str], order: Sequence[str], m
     """
     chunk = max(chunk, most_texts)
     names = texts.columns
-    free = "k" * (1 + max(map(len, names)))  # no column has names as long
+    free = "k" * (1 + max(map(len, names)))  # no column's name is as long
     place, key, at = f"{free}p", f"{free}g", f"{free}c"
     whole = F.coalesce(F.to_json(F.struct(*group)), F.lit("")) if group else F.lit("")
     # The group leads, the rest of the order follows: equal groups are neighbours.
@@ -161,4 +161,4 @@ def plan_batches(texts: DataFrame, group: Sequence[str], order: Sequence[str], m
         dealt = rows.withColumn(at, F.explode(seen)).join(entries, at)
     else:
         dealt = rows.withColumn(at, own).withColumns({f"{free}e": F.lit(0), f"{free}b": F.lit(0).cast("long")})
-    return dealt.groupBy(at).applyInArrow(answer, T.StructType([*texts.schema.fields, T.StructField("batch", T.LongType())]))
+    return dealt.groupBy(at).applyInArrow(answer, T.StructType([*rows.select(*names).schema.fields, T.StructField("batch", T.LongType())]))
