@@ -9,6 +9,7 @@ from abc import ABC, abstractmethod
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from ..functions.patterns import STOP_WORDS
 from ..functions.text import estimate_tokens
 from ..functions.vectors import unit
+from ..sources.shared import only_matching
 from . import batches
 
 BATCH_TEXTS, BATCH_TOKENS, WINDOW_SECONDS = 100, 12_000, 60
@@ -120,6 +122,31 @@ class RateLimited(RuntimeError):
         self.seconds = seconds
 
 
+#: How a service names the parts of a refusal, and the window where it names no wait.
+QUOTA_TYPE, RETRY_TYPE, DAY = "QuotaFailure", "RetryInfo", "PerDay"
+TOO_MANY = 429
+
+
+def refusal(code: int, body: dict | None, window: float = WINDOW_SECONDS) -> Exception | None:
+    """What to raise for a refused request with this body, None if it was not refused for its rate.
+
+    A quota of the day cannot be waited out, whatever wait is named beside it.
+    A refusal that explains nothing has no wait either; all others have one.
+    """
+    if code != TOO_MANY:
+        return None
+    error = (body or {}).get("error", body or {})
+    parts = [d for d in error.get("details") or () if isinstance(d, dict)] if isinstance(error, dict) else []
+    quota, retry = ([d for d in parts if str(d.get("@type", "")).endswith(kind)] for kind in (QUOTA_TYPE, RETRY_TYPE))
+    for broken in (v for d in quota for v in d.get("violations") or () if isinstance(v, dict)):
+        if DAY in str(broken.get("quotaId", "")):
+            return DailyQuotaExceeded(f"the quota of the day is used up: {broken.get('quotaValue') or 'its size was not said'}")
+    if not quota and not retry:
+        return RateLimited("refused without a reason")
+    named = re.fullmatch(r"([0-9]+(?:\.[0-9]+)?)s?", str(retry[0].get("retryDelay", "")).strip()) if retry else None
+    return RateLimited("too many requests", float(named[1]) if named else window)
+
+
 class RemoteEmbedder(Embedder):
     """An outside service behind a global rate limit: batches go one after the other.
 
@@ -158,22 +185,24 @@ class RemoteEmbedder(Embedder):
         raise AssertionError
 
     def _batches(self, texts: DataFrame) -> Iterator[DataFrame]:
-        """Rows of each batch once the service has answered; only keys and token counts are planned."""
-        planned = plan_batches(texts.select("key", estimate_tokens("embed_text").alias("tokens")), [], ["key"]).persist()
-        try:
-            last = planned.agg(F.max("batch").alias("n")).first()["n"]
-            for number in range(1, (last or 0) + 1):
-                keys = planned.where(F.col("batch") == number).select("key")
-                batch = texts.join(keys, "key").orderBy("key").select("key", "embed_text").collect()
-                if number > 1:
-                    self._sleep(self._window)
-                vectors = self._once([r["embed_text"] for r in batch], False)
-                rows = [(r["key"], [float(x) for x in v]) for r, v in zip(batch, vectors, strict=True)]
-                found = self._spark.createDataFrame(rows, "key string, vector array<double>").select("key", unit(F.col("vector")).alias("vector"))
-                self._save(found)
-                yield found
-        finally:
-            planned.unpersist()
+        """Rows of each batch once the service has answered.
+
+        Keys and token counts alone are planned; texts come to the driver in the
+        order of their batches, from one sort, a batch at a time.  A run that
+        starts again plans what the cache still lacks, so it goes on where the
+        last one stopped.
+        """
+        planned = plan_batches(texts.select("key", estimate_tokens("embed_text").alias("tokens")), [], ["key"])
+        rows = texts.select("key", "embed_text").join(planned.select("key", "batch"), "key").orderBy("batch", "key")
+        for number, group in groupby(rows.toLocalIterator(), key=lambda r: r["batch"]):
+            batch = list(group)
+            if number > 1:
+                self._sleep(self._window)
+            vectors = self._once([r["embed_text"] for r in batch], False)
+            answers = [(r["key"], [float(x) for x in v]) for r, v in zip(batch, vectors, strict=True)]
+            found = self._spark.createDataFrame(answers, "key string, vector array<double>").select("key", unit(F.col("vector")).alias("vector"))
+            self._save(found)
+            yield found
 
     def documents(self, texts: DataFrame) -> DataFrame:
         """All vectors at once, for a few texts such as questions; ``save_documents`` holds a batch at a time."""
@@ -207,14 +236,19 @@ def pacing_seconds(batches: Column, window: int = WINDOW_SECONDS) -> Column:
 
 
 def with_cache(chunks: DataFrame, cache: DataFrame, namespace: str) -> DataFrame:
-    """Chunks with their cache ``key`` and the cached ``vector``, null where there is none."""
+    """Chunks with their cache ``key`` and the cached ``vector``, null where there is none.
+
+    Keys meet first, as bits of a bitmap where the cache lies; only vectors of
+    keys that may be asked for are moved.
+    """
     keyed = chunks.withColumn("key", F.concat_ws("|", F.lit(namespace), "content_hash"))
-    return keyed.join(cache.select("key", "vector"), "key", "left")
+    return keyed.join(latest(only_matching(cache, keyed.select("key"), "key")), "key", "left")
 
 
 def latest(cache: DataFrame) -> DataFrame:
-    """One row for each key of an appended cache: the one written last."""
-    return cache.groupBy("key").agg(F.max_by("vector", "written").alias("vector"))
+    """``(key, vector)`` once for each key of an appended cache: the one written last, where it tells when."""
+    when = "written" if "written" in cache.columns else F.lit(0)
+    return cache.groupBy("key").agg(F.max_by("vector", when).alias("vector"))
 
 
 def embedding_plan(looked_up: DataFrame) -> DataFrame:

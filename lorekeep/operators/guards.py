@@ -21,6 +21,15 @@ def without_excluded(docs: DataFrame, excluded: DataFrame, project: str = "proje
     return docs.withColumn("_p", _key(project)).join(excluded.select(_key(name).alias("_p")), "_p", "left_anti").drop("_p")
 
 
+def checked(chunks: DataFrame, excluded: Sequence[str], project: str = "project") -> DataFrame:
+    """The same rows; the job that reads one of an excluded project fails, so nothing it writes comes to count."""
+    names = sorted({n.strip().lower() for n in excluded})
+    if not names:
+        return chunks
+    stop = F.raise_error(F.lit("a chunk of an excluded project reached the index")).cast("boolean")
+    return chunks.where(F.when(_key(project).isin(names), stop).otherwise(True))
+
+
 def unmatched(entries: DataFrame, known: DataFrame, name: str = "name", project: str = "project") -> DataFrame:
     """Entries ``(position, name)`` that name nothing; a typing error would otherwise go unseen."""
     keyed = entries.withColumn("_p", _key(name))

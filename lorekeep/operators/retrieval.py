@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import cosine
 
@@ -62,7 +63,7 @@ def nearest(
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "chunk_id")))  # k rows at most
 
 
-class _Best:
+class Best:
     """The best k (score, row) for each query of a block."""
 
     def __init__(self, n: int, k: int):
@@ -92,7 +93,7 @@ class _Best:
                 yield q, row
 
 
-def _units(column: pa.Array) -> np.ndarray:
+def units(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1)
     size = np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -108,6 +109,7 @@ def ranked(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLO
     spark = chunks.sparkSession
     kinds = dict(chunks.dtypes)
     query_kind = dict(queries.dtypes)["query_id"]
+    id_type = to_arrow_type(queries.schema["query_id"].dataType)
     carried = ["chunk_id", "project", "rel_path", "content_hash"]
     source = chunks.select(*carried, F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
     schema = f"query_id {query_kind}, score double, " + ", ".join(f"{c} {kinds[c]}" for c in carried)
@@ -127,13 +129,13 @@ def ranked(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLO
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, vectors, only, without = shared.value
             filtered = any(p is not None for p in only) or any(without)
-            best = _Best(len(ids), k)
+            best = Best(len(ids), k)
             types: list = []
             for batch in batches:
                 types = types or [c.type for c in batch.columns[:4]]
                 for at in range(0, batch.num_rows, 4096):
                     piece = batch.slice(at, 4096)
-                    units = _units(piece.column(4))
+                    x = units(piece.column(4))
                     rows = list(zip(*(c.to_pylist() for c in piece.columns[:4]), strict=True))
                     for q0 in range(0, len(ids), 256):
                         allowed = None
@@ -142,10 +144,10 @@ def ranked(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLO
                             allowed = np.array(
                                 [[(o is None or n == o) and n not in w for n in names] for o, w in zip(only[q0 : q0 + 256], without[q0 : q0 + 256], strict=True)]
                             )
-                        best.offer(np.round(vectors[q0 : q0 + 256] @ units.T, PLACES), allowed, rows, q0)
+                        best.offer(np.round(vectors[q0 : q0 + 256] @ x.T, PLACES), allowed, rows, q0)
             out = [(ids[q], -row[0], *row[1:]) for q, row in best]
             if out:
-                first = pa.array([r[0] for r in out])
+                first = pa.array([r[0] for r in out], id_type)
                 score = pa.array([r[1] for r in out], pa.float64())
                 rest = [pa.array([r[2 + i] for r in out], t) for i, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([first, score, *rest], ["query_id", "score", *carried])

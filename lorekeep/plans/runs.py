@@ -96,8 +96,6 @@ def plan_embedding(index: Index, chunks: DataFrame, namespace: str) -> DataFrame
     cache = index.cache()
     if cache is None:
         cache = chunks.sparkSession.createDataFrame([], "key string, vector array<double>")
-    else:
-        cache = embedding.latest(cache)
     return embedding.with_cache(chunks, cache, namespace)
 
 
@@ -108,10 +106,7 @@ def embedded(index: Index, chunks: DataFrame, embedder: embedding.Embedder) -> I
     try:
         missing = embedding.pending(looked_up, ["project", "rel_path", "chunk_index"]).select("key", "embed_text")
         embedder.save_documents(missing, index.save_vectors)
-        cache = index.cache()
-        if cache is None:
-            cache = chunks.sparkSession.createDataFrame([], "key string, vector array<double>, written timestamp")
-        yield looked_up.drop("vector").join(embedding.latest(cache), "key").withColumnRenamed("vector", "embedding").drop("key")
+        yield plan_embedding(index, chunks, embedder.namespace).where("vector is not null").withColumnRenamed("vector", "embedding").drop("key")
     finally:
         looked_up.unpersist()
 
@@ -221,6 +216,10 @@ def evaluate(index: Index, embedder: embedding.Embedder, suite: DataFrame, k: in
     return outcomes, evaluation.summary(outcomes)
 
 
+class SessionCapReached(RuntimeError):
+    """No searches left."""
+
+
 class SearchBudget:
     """So many searches a session; counted when a query is embedded, as only that costs."""
 
@@ -232,5 +231,5 @@ class SearchBudget:
     def spend(self) -> None:
         with self._lock:
             if self._left <= 0:
-                raise RuntimeError("SESSION_CAP: no searches left in this session")
+                raise SessionCapReached("no searches left in this session")
             self._left -= 1

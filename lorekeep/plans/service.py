@@ -6,12 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import guards, retrieval
-from ..operators.embedding import Embedder
-from ..sources.settings import Settings, required_exclusions
+from ..operators.embedding import DailyQuotaExceeded, Embedder, RateLimited
+from ..sources.settings import Settings, SettingsError, required_exclusions
 from . import runs
 from .index import Index
 
 
+#: Results of one search that a client may ask for.
+MOST_RESULTS = 20
+#: What a client is told of each kind of failure, so that it knows whether trying again helps.
+TAGS = (
+    (runs.SessionCapReached, "SESSION_CAP"), (SettingsError, "CONFIG"), (retrieval.RetrievalError, "NOT_ANSWERABLE_AS_ASKED"),
+    (DailyQuotaExceeded, "QUOTA_DAILY"), (RateLimited, "RATE_LIMITED"),
+)
+
+
+def tagged(problem: Exception) -> str:
+    """A failure in one line, its kind first; a limit without a reason has a kind of its own."""
+    if isinstance(problem, RateLimited) and problem.seconds is None:
+        return f"RATE_LIMITED_UNEXPLAINED: {problem}"
+    tag = next((name for kind, name in TAGS if isinstance(problem, kind)), "SERVICE_ERROR")
+    wait = f" Try again in {problem.seconds:.0f} s." if isinstance(problem, RateLimited) else ""
+    return f"{tag}: {problem}{wait}"
+
+
 class Service:
     """Searches, chunks and projects as a client may see them.
 
@@ -41,6 +59,8 @@ class Service:
         """Results of one query; a hidden project cannot be named, and what is refused before embedding costs nothing."""
         if not query.strip():
             raise retrieval.RetrievalError("The query is empty.")
+        if not 1 <= k <= MOST_RESULTS:
+            raise retrieval.RetrievalError(f"k must be from 1 to {MOST_RESULTS}, not {k}.")
         if project is not None and not retrieval.resolve_projects([project], self.projects()):
             raise retrieval.RetrievalError(f"No project named {project!r}. Projects: {', '.join(self.projects())}.")
         self._budget.spend()
@@ -48,8 +68,7 @@ class Service:
 
     def get(self, chunk_id: str):
         """A chunk by id; one of a hidden project is not found, as if it were not there."""
-        shown = self._index.chunks().where(~F.col("project").isin(self._hidden)) if self._hidden else self._index.chunks()
-        row = shown.where(F.col("chunk_id") == chunk_id).first()
+        row = self._index.found(chunk_id).where(~F.col("project").isin(self._hidden)).first()
         if row is None:
             raise KeyError(chunk_id)
         return row

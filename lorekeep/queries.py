@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from .functions import text, vectors
 from .functions.patterns import SECRETS, STOP_WORDS, looks_secret
-from .operators import answers, chunking, commits, embedding, evaluation, guards, leaks, retrieval
+from .operators import answers, chunking, commits, embedding, evaluation, guards, ivf, leaks, retrieval
 from .plans import runs
 from .plans.index import upserted
 from .sources.documents import nearest_root
+from .sources.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -122,14 +123,25 @@ def answer_caps_one_project(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+WITH c AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+x AS (SELECT unnest(e) AS v, generate_subscripts(e, 1) AS i FROM c), m AS (SELECT i, avg(v) AS v FROM x GROUP BY i),
+q AS (SELECT list(v ORDER BY i) AS e FROM m)
 SELECT c.chunk_id, CAST(row_number() OVER (ORDER BY round(list_cosine_similarity(c.e, q.e), 12) DESC, c.chunk_id) AS BIGINT) AS rank
-FROM c, (SELECT e FROM c WHERE chunk_id = 7) q QUALIFY rank <= 5""")
+FROM c, q QUALIFY rank <= 20""")
 def knn_single(spark, sf_dir):
-    """One query: the vector of chunk 7, ranked without leaving the JVM."""
+    """One query, ranked without leaving the JVM: the chunks that are most like all chunks together."""
     chunks = index_chunks(spark, sf_dir)
-    vector = chunks.where("chunk_id = 7").first()["embedding"]
-    return retrieval.nearest(chunks, vector, 5).select("chunk_id", long("rank"))
+    each = chunks.select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v"))
+    vector = each.agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("e")).select("e.v").first()["v"]
+    return retrieval.nearest(chunks, vector, 20).select("chunk_id", long("rank"))
+
+
+@query(PLAIN.format(where=""))
+def knn_lists(spark, sf_dir):
+    """The same ranking over lists by centroid: few are read first, then those that could hold a nearer vector."""
+    chunks = index_chunks(spark, sf_dir)
+    lists = ivf.build(chunks, new_path(spark, "lists"), lists=32)
+    return shown(lists.search(index_queries(chunks), 5, probes=6))
 
 
 @query("""SELECT vec_id, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS norm,

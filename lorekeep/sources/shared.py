@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of the bitmap that picks rows before they are shuffled: 4 MB whatever the data.
+FILTER_BITS = 25
 #: ``monotonically_increasing_id`` counts within a partition in its lower bits.
 _LOCAL_BITS = 33
 
@@ -67,3 +69,21 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "place") -> DataFr
     found = df.sparkSession.createDataFrame(offsets or [(0, 0)], "__part long, __before long")
     local = F.col(name).bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     return kept.join(F.broadcast(found), part == F.col("__part")).withColumn(name, F.col("__before") + local).drop("__part", "__before")
+
+
+def only_matching(rows: DataFrame, keys: DataFrame, key: str, log_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose ``key`` may be in ``keys``: all that are, and few others.
+
+    A bitmap of 2**log_bits hashed keys, built by aggregation in pieces of 32,768
+    bits, decides; its size does not grow with the data, so it is broadcast.
+    It only spares the join that follows the shuffle of rows that match nothing.
+    """
+    spot = F.pmod(F.xxhash64(key), F.lit(1 << log_bits))
+    bits = (
+        keys.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("piece"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    )
+    octet = F.conv(F.hex(F.expr("substring(bits, int(bitmap_bit_position(spot) div 8) + 1, 1)")), 16, 10).cast("int")
+    marked = rows.withColumn("spot", spot).withColumn("piece", F.bitmap_bucket_number("spot"))
+    chosen = marked.join(F.broadcast(bits), "piece").where(octet.bitwiseAND(F.expr("shiftleft(1, int(bitmap_bit_position(spot) % 8))")) != 0)
+    return chosen.select(*rows.columns)

@@ -253,7 +253,9 @@ def test_service_hides_and_counts(spark, tree, tmp_path):
         with pytest.raises(retrieval.RetrievalError):
             refused()
     assert "Alpha" not in {r.project for r in held.search("photos caching", 5).collect()}
-    with pytest.raises(RuntimeError, match="SESSION_CAP"):
+    with pytest.raises(retrieval.RetrievalError, match="from 1 to 20"):
+        held.search("photos", 21)
+    with pytest.raises(runs.SessionCapReached):
         held.search("photos")
     one, other = (index.chunks().where(f"project = '{p}'").first().chunk_id for p in ("Alpha", "inner"))
     assert held.get(other).project == "inner"
