@@ -16,7 +16,7 @@ from .functions import text, vectors
 from .functions.patterns import SECRETS, STOP_WORDS, looks_secret
 from .operators import answers, chunking, commits, embedding, evaluation, guards, ivf, leaks, retrieval
 from .plans import runs
-from .plans.index import upserted
+from .plans.index import Index, upserted
 from .sources.documents import nearest_root
 from .sources.shared import new_path
 
@@ -165,6 +165,35 @@ def index_upsert(spark, sf_dir):
     return upserted(old, new).groupBy("project", "state").agg(F.count("*").alias("chunks"))
 
 
+@query("""
+WITH o AS (SELECT vec_id, 'p' || label AS project, 'f' || (vec_id % 5) AS rel_path FROM embeddings),
+n AS (SELECT vec_id, project, rel_path, 'new' AS state FROM o WHERE rel_path = 'f1' AND vec_id % 2 = 0
+      UNION ALL SELECT vec_id, project, rel_path, 'old' FROM o WHERE rel_path <> 'f1' AND vec_id % 3 > 0
+      UNION ALL SELECT vec_id, project, rel_path, 'by id' FROM o WHERE rel_path <> 'f1' AND vec_id % 3 = 0)
+SELECT project, rel_path, state, count(*) AS chunks FROM n GROUP BY ALL""")
+def index_parts(spark, sf_dir):
+    """An index in three parts: all chunks, then one file of each project anew with half of its chunks, then every third chunk of the others by id."""
+    chunks = index_chunks(spark, sf_dir).withColumn("chunk_index", F.col("chunk_id")).withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    held = Index(spark, new_path(spark, "index"))
+    held.replace(chunks.withColumn("state", F.lit("old")), "space")
+    file = chunks.where("rel_path = 'f1'")
+    held.upsert(file.where("chunk_index % 2 = 0").withColumn("state", F.lit("new")), "space", file)
+    held.upsert(chunks.where("rel_path <> 'f1' and chunk_index % 3 = 0").withColumn("state", F.lit("by id")), "space")
+    return held.chunks().groupBy("project", "rel_path", "state").agg(F.count("*").alias("chunks"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN -doc_id WHEN doc_id % 2 = 0 THEN doc_id END AS first FROM documents""")
+def cached_vectors(spark, sf_dir):
+    """Vectors of even documents from a cache that was written twice for ids divisible by 6."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("content_hash"))
+    held = Index(spark, new_path(spark, "index"))
+    for sign, step in ((1, 2), (-1, 6)):
+        rows = docs.where(F.col("doc_id") % step == 0)
+        held.save_vectors(rows.select(F.concat(F.lit("space|"), "content_hash").alias("key"), F.array(F.col("doc_id").cast("double") * sign).alias("vector")))
+    found = embedding.with_cache(docs, held.cache(), "space")
+    return found.select("doc_id", F.get("vector", F.lit(0)).cast("long").alias("first"))
+
+
 # --- documents and chunks ----------------------------------------------------
 
 
@@ -424,6 +453,27 @@ def commit_texts(spark, sf_dir):
     return history(spark, sf_dir).select("conv_id", "turn", commits.is_thin(F.col("subject"), F.col("body")).alias("thin"), F.sha2(whole, 256).alias("digest"))
 
 
+_COMMIT = r"""concat_ws(E'\n\n', subject, nullif(body, ''), CASE WHEN len(files) > 0 THEN E'Files changed:\n' || array_to_string(files[1:30], E'\n') ||
+CASE WHEN len(files) > 30 THEN E'\n... and ' || (len(files) - 30) || ' more' ELSE '' END END)"""
+
+
+@query("WITH RECURSIVE" + HISTORY.strip()[4:] + rf""",
+t AS (SELECT conv_id * 1000 + turn AS doc_id, project AS source, trim({_COMMIT}, E' \n\t\r\x0B\x0C') AS x FROM h),
+""" + SPLIT.split("FROM documents),", 1)[1] + r""",
+g AS (SELECT k.*, sha256(conv_id || '/' || turn) AS hash, subject, conv_id, turn FROM k JOIN h ON h.conv_id * 1000 + h.turn = k.doc_id)
+SELECT conv_id, turn, CAST(chunk_index AS BIGINT) AS chunk_index, sha256(source || '|git:' || hash || '|' || chunk_index) AS chunk_id,
+sha256(source || ' · commit ' || substring(hash, 1, 7) || ' · 2024-03-' || printf('%02d', CAST(turn % 28 + 1 AS INTEGER)) || E'\n' || CASE WHEN starts_with(piece, subject) THEN piece ELSE subject || E'\n\n' || piece END) AS content_hash FROM g""")
+def commit_chunks(spark, sf_dir):
+    rows = history(spark, sf_dir).withColumns(
+        {
+            "path": F.lit("/repo"), "hash": F.sha2(F.concat_ws("/", "conv_id", "turn"), 256),
+            "author_date": F.format_string("2024-03-%02dT10:00:00+00:00", (F.col("turn") % 28 + 1).cast("int")),
+        }
+    )
+    chunks = commits.commit_chunks(rows).withColumnRenamed("commit", "hash")
+    return chunks.join(rows.select("hash", "conv_id", "turn"), "hash").select("conv_id", "turn", long("chunk_index"), "chunk_id", "content_hash")
+
+
 def document_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a commit that adds it, every tenth under the name of a lock file."""
     docs = table(spark, sf_dir, "documents")
@@ -476,13 +526,36 @@ def leak_hits(spark, sf_dir):
     return document_hits(spark, sf_dir).select("doc_id", long("line"), "kind", "match")
 
 
+@query(r"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark), t AS (SELECT term FROM w WHERE length(term) = 7),
+d AS (SELECT doc_id, lower(text) AS x FROM documents),
+h AS (SELECT doc_id, term, (length(x) - length(replace(x, term, ''))) // 7 AS hits FROM d, t WHERE contains(x, term))
+SELECT doc_id, term, CAST(hits AS BIGINT) AS hits FROM h""")
+def private_terms(spark, sf_dir):
+    """Words of seven letters that the benchmark has, as terms that documents must not hold; one pass for all of them."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    found = table(spark, sf_dir, "benchmark").select(words.alias("term")).where("length(term) = 7").distinct()
+    terms = sorted(r["term"] for r in found.collect())
+    lines = leaks.numbered_lines(table(spark, sf_dir, "documents"), "doc_id")
+    return leaks.term_hits(lines, terms, "doc_id").groupBy("doc_id", F.lower("match").alias("term")).agg(F.count("*").alias("hits"))
+
+
+@query("""SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND strlen(substring(text, 1, doc_id * 97 % 12000)) < 8000""")
+def binary_files(spark, sf_dir):
+    """Documents as files, of which every third has a NUL somewhere; only one near the start makes a file binary."""
+    at = (F.col("doc_id") * 97 % 12_000).cast("int")
+    nul = F.concat(F.substring(F.col("text"), F.lit(1), at), F.lit("\0"), F.substring(F.col("text"), at + 1, F.length("text")))
+    content = F.when(F.col("doc_id") % 3 == 0, nul).otherwise(F.col("text")).cast("binary")
+    return table(spark, sf_dir, "documents").where(leaks.is_binary(content)).select("doc_id")
+
+
 def accepted_hits(hits: DataFrame) -> DataFrame:
-    """An entry for each hit of ids divisible by 3 or 2; that of odd ids counts a line too many."""
+    """An entry for each hit of ids divisible by 3 or 2; that of ids divisible by 3 counts a line too many."""
     counted = hits.groupBy("doc_id", "match").agg(F.count_distinct("line").alias("n"))
-    return counted.where("doc_id % 3 = 0 or doc_id % 2 = 0").select("doc_id", "match", (F.col("n") + F.col("doc_id") % 2).alias("count"))
+    return counted.where("doc_id % 3 = 0 or doc_id % 2 = 0").select("doc_id", "match", (F.col("n") + (F.col("doc_id") % 3 == 0).cast("int")).alias("count"))
 
 
-ACCEPTED = HITS + ", a AS (SELECT doc_id, m, count(DISTINCT i) + doc_id % 2 AS c FROM t WHERE doc_id % 3 = 0 OR doc_id % 2 = 0 GROUP BY doc_id, m)"
+ACCEPTED = HITS + ", a AS (SELECT doc_id, m, count(DISTINCT i) + CAST(doc_id % 3 = 0 AS INTEGER) AS c FROM t WHERE doc_id % 3 = 0 OR doc_id % 2 = 0 GROUP BY doc_id, m)"
 
 
 @query(ACCEPTED + """, n AS (SELECT doc_id, lower(m) AS m, count(DISTINCT i) AS n FROM t GROUP BY ALL)
@@ -566,6 +639,11 @@ def eval_summary(spark, sf_dir):
     return evaluation.summary(evaluation.evaluate(suite(spark, sf_dir), suite_results(spark, sf_dir)))
 
 
+@query("""SELECT item_id AS id, CASE item_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'project' WHEN 2 THEN 'lure' ELSE 'no-answer' END AS "check", item_id % 4 > 1 AS expects_no_answer FROM benchmark""")
+def question_checks(spark, sf_dir):
+    return evaluation.with_check(suite(spark, sf_dir)).select("id", "check", "expects_no_answer")
+
+
 # --- guards ------------------------------------------------------------------
 
 
@@ -644,7 +722,7 @@ def citations_resolve(spark, sf_dir):
 
 
 @query(CITED + """ SELECT conv_id AS query_id, verdict, CASE WHEN verdict = 'answered' THEN text END AS answer FROM (
-SELECT conv_id, text, CASE WHEN conv_id % 5 = 0 OR trim(substring(text, 1, 10)) = '' THEN 'refused' WHEN conv_id NOT IN (SELECT conv_id FROM v) THEN 'uncited' ELSE 'answered' END AS verdict FROM f)""")
+SELECT conv_id, text, CASE WHEN conv_id % 5 = 0 OR trim(text, E' \\n\\t\\r\\x0B\\x0C') = '' THEN 'refused' WHEN conv_id NOT IN (SELECT conv_id FROM v) THEN 'uncited' ELSE 'answered' END AS verdict FROM f)""")
 def answer_verdicts(spark, sf_dir):
     said = replies(spark, sf_dir)
     return answers.verdicts(said, answers.citations(said, turns(spark, sf_dir)))
