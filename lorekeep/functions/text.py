@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,9 +30,28 @@ def squeeze(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(c), f"{WS}+", " "))
 
 
+@cache
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """(characters, what each folds to, those that fold to several) by Unicode's full case folding, as Python has it."""
+    folded = {c: f for c in map(chr, range(0x80, 0x110000)) if (f := c.casefold()) != c}
+    single = {c: f for c, f in folded.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in folded.items() if len(f) > 1}
+
+
+def casefold(c: Column | str) -> Column:
+    """Without case, as ``str.casefold`` does it; texts of ASCII alone take the short way."""
+    text = _col(c)
+    given, single, several = _foldings()
+    wide = F.translate(text, given + "".join(map(chr, range(65, 91))), single + "".join(map(chr, range(97, 123))))
+    pairs = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    longer = F.array_join(F.transform(F.split(wide, ""), lambda x: F.coalesce(F.try_element_at(pairs, x), x)), "")
+    odd = "[" + "".join(several) + "]"
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).when(wide.rlike(odd), longer).otherwise(wide)
+
+
 def fold(c: Column | str) -> Column:
-    """Squeezed and in lower case; of full case folding only the sharp s is done."""
-    return F.replace(F.lower(squeeze(c)), F.lit("ß"), F.lit("ss"))
+    """Squeezed and without case."""
+    return casefold(squeeze(c))
 
 
 def lines(c: Column | str) -> Column:

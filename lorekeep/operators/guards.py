@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import casefold
+
 
 def _key(column: str):
-    return F.lower(F.trim(F.col(column)))
+    return casefold(F.trim(F.col(column)))
 
 
 def without_excluded(docs: DataFrame, excluded: DataFrame, project: str = "project", name: str = "name") -> DataFrame:
@@ -23,7 +25,7 @@ def without_excluded(docs: DataFrame, excluded: DataFrame, project: str = "proje
 
 def checked(chunks: DataFrame, excluded: Sequence[str], project: str = "project") -> DataFrame:
     """The same rows; the job that reads one of an excluded project fails, so nothing it writes comes to count."""
-    names = sorted({n.strip().lower() for n in excluded})
+    names = sorted({n.strip().casefold() for n in excluded})
     if not names:
         return chunks
     stop = F.raise_error(F.lit("a chunk of an excluded project reached the index")).cast("boolean")
@@ -58,13 +60,13 @@ def acceptance_problem(new: Sequence[str], accepted: Sequence[str], accept_all:
     if accepted and accept_all:
         return "name the new projects or accept all of them, not both"
     if accept_all or not new:
-        surplus = [a for a in accepted if a.lower() not in {n.lower() for n in new}]
+        surplus = [a for a in accepted if a.strip().casefold() not in {n.casefold() for n in new}]
         return f"not new: {', '.join(surplus)}" if surplus else None
-    known = {n.lower() for n in new}
-    if surplus := [a for a in accepted if a.strip().lower() not in known]:
+    known = {n.casefold() for n in new}
+    if surplus := [a for a in accepted if a.strip().casefold() not in known]:
         return f"not new: {', '.join(surplus)}"
-    given = {a.strip().lower() for a in accepted}
-    if left := [n for n in new if n.lower() not in given]:
+    given = {a.strip().casefold() for a in accepted}
+    if left := [n for n in new if n.casefold() not in given]:
         said = "no index records which projects are approved; " if first_run else ""
         return f"{said}not accepted: {', '.join(left)}"
     return None

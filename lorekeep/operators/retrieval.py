@@ -35,8 +35,8 @@ class RetrievalError(RuntimeError):
 
 def resolve_projects(names: Sequence[str], known: Sequence[str]) -> list[str]:
     """The known spelling of each name, whatever its case; unknown names are left out."""
-    wanted = {n.strip().lower() for n in names}
-    return [k for k in known if k.lower() in wanted]
+    wanted = {n.strip().casefold() for n in names}
+    return [k for k in known if k.casefold() in wanted]
 
 
 def check_search(query: str, k: int, namespace: str | None, embedder_namespace: str, empty: bool) -> None:

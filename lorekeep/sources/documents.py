@@ -1,58 +1,96 @@
 """Documents under a scan root: found, filtered, assigned to projects and read.
 
 Spark's file sources skip names that begin with ``_`` or ``.``, so tasks list
-the folders (a row for each top folder) and read the files that are wanted.
+the folders, some at a time, and read the files that are wanted.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import decode_utf8, matches_any
+from ..functions.text import casefold, decode_utf8, matches_any
 from .settings import Settings
+from .shared import stored
 
-LISTED = "path string, rel string, size_bytes long, mtime double, git_root boolean"
+#: What a folder holds: files, git roots, and folders that are still to be listed.
+LISTED = "path string, rel string, size_bytes long, mtime double, git_root boolean, open boolean"
+#: Folders that a task lists before it hands on what is left; those are dealt out anew.
+FOLDERS = 256
+#: Files that a task reads.
+FILES = 256
 
 
-def _walk(root: str, top: str, pruned: frozenset[str]) -> Iterator[tuple]:
-    """Rows of one top folder ('' for the root's own files); links are not followed."""
-    start = os.path.join(root, top) if top else root
-    for folder, names, files in os.walk(start, followlinks=False):
-        marked = ".git" in names or ".git" in files
-        names[:] = [] if not top else [n for n in sorted(names) if not n.startswith(".") and n.lower() not in pruned]
+def _folder(path: str, pruned: frozenset[str]) -> tuple[list[str], list[os.DirEntry], bool]:
+    """(names of folders to go on with, other entries, whether it is a git root); links to folders are not followed."""
+    folders, files, marked = [], [], False
+    try:
+        with os.scandir(path) as entries:
+            for entry in sorted(entries, key=lambda e: e.name):
+                marked |= entry.name == ".git"
+                if not entry.is_dir():
+                    files.append(entry)
+                elif not entry.is_symlink() and not entry.name.startswith(".") and entry.name.lower() not in pruned:
+                    folders.append(entry.name)
+    except OSError:
+        pass
+    return folders, files, marked
+
+
+def _walk(root: str, rel: str, pruned: frozenset[str], most: int) -> Iterator[tuple]:
+    """Rows of a folder and of those below it, ``most`` folders in all; what is not reached is given as open."""
+    todo = [rel]
+    for _ in range(most):
+        if not todo:
+            return
+        here = todo.pop()
+        path = os.path.join(root, here) if here else root
+        folders, files, marked = _folder(path, pruned)
         if marked:
-            yield folder, os.path.relpath(folder, root), 0, 0.0, True
-        for name in sorted(files):
-            path = os.path.join(folder, name)
+            yield path, here or ".", 0, 0.0, True, False
+        for entry in files:
             try:
-                seen = os.stat(path)
+                seen = os.stat(entry.path)
             except OSError:
                 continue
-            yield path, os.path.relpath(path, root), seen.st_size, seen.st_mtime, False
+            yield entry.path, os.path.join(here, entry.name), seen.st_size, seen.st_mtime, False, False
+        todo += [os.path.join(here, f) for f in reversed(folders)]
+    for here in todo:
+        yield os.path.join(root, here), here, 0, 0.0, False, True
 
 
-def listing(spark: SparkSession, settings: Settings) -> DataFrame:
-    """Every file below the root and every git root, without pruned folders."""
+def listing(spark: SparkSession, settings: Settings, most: int = FOLDERS) -> DataFrame:
+    """Every file below the root and every git root, without pruned folders.
+
+    A task lists some folders and hands on those that it does not reach, which
+    are dealt to all tasks; so a small tree takes one step, and a large one is
+    shared, however its folders lie.
+    """
     root, pruned = settings.scan_root, frozenset(d.lower() for d in settings.exclude_dirs)
-    with os.scandir(root) as entries:
-        tops = [e.name for e in entries if e.is_dir(follow_symlinks=False)]
-    tops = ["", *(t for t in sorted(tops) if not t.startswith(".") and t.lower() not in pruned)]
+    names = [c.split()[0] for c in LISTED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for top in batch.column(0).to_pylist():
-                if rows := list(_walk(root, top, pruned)):
-                    yield pa.RecordBatch.from_pylist(
-                        [dict(zip(("path", "rel", "size_bytes", "mtime", "git_root"), r, strict=True)) for r in rows]
-                    )
+            for rel in batch.column(0).to_pylist():
+                rows = _walk(root, rel, pruned, most)
+                while part := list(islice(rows, 4096)):
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in part])
 
-    return spark.createDataFrame([(t,) for t in tops], "top string").repartition(max(1, min(64, len(tops))), "top").mapInArrow(run, LISTED)
+    todo, steps = spark.createDataFrame([("",)], "rel string").coalesce(1), []
+    while True:
+        steps.append(stored(todo.mapInArrow(run, LISTED), "listing"))
+        left = steps[-1].where("open").select("rel")
+        n = left.count()
+        if not n:
+            return reduce(DataFrame.unionByName, steps).where("not open").drop("open")
+        todo = left.repartition(min(n, 4 * spark.sparkContext.defaultParallelism), "rel")
 
 
 def wanted(files: DataFrame, settings: Settings) -> DataFrame:
@@ -84,7 +122,7 @@ def nearest_root(files: DataFrame, roots: DataFrame, path: str = "rel", root: st
 
 def discover(spark: SparkSession, settings: Settings) -> DataFrame:
     """``(path, project, project_root, rel_path, size_bytes, mtime)``, sorted by project and path."""
-    every = listing(spark, settings).persist()
+    every = listing(spark, settings)
     roots = every.where("git_root").select(F.when(F.col("rel") == ".", "").otherwise(F.col("rel")).alias("root"))
     files = nearest_root(wanted(every.where("not git_root"), settings), roots)
     top = F.when(F.instr("rel", "/") > 0, F.substring_index("rel", "/", 1)).otherwise("")
@@ -100,15 +138,16 @@ def discover(spark: SparkSession, settings: Settings) -> DataFrame:
         "mtime",
     ).dropDuplicates(["path"])
     if settings.exclude_projects:
-        rows = rows.where(~F.lower("project").isin([p.strip().lower() for p in settings.exclude_projects]))
+        rows = rows.where(~casefold("project").isin([p.strip().casefold() for p in settings.exclude_projects]))
     return rows.orderBy(F.lower("project"), F.lower("rel_path"))
 
 
-def read_texts(found: DataFrame, tasks: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(documents with ``text``, documents that could not be read).
+def read_texts(found: DataFrame, files: int = FILES) -> tuple[DataFrame, DataFrame]:
+    """(documents with ``text``, documents that could not be read); a task reads about ``files`` of them.
 
     Tasks open the files themselves, as they list them: the file source would
-    leave out names that begin with ``_``, even when they are asked for.
+    leave out names that begin with ``_``, even when they are asked for.  What
+    they read is stored, so both results are of the same reading.
     """
 
     names = [*found.columns, "content"]
@@ -122,7 +161,8 @@ def read_texts(found: DataFrame, tasks: int = 64) -> tuple[DataFrame, DataFrame]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(read, pa.binary())], names)
 
     kind = T.StructType([*found.schema.fields, T.StructField("content", T.BinaryType())])
-    read = found.repartition(tasks, "path").mapInArrow(run, kind).persist()
+    tasks = max(1, -(-found.count() // files))
+    read = stored(found.repartition(tasks, "path").mapInArrow(run, kind), "documents")
     texts = read.where("content is not null").withColumn("text", decode_utf8("content")).drop("content")
     return texts, read.where("content is null").drop("content")
 

@@ -191,6 +191,26 @@ def test_discovery(spark, tree):
     assert texts.where("project = 'Parent'").first().text == "bad \ufffd byte" and unread.count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 3, 256])
+def test_a_deep_folder_is_walked_by_many_tasks(spark, tmp_path, most):
+    rng = random.Random(4)
+    folders = ["top"]
+    for n in range(60):
+        folders.append(f"{rng.choice(folders)}/d{n}")
+    for n, folder in enumerate(folders):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / f"f{n}.md").write_text("x" * n)
+    (tmp_path / "top" / "node_modules" / "deep").mkdir(parents=True)
+    (tmp_path / "top" / "node_modules" / "deep" / "no.md").write_text("x")
+    (tmp_path / "top" / "d0" / ".git").mkdir(parents=True)
+    (tmp_path / "link").symlink_to(tmp_path / "top", target_is_directory=True)
+    (tmp_path / "own.md").write_text("y")
+    rows = documents.listing(spark, chosen(tmp_path), most).collect()
+    want = {f"{folder}/f{n}.md": n for n, folder in enumerate(folders)} | {"own.md": 1}
+    assert {r.rel: r.size_bytes for r in rows if not r.git_root} == want and len(rows) == len(want) + 1
+    assert [r.rel for r in rows if r.git_root] == ["top/d0"]
+
+
 def test_git_sources(spark, tree):
     repos = spark.createDataFrame([("Alpha", str(tree / "Alpha")), ("None", str(tree / "Parent"))], "project string, path string")
     log = git.commits(repos).collect()

@@ -264,3 +264,12 @@ def test_text_columns(spark):
     assert one(text.matches_any("v", ["AGENTS*.md", "*[!a]x.md"]), "agents_2.MD") is True
     assert one(text.matches_any("v", ["a.md"]), "axmd") is False
     assert one(vectors.unit(v), [3.0, 4.0], "array<double>") == [0.6, 0.8] and one(vectors.unit(v), [0.0], "array<double>") == [0.0]
+
+
+def test_folding_equals_python_over_all_code_points(spark):
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["x" + "".join(every[at : at + 50]) + "x" for at in range(0, len(every), 50)] + [f"a{c}b" for c in every if len(c.casefold()) > 1] + ["ΟΔΟΣ Straße", "", None]
+    rows = spark.createDataFrame([(t, None if t is None else t.casefold()) for t in texts], "t string, want string")
+    wrong = rows.where(~text.casefold("t").eqNullSafe(F.col("want")))
+    assert wrong.count() == 0
+    assert [r[0] for r in spark.createDataFrame([("  GROẞE \n ΣΑΣ ",)], "t string").select(text.fold("t")).collect()] == ["grosse σασ"]
