@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import text, vectors
 from .functions.patterns import SECRETS, STOP_WORDS, looks_secret
-from .operators import answers, chunking, commits, embedding, evaluation, guards, ivf, leaks, retrieval
+from .operators import ancestry, answers, chunking, commits, embedding, evaluation, guards, ivf, leaks, retrieval
 from .plans import runs
 from .plans.index import Index, upserted
 from .sources.documents import nearest_root
@@ -453,6 +453,26 @@ def commit_texts(spark, sf_dir):
     return history(spark, sf_dir).select("conv_id", "turn", commits.is_thin(F.col("subject"), F.col("body")).alias("thin"), F.sha2(whole, 256).alias("digest"))
 
 
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id AS id FROM documents),
+e AS (SELECT id AS child, CASE WHEN id % 10 = 0 THEN id // 2 ELSE id - 1 END AS parent FROM d WHERE id > 0
+      UNION SELECT id, id - 17 FROM d WHERE id % 13 = 0 AND id >= 17),
+s AS (SELECT source AS project, max(doc_id) AS ours, max(doc_id) FILTER (doc_id % 3 = 0) AS theirs FROM documents GROUP BY source),
+r AS (SELECT project, 'ours' AS side, ours AS id FROM s UNION SELECT project, 'theirs', theirs FROM s WHERE theirs IS NOT NULL
+      UNION SELECT r.project, r.side, e.parent FROM r JOIN e ON e.child = r.id WHERE e.parent IN (SELECT id FROM d))
+SELECT project, side, count(*) AS commits FROM (SELECT project, id, CASE WHEN count(*) = 2 THEN 'both' ELSE min(side) END AS side FROM r GROUP BY project, id) GROUP BY ALL""")
+def commit_sides(spark, sf_dir):
+    """Documents as commits with lines, forks and merges; each source has two branches, by its last ids."""
+    docs = table(spark, sf_dir, "documents")
+    one = F.when(F.col("doc_id") % 10 == 0, F.floor(F.col("doc_id") / 2)).otherwise(F.col("doc_id") - 1)
+    two = F.when((F.col("doc_id") % 13 == 0) & (F.col("doc_id") >= 17), F.col("doc_id") - 17)
+    log = docs.select(F.col("doc_id").alias("hash"), F.array_compact(F.array(F.when(F.col("doc_id") > 0, one), two)).alias("parents"))
+    heads = docs.groupBy(F.col("source").alias("project")).agg(
+        F.max("doc_id").alias("ours"), F.max(F.when(F.col("doc_id") % 3 == 0, F.col("doc_id"))).alias("theirs")
+    )
+    return ancestry.sides(log, heads).groupBy("project", "side").agg(F.count("*").alias("commits"))
+
+
 _COMMIT = r"""concat_ws(E'\n\n', subject, nullif(body, ''), CASE WHEN len(files) > 0 THEN E'Files changed:\n' || array_to_string(files[1:30], E'\n') ||
 CASE WHEN len(files) > 30 THEN E'\n... and ' || (len(files) - 30) || ' more' ELSE '' END END)"""
 
