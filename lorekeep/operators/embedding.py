@@ -41,9 +41,11 @@ def keyword_counts(texts: DataFrame, id_col: str, text_col: str, dimensions: int
     return each.groupBy("id", bucket(F.col("word"), dimensions).alias("dimension")).agg(F.count("*").alias("weight"))
 
 
-def keyword_vectors(texts: DataFrame, id_col: str, text_col: str, dimensions: int = 256) -> DataFrame:
+def keyword_vectors(texts: DataFrame, id_col: str, text_col: str, dimensions: int = 256, carry: Sequence[str] = ()) -> DataFrame:
     """``(id, embedding)`` of each row: keyword counts as a unit vector; a text without words gives a zero vector.
 
+    Columns named in ``carry`` come along, so that no join has to bring them back.
+
     Words are counted where their text lies, so nothing is shuffled; a word's
     digest is computed once and remembered while the table of words is small.
     """
@@ -55,7 +57,7 @@ def keyword_vectors(texts: DataFrame, id_col: str, text_col: str, dimensions: in
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 dense = np.zeros((part.num_rows, dimensions))
-                for row, text in enumerate(part.column(1)):
+                for row, text in enumerate(part.column(part.num_columns - 1)):
                     for word, n in Counter(m.group() for m in _WORD.finditer(text.as_py() or "")).items():
                         if word in stop:
                             continue
@@ -71,10 +73,10 @@ def keyword_vectors(texts: DataFrame, id_col: str, text_col: str, dimensions: in
                 dense = np.divide(dense, size, out=dense, where=size > 0)
                 ends = pa.array(np.arange(0, dense.size + 1, dimensions, dtype=np.int32))
                 vectors = pa.ListArray.from_arrays(ends, pa.array(dense.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), vectors], ["id", "embedding"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], vectors], ["id", *carry, "embedding"])
 
-    source = texts.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
-    return source.mapInArrow(run, T.StructType([source.schema["id"], T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
+    source = texts.select(F.col(id_col).alias("id"), *carry, F.lower(text_col).alias("text"))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
 
 
 class Embedder(ABC):

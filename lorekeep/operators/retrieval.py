@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import cosine
+from ..sources.shared import stored
 
 SEARCH_K, ANSWER_K = 5, 10
 OVERFETCH = 2
@@ -154,12 +155,14 @@ def ranked(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLO
 
         return source.mapInArrow(run, schema)
 
-    total = queries.count()
-    blocks = max(1, -(-total // block))
-    parts = (
-        queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)
-    )
-    found = [search(rows) for p in parts if (rows := p.collect())]
+    first = queries.limit(block + 1).collect()
+    if len(first) <= block:  # all of them, computed once
+        found = [search(first)] if first else []
+    else:
+        blocks = -(-queries.count() // block)
+        parts = (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks))
+        # Each block's winners are stored before the next block comes to the driver.
+        found = [stored(search(rows), "ranked") for p in parts if (rows := p.collect())]
     if not found:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1)).select("query_id", "rank", "score", *carried)
     merged = reduce(DataFrame.unionByName, found)

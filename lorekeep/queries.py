@@ -347,9 +347,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ch
 
 def keyword_results(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """The k documents nearest to each benchmark item, by keyword vectors."""
-    docs = table(spark, sf_dir, "documents")
-    embedded = embedding.keyword_vectors(docs, "doc_id", "text").withColumnRenamed("id", "chunk_id")
-    chunks = embedded.join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("project")), "chunk_id")
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("source", "project")
+    chunks = embedding.keyword_vectors(docs, "doc_id", "text", carry=["project"]).withColumnRenamed("id", "chunk_id")
     chunks = chunks.withColumns({"rel_path": F.lit(""), "content_hash": F.col("chunk_id").cast("string")})
     asked = embedding.keyword_vectors(table(spark, sf_dir, "benchmark"), "item_id", "text")
     return retrieval.ranked(chunks, asked.withColumnRenamed("id", "query_id"), k)
