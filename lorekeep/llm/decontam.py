@@ -12,8 +12,9 @@ block runs against all rows of the documents, which are never shuffled.
 
 Defined results: null, empty and symbol-only texts hold nothing; items that
 normalise to nothing match nothing; items too short for an error must occur
-exactly, as whole words; repeated items or documents give a row each; a null
-id is carried as null.  Other columns are left alone.
+exactly, as whole words; repeated items or documents give a row each, and of
+several copies in a document the nearest counts; a very long text is searched
+whole; a null id is carried as null.  Other columns are left alone.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ Offsets are code points, ends exclusive.  Patterns match leftmost and without
 overlap within their kind; a match that fails its check is dropped and not
 tried again.
 
-Defined results: null texts count as empty and hold nothing; repeated rows are
-searched each; a null id is kept; other columns are left alone.
+Defined results: null texts count as empty and hold nothing; a very long text is
+searched whole; repeated rows are searched each; a null id is kept; other columns
+are left alone.
 """
 
 from __future__ import annotations

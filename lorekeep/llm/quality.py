@@ -11,7 +11,8 @@ The model is fitted on at most ``FIT_BOUND`` labelled rows (taken by hash
 order, so the same at every partitioning); scoring reads every whole text.
 
 Defined results: null and empty texts have all features zero and are scored
-like any other; rows without an id are scored and count as not held out; labels
+like any other; a very long text is scored whole; repeated rows are scored
+each; rows without an id are scored and count as not held out; labels
 other than 0 and 1 are ignored and a repeated label counts once, the larger
 value winning.  With no usable labels, or one class only, every score is the
 share of label 1 (0.5 without labels).  Other columns are left alone.

@@ -9,7 +9,7 @@ shard are a range, written by one task in slot order.
 
 A record has a fixed size: document id (8 bytes), sequence number (4), token
 count (4), ``length`` token ids, a line feed; so slot n of a shard begins at
-n times the stride, and a reader resumes at any slot with one seek.  Spark's
+n times the stride, and a reader knows where any slot lies without an index.  Spark's
 text writer lays the bytes down and commits whole files, so an attempt that is
 lost leaves nothing.
 
@@ -18,9 +18,11 @@ encoded once and shuffled once.  Rows without an id, or that repeat one, are
 told apart by their texts; an id and text that many rows repeat is dealt row by
 row, so no shard gets them all (which of equal rows is where does not matter).
 
-Defined results: null and empty texts have no sequences; special strings are
-ordinary text; rows that repeat give sequences each (in the order of their
-digest); a null id is written as the least number and read as null.
+Defined results: null and empty texts have no sequences; a very long text is
+encoded in stretches, as it would be in the whole; special strings are ordinary
+text; rows that repeat give sequences each (in the order of their
+digest); a null id is written as the least long and read as null, and so is an id
+that is the least long itself.
 """
 
 from __future__ import annotations
