@@ -1,4 +1,4 @@
-"""The command line: discover, index, search, ask, eval and scan."""
+"""The command line: discover, index, search, ask, eval, serve and scan."""
 
 from __future__ import annotations
 
@@ -15,11 +15,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import citation, human_bytes, snippet
-from ..operators.embedding import KeywordEmbedder
+from ..operators.embedding import KeywordEmbedder, refusal
 from ..operators.terms import Terms
 from ..sources import documents, settings, suites
 from . import runs, scan
 from .index import Index
+from .server import Server
+from .service import Service
 
 
 def arguments(argv: list[str] | None) -> argparse.Namespace:
@@ -46,6 +48,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     score.add_argument("--fixture", type=Path, required=True)
     score.add_argument("--out", type=Path)
     score.add_argument("-k", type=int, default=10, choices=range(1, 51), metavar="1-50")
+    commands.add_parser("serve", help="answer a client's requests, one a line, until its input ends")
     leak = commands.add_parser("scan")
     leak.add_argument("--repo", default=".")
     which = leak.add_mutually_exclusive_group()
@@ -76,6 +79,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for row in shown.orderBy("rank").collect():
                 print(f"{row['rank']}. [{row['score']:.3f}] {row['where']}\n   {row['text']}")
             return 0
+        if given.command == "serve":
+            Server(Service(index, embedder, found)).serve(sys.stdin, sys.stdout)
+            return 0
         if given.command == "ask":
             return _ask(index, embedder, given)
         return _evaluate(spark, index, embedder, given)
@@ -111,18 +117,42 @@ def _scan(spark: SparkSession, given: argparse.Namespace, held: settings.ScanSet
     return scan.exit_code(hits, commits.hits, stale=stale)
 
 
+class GenerationError(RuntimeError):
+    """No reply, and why."""
+
+
 class Command:
-    """A generator that runs a command for each prompt."""
+    """A generator that runs a command for each prompt, once.
+
+    A command that was refused for its rate may print the refusal as JSON, with
+    its code; it is told apart as any service's.
+    """
 
     def __init__(self, words: str):
         self._words = shlex.split(words)
 
     def generate(self, prompt: str) -> str:
         try:
-            done = subprocess.run(self._words, input=prompt.encode(), capture_output=True, check=True)
-        except (OSError, subprocess.CalledProcessError) as problem:
-            raise RuntimeError(f"the model command failed: {problem}") from problem
-        return done.stdout.decode("utf-8", "replace")
+            done = subprocess.run(self._words, input=prompt.encode(), capture_output=True)
+        except OSError as problem:
+            raise GenerationError(f"the model command cannot be run: {problem}") from problem
+        said = done.stdout.decode("utf-8", "replace")
+        if done.returncode:
+            if refused := self._refused(said):
+                raise refused
+            last = done.stderr.decode("utf-8", "replace").strip().rpartition("\n")[2]
+            raise GenerationError(f"the model command ended with {done.returncode}: {last}")
+        if not said.strip():
+            raise GenerationError("the model command said nothing")
+        return said
+
+    @staticmethod
+    def _refused(said: str) -> Exception | None:
+        try:
+            body = json.loads(said)
+            return refusal(int(body["error"]["code"]), body)
+        except (ValueError, KeyError, TypeError):
+            return None
 
 
 def _ask(index: Index, embedder: KeywordEmbedder, given: argparse.Namespace) -> int:

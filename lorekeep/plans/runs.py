@@ -176,14 +176,15 @@ def passages_for(index: Index, embedder: embedding.Embedder, questions: DataFram
 
 
 def dated(cited: DataFrame) -> DataFrame:
-    """Cited chunks with ``date`` (of the commit, else of the file's last commit, else of the file) and ``changed``."""
+    """Cited chunks with ``date`` (of the commit, else of the file's last commit, else of the file), ``dated_by`` and ``changed``."""
     root = F.expr("substring(path, 1, length(path) - length(rel_path) - 1)")
     files = cited.where("source <> 'git'").select(root.alias("path"), F.col("rel_path").alias("file"))
-    known = git.file_dates(files).select(F.concat_ws("/", "path", "file").alias("path"), "date", "seconds")
+    known = git.file_dates(files).select(F.concat_ws("/", "path", "file").alias("path"), "date", "dated_by", "seconds")
     rows = cited.join(known, "path", "left")
     said = F.when(F.col("source") == "git", day("author_date")).otherwise(F.coalesce("date", F.lit("unknown")))
     changed = answers.changed_since_indexed(F.col("seconds"), F.col("mtime"), F.col("source"))
-    return rows.withColumns({"date": said, "changed": changed}).drop("seconds")
+    by = F.when(F.col("source") != "git", F.coalesce("dated_by", F.lit("unknown"))).when(said == "unknown", "unknown").otherwise("committed")
+    return rows.withColumns({"date": said, "dated_by": by, "changed": changed}).drop("seconds")
 
 
 def ask(index: Index, embedder: embedding.Embedder, generator: Generator, question: str, k: int = retrieval.ANSWER_K, project: str | None = None) -> dict:

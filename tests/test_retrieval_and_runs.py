@@ -1,5 +1,6 @@
 """Retrieval, evaluation, answers, guards, leaks, and whole runs over real folders and repositories."""
 
+import io
 import json
 import os
 import random
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lorekeep import queries
 from lorekeep.operators import answers, evaluation, guards, leaks, retrieval
-from lorekeep.operators.embedding import DailyQuotaExceeded, KeywordEmbedder, RemoteEmbedder
+from lorekeep.operators.embedding import DailyQuotaExceeded, KeywordEmbedder, RateLimited, RemoteEmbedder
 from lorekeep.plans import cli, runs, scan
 from lorekeep.plans.index import Index, SpaceMismatch
+from lorekeep.plans.server import Server
 from lorekeep.plans.service import Service
 from lorekeep.sources import documents, git, settings, suites
 
@@ -283,6 +285,41 @@ def test_service_hides_and_counts(spark, tree, tmp_path):
         held.get(one)
 
 
+def test_server_answers_requests(spark, tree, tmp_path):
+    index, embedder = Index(spark, f"file://{tmp_path}/index"), KeywordEmbedder(spark)
+    runs.build(spark, chosen(tree, git_enabled=True, author_names=("me",)), index, embedder, accept_all=True)
+    held = Server(Service(index, embedder, chosen(tree, service_exclude_projects=("Alpha",), max_searches=2)))
+    asked = [
+        ("initialize", {}), ("tools/list", {}), ("tools/call", {"name": "list_projects"}), ("tools/call", {"name": "search", "arguments": {"query": "tides and moons", "k": 2}}),
+        ("tools/call", {"name": "search", "arguments": {"query": "x", "project": "alpha"}}), ("tools/call", {"name": "search", "arguments": {"query": "trains"}}),
+        ("tools/call", {"name": "search", "arguments": {"query": "more"}}), ("tools/call", {"name": "search", "arguments": {"query": "x", "k": "5"}}), ("other", {}), ("tools/call", {"name": "none"}),
+    ]
+    lines = [json.dumps({"jsonrpc": "2.0", "id": n, "method": m, "params": p}) for n, (m, p) in enumerate(asked)]
+    out = io.StringIO()
+    held.serve([*lines, json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), "", "{", "[1]"], out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [g["id"] for g in got] == [*range(10), None, None]
+    results = [g.get("result") for g in got]
+    assert results[0]["protocolVersion"] and [t["name"] for t in results[1]["tools"]] == ["list_projects", "search"]
+    assert results[2]["structuredContent"] == {"projects": ["inner", "Parent", "root"]}
+    first = results[3]["structuredContent"]["results"][0]
+    assert (first["citation"], first["source"], first["date_source"], len(results[3]["structuredContent"]["results"])) == ("inner / readme.md", "doc", "git", 2)
+    assert results[4]["isError"] and results[4]["content"][0]["text"].startswith("NOT_ANSWERABLE_AS_ASKED")
+    assert not results[5]["isError"] and results[6]["content"][0]["text"].startswith("SESSION_CAP")
+    assert [g["error"]["code"] for g in got[7:]] == [-32602, -32601, -32602, -32700, -32600]
+
+
+def test_a_command_that_fails_is_no_reply(tmp_path):
+    script = tmp_path / "say.sh"
+    for body, kind, said in (("exit 3", cli.GenerationError, "ended with 3"), ("true", cli.GenerationError, "said nothing"),
+                             ("echo '{\"error\": {\"code\": 429}}'; exit 1", RateLimited, "without a reason")):
+        script.write_text(body)
+        with pytest.raises(kind, match=said):
+            cli.Command(f"sh {script}").generate("prompt")
+    with pytest.raises(cli.GenerationError, match="cannot be run"):
+        cli.Command(str(tmp_path / "none")).generate("prompt")
+
+
 def test_paid_batches_stay_saved(spark, tree, tmp_path):
     asked = []
 
