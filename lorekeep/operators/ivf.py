@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.shared import stored
 from .retrieval import PLACES, QUERY_BLOCK, Best, units
 
 #: Vectors that the centroids are learned from.
@@ -129,7 +130,7 @@ class Lists:
         found = self._scan(ids, asked, first, np.zeros(len(ids), bool), k, kind)
         if not exact:
             return _ranked(found, k)
-        found = found.persist()
+        found = stored(found, "lists")
         kth = _ranked(found, k).where(F.col("rank") == k).select("query_id", "score").toPandas()
         least = pd.Series(kth["score"].to_numpy(), index=kth["query_id"]).reindex(ids).fillna(-np.inf).to_numpy(np.float64)
         angle = np.arccos(np.clip(asked @ self._centroids.T, -1, 1))

@@ -52,7 +52,7 @@ class Collected:
 def collect(spark: SparkSession, settings: Settings) -> Collected:
     """Chunks of all documents and, where wanted, of the owner's commits."""
     required_exclusions(settings.exclude_projects, "exclude_projects")
-    found = documents.discover(spark, settings).persist()
+    found = stored(documents.discover(spark, settings), "found")
     texts, unreadable = documents.read_texts(found)
     chunks = chunking.chunk_documents(texts)
     classes = repositories = None
