@@ -1,11 +1,14 @@
-"""Text as columns: white space, lines, tokens, labels.  All of it stays in the JVM."""
+"""Text as columns: white space, lines, tokens, labels.  All but ``fold_texts`` stays in the JVM."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: what counts as white space, for Java's regular expressions.
 WS = r"[\s\x0B\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -38,15 +41,27 @@ def _foldings() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(single.values()), {c: f for c, f in folded.items() if len(f) > 1}
 
 
+def _bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def casefold(c: Column | str) -> Column:
     """Without case, as ``str.casefold`` does it; texts of ASCII alone take the short way."""
-    text = _col(c)
     given, single, several = _foldings()
-    wide = F.translate(text, given + "".join(map(chr, range(65, 91))), single + "".join(map(chr, range(97, 123))))
-    pairs = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    longer = F.array_join(F.transform(F.split(wide, ""), lambda x: F.coalesce(F.try_element_at(pairs, x), x)), "")
+    given, single = given + "".join(map(chr, range(65, 91))), single + "".join(map(chr, range(97, 123)))
     odd = "[" + "".join(several) + "]"
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).when(wide.rlike(odd), longer).otherwise(wide)
+    pairs = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+
+    def longer(wide: Column) -> Column:
+        each = F.transform(F.split(wide, ""), lambda x: F.coalesce(F.try_element_at(pairs, x), x))
+        return F.when(wide.rlike(odd), F.array_join(each, "")).otherwise(wide)
+
+    def folded(text: Column) -> Column:
+        plain = F.octet_length(text) == F.length(text)
+        return F.when(plain, F.lower(text)).otherwise(_bound(F.translate(text, given, single), longer))
+
+    return _bound(_col(c), folded)
 
 
 def fold(c: Column | str) -> Column:
@@ -54,6 +69,16 @@ def fold(c: Column | str) -> Column:
     return casefold(squeeze(c))
 
 
+@F.pandas_udf(T.StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else t.casefold())
+
+
+def fold_texts(c: Column | str) -> Column:
+    """Like ``fold``, for whole texts: in Python, where a long text is folded far faster, and once."""
+    return _folded(squeeze(c))
+
+
 def lines(c: Column | str) -> Column:
     """The lines of a text, without the empty one that a final line end leaves."""
     parts = F.split(_col(c), LINE_END)

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, fold_texts
+from ..sources.shared import stored
 
 QUESTION = (
     "id string, category string, text string, expected_projects array<string>, expected_text array<string>,"
@@ -49,7 +50,7 @@ def text_matches(looked_for: DataFrame, results: DataFrame) -> DataFrame:
 
     Passage text only, by folded words; the project's name must be spelled as expected.
     """
-    hay = results.select("id", "rank", "project", "rel_path", "chunk_index", fold("text").alias("hay"))
+    hay = results.select("id", "rank", "project", "rel_path", "chunk_index", fold_texts("text").alias("hay"))
     found = (
         looked_for.join(hay, "id")
         .where(F.array_contains("projects", F.col("project")) & F.contains("hay", fold("needle")))
@@ -60,6 +61,7 @@ def text_matches(looked_for: DataFrame, results: DataFrame) -> DataFrame:
 
 def evaluate(questions: DataFrame, results: DataFrame) -> DataFrame:
     """An outcome for each question; ``passed`` is null where no answer is expected."""
+    results = stored(results, "results")  # a search is not run again for each of its uses
     asked = with_check(questions)
     by_rank = F.transform(F.array_sort(F.collect_list(F.struct("rank", "project"))), lambda x: x["project"])
     returned = results.groupBy("id").agg(

@@ -272,4 +272,5 @@ def test_folding_equals_python_over_all_code_points(spark):
     rows = spark.createDataFrame([(t, None if t is None else t.casefold()) for t in texts], "t string, want string")
     wrong = rows.where(~text.casefold("t").eqNullSafe(F.col("want")))
     assert wrong.count() == 0
+    assert rows.where(~text.fold_texts("t").eqNullSafe(text.fold("t"))).count() == 0
     assert [r[0] for r in spark.createDataFrame([("  GROẞE \n ΣΑΣ ",)], "t string").select(text.fold("t")).collect()] == ["grosse σασ"]
