@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.patterns import VERSION_BUMP, left_out_of_excerpts, looks_secret
@@ -50,38 +52,90 @@ def _path(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.rtrim(F.rtrim(raw)), '^"+|"+$', ""), "^[ab]/", "")
 
 
-def diff_lines(diffs: DataFrame, key: str = "hash", diff_col: str = "diff") -> DataFrame:
-    """``(key, n, line, skipped)``: the changed lines and hunk heads of each diff, and whether their file is left out.
+class _Excerpt:
+    """Where a walk through the lines of one diff stands, and what it has kept."""
+
+    def __init__(self, room: int):
+        self.room, self.kept, self.header, self.skipped = room, [], False, False
+
+    def read(self, line: str, starts: bool, hunk: bool, out: bool, shows: bool) -> None:
+        if starts:
+            self.header, self.skipped = True, out
+        elif hunk:
+            self.header = False
+        elif self.header:
+            self.skipped |= out
+        if shows and self.room > 0 and not self.header and not self.skipped:
+            self.kept.append(line)
+            self.room -= len(line) + 1
+
+
+def excerpts(lines: DataFrame, by: tuple[str, ...] = ("hash",), chars: int = EXCERPT_CHARS) -> DataFrame:
+    """``(*by, excerpt, problem)`` of diffs given as lines ``(*by, raw)`` in order: changed lines, cut to ``chars``.
 
-    A diff's lines are windowed by its key: the last ``diff --git`` line begins
-    a block, lines up to the block's first hunk head are its header, and a name
-    in the header that is left out leaves out the block.
+    A ``diff --git`` line begins a file, lines up to its first hunk head are its
+    header, and a name in the header that is left out leaves out the file;
+    secret-looking lines are left out too.  Another key begins another diff, and
+    so does a row that has ``begin``.  A row with a ``problem`` hands it on.
+
+    What a line is, is told in the JVM; lines then stream through the task that
+    has them, so a diff of any length costs no sort and is never one value.
+    Only what the excerpt can show is kept.  A diff of which nothing shows has no row.
     """
-    each = diffs.select(key, F.posexplode(F.split(diff_col, LINE_END)).alias("n", "line"))
-    by_diff = W.partitionBy(key).orderBy("n")
-    starts = F.col("line").startswith("diff --git ")
-    each = each.withColumn("block", F.sum(starts.cast("int")).over(by_diff))
-    so_far = W.partitionBy(key, "block").orderBy("n")
-    hunks = F.sum(F.col("line").startswith("@@").cast("int")).over(so_far)
-    each = each.withColumn("header", (F.col("block") > 0) & (hunks == 0))
-    named = (
-        F.when(starts, F.regexp_extract("line", r"^.* b/(.*)$", 1))
-        .when(F.col("header") & F.col("line").rlike(r"^(?:---|\+\+\+) "), F.expr("substring(line, 5)"))
+    size = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, kinds = None, _Excerpt(chars), None
+        for batch in batches:
+            kinds = [*batch.schema.types[:size], pa.string(), pa.string()]
+            done: list[tuple] = []
+            keys = zip(*(c.to_pylist() for c in batch.columns[:size]), strict=True)
+            rest = zip(*(c.to_pylist() for c in batch.columns[size:]), strict=True)
+            for own, (begin, problem, *line) in zip(keys, rest, strict=True):
+                if begin or own != now:
+                    done += closed(now, state)
+                    now, state = own, _Excerpt(chars)
+                if problem:
+                    done.append((*own, None, problem))
+                else:
+                    state.read(*line)
+            if done:
+                yield batch_of(done, kinds)
+        if last := closed(now, state):
+            yield batch_of(last, kinds)
+
+    def closed(own: tuple, state: _Excerpt) -> list[tuple]:
+        return [(*own, "\n".join(state.kept)[:chars].rstrip(" \t\n\v\f\r"), None)] if state.kept else []
+
+    def batch_of(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        names = [*by, "excerpt", "problem"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    given = {name: F.col(name) if name in lines.columns else F.lit(None).cast(kind) for name, kind in (("begin", "boolean"), ("problem", "string"))}
+    line = F.coalesce("raw", F.lit(""))
+    starts, hunk = line.startswith("diff --git "), line.startswith("@@")
+    named = F.when(starts, F.regexp_extract(line, r"^.* b/(.*)$", 1)).when(line.rlike(r"^(?:---|\+\+\+) "), F.substring(line, 5, 1 << 30))
+    out = F.coalesce((_path(named) != "/dev/null") & left_out_of_excerpts(_path(named)), F.lit(False))
+    shows = line.rlike(r"^(?:[+-]|@@)") & ~looks_secret(line)
+    # Only these count; told apart before anything dear is asked of a line.
+    counts = line.rlike("^(?:diff --git |[+-]|@@)") | given["begin"] | given["problem"].isNotNull()
+    told = lines.where(F.coalesce(counts, F.lit(False))).select(
+        *by, given["begin"].alias("begin"), given["problem"].alias("problem"), F.substring(line, 1, chars).alias("line"),
+        starts.alias("starts"), hunk.alias("hunk"), out.alias("out"), shows.alias("shows"),
     )
-    out = named.isNotNull() & (_path(named) != "/dev/null") & left_out_of_excerpts(_path(named))
-    each = each.withColumn("skipped", F.max(F.coalesce(out, F.lit(False))).over(W.partitionBy(key, "block")))
-    return each.where(~F.col("header") & F.col("line").rlike(r"^(?:[+-]|@@)")).select(key, "n", "line", "skipped")
+    kinds = dict(lines.dtypes)
+    return told.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", excerpt string, problem string")
+
+
+def git_lines(lines: DataFrame) -> DataFrame:
+    """Lines as git ends them, cut where else a line may end."""
+    return lines.withColumn("raw", F.explode_outer(F.split("raw", LINE_END)))
 
 
 def diff_excerpts(diffs: DataFrame, key: str = "hash", diff_col: str = "diff", chars: int = EXCERPT_CHARS) -> DataFrame:
-    """``(key, excerpt)``: changed lines without left-out files and secret-looking lines, cut to ``chars``."""
-    kept = diff_lines(diffs, key, diff_col).where(~F.col("skipped") & ~looks_secret(F.col("line")))
-    # Lines past the cut cannot show: each line is a character at least, so that many are enough.
-    first = kept.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("n"))).where(F.col("r") <= chars)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
-    return first.groupBy(key).agg(text.alias("t")).select(
-        key, F.regexp_replace(F.substring("t", 1, chars), r"\s+$", "").alias("excerpt")
-    )
+    """``(key, excerpt)`` of each diff that is one value, null ones left out."""
+    each = diffs.select(key, F.posexplode(F.split(diff_col, LINE_END)).alias("n", "raw"))
+    return excerpts(each.select(key, "raw", (F.col("n") == 0).alias("begin")), (key,), chars).select(key, "excerpt")
 
 
 def commit_text(subject: Column, body: Column, files: Column, excerpt: Column) -> Column:
@@ -99,18 +153,20 @@ def commit_text(subject: Column, body: Column, files: Column, excerpt: Column) -
 
 
 def commit_chunks(
-    commits: DataFrame, diffs: DataFrame | None = None, size: int = MAX_CHARS, overlap: int = OVERLAP,
-    least: int = MIN_CHARS, thin_chars: int = THIN_CHARS, excerpt_chars: int = EXCERPT_CHARS,
+    commits: DataFrame, shown: DataFrame | None = None, size: int = MAX_CHARS, overlap: int = OVERLAP,
+    least: int = MIN_CHARS, thin_chars: int = THIN_CHARS,
 ) -> DataFrame:
     """Chunks of kept commits ``(project, path, hash, parents, author_*, subject, body, files)``.
 
-    Thin commits that have a parent get an excerpt of their diff.
+    Thin commits that have a parent get the excerpt of their diff in ``shown``
+    ``(hash, excerpt)``, which may name a commit for each of its clones.
     """
-    if diffs is None:
+    if shown is None:
         said = commits.withColumn("excerpt", F.lit(""))
     else:
         thin = is_thin(F.col("subject"), F.col("body"), thin_chars) & (F.size("parents") > 0)
-        said = commits.join(diff_excerpts(diffs, chars=excerpt_chars), "hash", "left").withColumn(
+        one = shown.groupBy("hash").agg(F.min("excerpt").alias("excerpt"))
+        said = commits.join(one, "hash", "left").withColumn(
             "excerpt", F.when(thin, F.coalesce("excerpt", F.lit(""))).otherwise(F.lit(""))
         )
     text = commit_text(F.col("subject"), F.col("body"), F.col("files"), F.col("excerpt"))

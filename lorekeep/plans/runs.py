@@ -67,14 +67,15 @@ def collect(spark: SparkSession, settings: Settings) -> Collected:
         classes = commits.classified(log.where("problem is null"), list(settings.author_emails), list(settings.author_names))
         kept = classes.where("class = 'kept'").drop("class", "problem")
         thin = kept.where(commits.is_thin(F.col("subject"), F.col("body"), settings.thin_message_chars) & (F.size("parents") > 0))
-        shown = stored(git.diffs(thin.select("path", "hash")), "diffs")
+        read = commits.git_lines(git.diff_lines(thin.select("path", "hash"), renames=False))
+        shown = stored(commits.excerpts(read, ("path", "hash"), settings.diff_excerpt_chars), "excerpts")
         # A repository of which git could not read all loses its history, not its documents, and is listed.
         broken = log.select("path", "problem").unionByName(shown.select("path", "problem")).where("problem is not null")
         broken = broken.groupBy("path").agg(F.min("problem").alias("broken"))
         repositories = states.join(broken, "path", "left").withColumn("problem", F.coalesce("problem", "broken")).select(*states.columns)
         classes, kept = (rows.join(broken, "path", "left_anti").select(*rows.columns) for rows in (classes, kept))
-        shown = shown.where("problem is null").select("hash", "diff")
-        chunks = chunks.unionByName(commits.commit_chunks(kept, shown, thin_chars=settings.thin_message_chars, excerpt_chars=settings.diff_excerpt_chars))
+        shown = shown.where("problem is null")
+        chunks = chunks.unionByName(commits.commit_chunks(kept, shown, thin_chars=settings.thin_message_chars))
     return Collected(found, unreadable, classes, chunks, repositories)
 
 

@@ -227,6 +227,23 @@ def test_diff_excerpts(spark):
     assert len(commits.diff_excerpts(long).first().excerpt) == 800
 
 
+def test_excerpts_of_one_long_diff_and_of_clones(spark):
+    """A million lines stream through one task; diffs that repeat a key, are null or failed do not run into each other."""
+    numbers = spark.range(0, 1_000_000, 1, 1)
+    body = F.when(F.col("id") % 1000 == 0, F.concat(F.lit("diff --git a/yarn.lock b/f"), F.col("id"))).when(F.col("id") % 1000 == 1, "@@ -1 +1 @@")
+    lines = numbers.select(F.lit("h").alias("hash"), F.coalesce(body, F.concat(F.lit("+"), F.col("id"))).alias("raw"))
+    plan = commits.excerpts(lines, chars=5_000_000)
+    assert not any(word in plan._jdf.queryExecution().toString() for word in ("Exchange", "Sort", "Window"))
+    got = plan.first().excerpt
+    want = [r.raw for r in lines.collect() if not r.raw.startswith("diff")]
+    assert got == "\n".join(want)[:5_000_000]
+    twice = spark.createDataFrame([("h", "+a\r\n+b"), ("h", "+a\r\n+b"), ("n", None), (None, "-c\u2028 d\n@@ e")], "hash string, diff string")
+    assert sorted(commits.diff_excerpts(twice.coalesce(1)).collect(), key=str) == [("h", "+a\n+b"), ("h", "+a\n+b"), (None, "-c\n@@ e")]
+    failed = spark.createDataFrame([("/r", "h", "+a\r", None), ("/r", "h", None, "lost"), ("/s", "h", "+b", None)], "path string, hash string, raw string, problem string")
+    got = commits.excerpts(commits.git_lines(failed.coalesce(1)), ("path", "hash")).collect()
+    assert sorted(got, key=str) == [("/r", "h", "+a", None), ("/r", "h", None, "lost"), ("/s", "h", "+b", None)]
+
+
 def test_secret_lines_and_left_out_files(spark):
     lines = ["AIza" + "a" * 35, "-----BEGIN RSA PRIVATE KEY-----", "API_KEY=abc123", "password: x", "https://u:p@h", "$2b$12$" + "a" * 53, 'API_KEY = ""', "https://example.com/path@v2"]
     rows = spark.createDataFrame([(line,) for line in lines], "line string")
@@ -238,7 +255,7 @@ def test_secret_lines_and_left_out_files(spark):
 def test_commit_chunks(spark):
     rows = [commit(1, "Subject", body="b" * 10), commit(2, "Other subject", body="words " * 500), commit(3, "tiny", files=()), commit(4, "Root", parents=())]
     diffs = spark.createDataFrame([(rows[0][2], DIFF), (rows[3][2], DIFF)], "hash string, diff string")
-    got = commits.commit_chunks(spark.createDataFrame(rows, COMMITS), diffs).orderBy("commit", "chunk_index").collect()
+    got = commits.commit_chunks(spark.createDataFrame(rows, COMMITS), commits.diff_excerpts(diffs)).orderBy("commit", "chunk_index").collect()
     one = [r for r in got if r.commit == rows[0][2]]
     assert len(one) == 1 and "Diff excerpt:\n@@" in one[0].text and "Files changed:\na.py" in one[0].text
     assert one[0].embed_text.startswith(f"P · commit {rows[0][2][:7]} · 2026-07-02\nSubject")
