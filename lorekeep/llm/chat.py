@@ -62,13 +62,17 @@ def unescape(text: str) -> str:
 
 @dataclass
 class Flatten:
-    """Visits the parts of a turn in order; ``body`` is the flattened content."""
+    """Visits the parts of a turn in order; ``content()`` is what they are flattened to.
+
+    Texts that meet are escaped together, so that no control string arises where two join.
+    """
 
     patch: int = 28  # pixels to a side of an image token
     audio_rate: float = 12.5  # tokens a second
     page_tokens: int = 768
     body: list[str] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
 
     def visit(self, part: dict) -> None:
         kind = part.get("kind") or "text"
@@ -77,7 +81,7 @@ class Flatten:
         getattr(self, f"visit_{kind}")(part)
 
     def visit_text(self, part: dict) -> None:
-        self.body.append(escape(part.get("text") or ""))
+        self.texts.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
         self._attach(part, ceil((part.get("width") or 0) / self.patch) * ceil((part.get("height") or 0) / self.patch))
@@ -89,33 +93,30 @@ class Flatten:
         self._attach(part, (part.get("pages") or 0) * self.page_tokens)
 
     def _attach(self, part: dict, tokens: int) -> None:
+        self._close()
         self.body.append(f"<|{part['kind']}:{len(self.attachments)}|>")
         self.attachments.append({"kind": part["kind"], "ref": part.get("ref"), "tokens": tokens})
 
+    def _close(self) -> None:
+        self.body.append(escape("".join(self.texts)))
+        self.texts.clear()
+
+    def content(self) -> str:
+        self._close()
+        return "".join(self.body)
+
 
 def format_turn(role: str | None, parts: list[dict]) -> tuple[str, list[dict], tuple[int, int]]:
     """(segment, attachments, span of the segment that is the turn's content)."""
     seen = Flatten()
     for part in parts:
         seen.visit(part)
-    # Parts that meet are escaped together, so that no control string arises where two join.
-    body = "".join(seen.body) if len(parts) < 2 else _joined(parts, seen)
+    body = seen.content()
     tag = TAGS.get(role or "")
     head = f"<s>[{tag}]" if tag else f"<s>[ROLE {quote(role or '', safe='')}]"
     return f"{head}{body}[/{tag or 'ROLE'}]</s>", seen.attachments, (len(head), len(head) + len(body))
 
 
-def _joined(parts: list[dict], seen: Flatten) -> str:
-    out, run = [], []
-    for part, flat in zip(parts, seen.body, strict=True):
-        if (part.get("kind") or "text") == "text":
-            run.append(part.get("text") or "")
-        else:
-            out += [escape("".join(run)), flat]
-            run = []
-    return "".join([*out, escape("".join(run))])
-
-
 def parse(formatted: str) -> Iterator[tuple[str, str, list[tuple[str, int]]]]:
     """(role, text, placeholders) of each turn of a formatted conversation or segment."""
     for turn in _TURN.finditer(formatted):

@@ -196,17 +196,16 @@ def read_shards(spark: SparkSession, out: str, length: int = LENGTH, width: int
     """``(slot, shard, at, id, seq, n, ids_sha256)`` of every record, read back from the shards.
 
     ``at`` is the byte at which the record begins in its shard.  The sizes of
-    the shards, one number each, give the first slot of each.
+    the shards give the first slot of each: 8 bytes for 16 MB of text are sent to the tasks.
     """
     step = stride(length, width)
     files = spark.read.format("binaryFile").load(out)
     number = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
-    sizes = files.select(number.alias("shard"), "length").collect()
-    first, total = {}, 0
-    for shard, size in sorted((r["shard"], r["length"]) for r in sizes):
-        first[shard] = total
-        total += size // step
-    shared = spark.sparkContext.broadcast(first)  # one number for each shard
+    sizes = files.select(number.alias("shard"), (F.col("length") / step).cast("long").alias("n")).toArrow()
+    shards, counts = (sizes.column(c).to_numpy() for c in ("shard", "n"))
+    first = np.zeros(int(shards.max(initial=-1)) + 2, np.int64)
+    first[shards + 1] = counts
+    shared = spark.sparkContext.broadcast(np.cumsum(first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         record = np.dtype([("head", HEAD), ("tokens", f"V{length * width}"), ("end", "S1")])
@@ -221,7 +220,7 @@ def read_shards(spark: SparkSession, out: str, length: int = LENGTH, width: int
                 ids = rows["head"]["id"]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(place + shared.value[shard]),
+                        pa.array(place + int(shared.value[shard])),
                         pa.array(np.full(len(rows), shard, np.int32)),
                         pa.array(place * step),
                         pa.array(ids, mask=ids == _NO_ID),
@@ -238,13 +237,19 @@ def read_shards(spark: SparkSession, out: str, length: int = LENGTH, width: int
 
 
 def read_slots(spark: SparkSession, out: str, shard: int, start: int, count: int, length: int = LENGTH, width: int = 2) -> list[np.ndarray]:
-    """Token ids of ``count`` records of a shard from its record ``start`` on: how a reader resumes."""
-    step = stride(length, width)
-    path = spark.read.format("binaryFile").load(out).where(F.col("path").rlike(f"part-0*{shard}[-.]"))
-    chosen = path.select(F.substring("content", start * step + 1, count * step).alias("part")).first()
-    part = bytes(chosen["part"]) if chosen else b""
-    found = []
-    for at in range(0, len(part), step):
-        n = int(np.frombuffer(part, HEAD, 1, at)["n"][0])
-        found.append(np.frombuffer(part, f"<u{width}", n, at + HEAD.itemsize))
-    return found
+    """Token ids of ``count`` records of a shard from its record ``start`` on: how a reader resumes, by one seek."""
+    step, jvm = stride(length, width), spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(out)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    named = files.globStatus(jvm.org.apache.hadoop.fs.Path(folder, f"part-{shard:05d}-*"))
+    if not named:
+        return []
+    size = max(0, min(count * step, named[0].getLen() - start * step))
+    stream = files.open(named[0].getPath())
+    try:
+        stream.seek(start * step if size else 0)
+        part = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(size)))
+    finally:
+        stream.close()
+    heads = [int(np.frombuffer(part, HEAD, 1, at)["n"][0]) for at in range(0, len(part), step)]
+    return [np.frombuffer(part, f"<u{width}", n, i * step + HEAD.itemsize) for i, n in enumerate(heads)]

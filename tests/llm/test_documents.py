@@ -469,6 +469,8 @@ def test_token_shards(spark, sf_dir, texts, library, tmp_path):
     some = sorted((r for r in rows if r.shard == rows[0].shard), key=lambda r: r.at)
     got = tokenshards.read_slots(spark, out, rows[0].shard, 2, 3)
     assert [g.tolist() for g in got] == [want[r.id, r.seq].tolist() for r in some[2:5]]
+    assert len(tokenshards.read_slots(spark, out, rows[0].shard, len(some) - 1, 9)) == 1
+    assert tokenshards.read_slots(spark, out, rows[0].shard, len(some) + 5, 2) == tokenshards.read_slots(spark, out, shards + 1, 0, 1) == []
     assert [r.at for r in some] == [n * tokenshards.stride(256, 2) for n in range(len(some))]
 
 
