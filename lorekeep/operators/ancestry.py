@@ -7,6 +7,9 @@ outside is reached at the top of a line and so with all of it; only a starting
 commit stands within its line, and reaches what lies below.  The lines, with the
 parents of their ends, are a small graph: up to AT_ONCE of its edges one task
 walks through, beyond that a frontier is joined with it until it finds no more.
+
+Both sides of each join grow with the log, and a broadcast goes through the
+driver; in many rounds many small ones add up.  So joins here shuffle.
 """
 
 from __future__ import annotations
@@ -23,22 +26,27 @@ from ..sources.shared import cut
 AT_ONCE = 100_000
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """The two joined by a shuffle, however small a side is found to be."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def edges_of(log: DataFrame, key: str = "hash", parents: str = "parents") -> DataFrame:
     """``(child, parent)`` of commits that are both in the log; a shallow log knows of parents that it lacks."""
     each = log.select(F.col(key).alias("child"), F.explode(parents).alias("parent")).distinct()
-    return each.join(log.select(F.col(key).alias("parent")).distinct(), "parent", "left_semi").select("child", "parent")
+    return _met(each, log.select(F.col(key).alias("parent")).distinct(), "parent", "left_semi").select("child", "parent")
 
 
 def lines_of(log: DataFrame, edges: DataFrame, key: str = "hash") -> DataFrame:
     """``(node, line, depth)``: the end of each commit's line, and how far above it the commit is."""
     single = edges.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("parent")).where("n = 1")
     alone = edges.groupBy("parent").agg(F.count("*").alias("n")).where("n = 1").select("parent")
-    inner = single.join(alone, "parent", "left_semi").select(F.col("child").alias("node"), F.col("parent").alias("line"))
-    nodes = log.select(F.col(key).alias("node")).distinct().join(inner, "node", "left")
+    inner = _met(single, alone, "parent", "left_semi").select(F.col("child").alias("node"), F.col("parent").alias("line"))
+    nodes = _met(log.select(F.col(key).alias("node")).distinct(), inner, "node", "left")
     rows = cut(nodes.select("node", F.coalesce("line", "node").alias("line"), F.when(F.col("line").isNull(), 0).otherwise(1).cast("long").alias("depth")))
     while True:
         further = rows.select(F.col("node").alias("line"), F.col("line").alias("end"), F.col("depth").alias("more"))
-        moved = cut(rows.join(further, "line").select("node", F.col("end").alias("line"), (F.col("depth") + F.col("more")).alias("depth"), "more"))
+        moved = cut(_met(rows, further, "line").select("node", F.col("end").alias("line"), (F.col("depth") + F.col("more")).alias("depth"), "more"))
         rows = moved.drop("more")
         if moved.where("more > 0").isEmpty():
             return rows
@@ -47,11 +55,12 @@ def lines_of(log: DataFrame, edges: DataFrame, key: str = "hash") -> DataFrame:
 def _closure(edges: DataFrame, seeds: DataFrame, at_once: int) -> DataFrame:
     """``(tag, line)`` that follow from ``seeds`` over ``(line, to)``, the seeds themselves only where an edge leads to them."""
     edges = cut(edges.distinct())
-    first = cut(seeds.join(edges, "line").select("tag", F.col("to").alias("line")).distinct())
+    first = cut(_met(seeds, edges, "line").select("tag", F.col("to").alias("line")).distinct())
     if edges.count() > at_once:
         found = front = first
         while not front.isEmpty():
-            front = cut(front.join(edges, "line").select("tag", F.col("to").alias("line")).distinct().join(found, ["tag", "line"], "left_anti"))
+            further = _met(front, edges, "line").select("tag", F.col("to").alias("line")).distinct()
+            front = cut(_met(further, found, ["tag", "line"], "left_anti"))
             found = cut(found.unionByName(front))
         return found
     kind = dict(edges.dtypes)["line"]
@@ -84,12 +93,12 @@ def reachable(log: DataFrame, starts: DataFrame, key: str = "hash", parents: str
     """``(tag, hash)``: the commits that each of ``starts`` (tag, hash) reaches, itself among them."""
     edges = cut(edges_of(log, key, parents))
     lines = lines_of(log, edges, key)
-    begin = cut(starts.select("tag", F.col(key).alias("node")).distinct().join(lines, "node"))
-    ends = edges.withColumnRenamed("child", "line").join(lines.where("depth = 0").select("line"), "line", "left_semi")
-    between = ends.join(lines.select(F.col("node").alias("parent"), F.col("line").alias("to")), "parent").select("line", "to")
+    begin = cut(_met(starts.select("tag", F.col(key).alias("node")).distinct(), lines, "node"))
+    ends = _met(edges.withColumnRenamed("child", "line"), lines.where("depth = 0").select("line"), "line", "left_semi")
+    between = _met(ends, lines.select(F.col("node").alias("parent"), F.col("line").alias("to")), "parent").select("line", "to")
     whole = _closure(between, begin.select("tag", "line"), at_once)
-    inside = begin.select("tag", "line", F.col("depth").alias("most")).join(lines, "line").where("depth <= most").select("tag", "node")
-    found = whole.join(lines, "line").select("tag", "node").unionByName(inside).distinct()
+    inside = _met(begin.select("tag", "line", F.col("depth").alias("most")), lines, "line").where("depth <= most").select("tag", "node")
+    found = _met(whole, lines, "line").select("tag", "node").unionByName(inside).distinct()
     return found.withColumnRenamed("node", key)
 
 

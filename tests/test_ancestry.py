@@ -42,6 +42,24 @@ def test_a_long_line_takes_few_rounds(spark):
     assert ancestry.reachable(log.limit(0), spark.createDataFrame([("a", 1)], "tag string, hash long")).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [100_000, 0])
+def test_nothing_is_broadcast(spark, monkeypatch, at_once):
+    plans, cut = [], ancestry.cut
+
+    def watched(df):
+        kept = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept
+
+    monkeypatch.setattr(ancestry, "cut", watched)
+    one = F.when(F.col("id") % 10 == 0, F.floor(F.col("id") / 2)).otherwise(F.col("id") - 1)
+    log = spark.range(1, 400).select(F.col("id").alias("hash"), F.array(one).alias("parents"))
+    found = ancestry.reachable(log, spark.createDataFrame([("a", 399), ("b", 30)], "tag string, hash long"), at_once=at_once)
+    assert len(found.collect()) > 10
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any("Broadcast" in plan for plan in plans)
+
+
 def run(where, *args):
     base = ["git", "-c", "user.name=Me", "-c", "user.email=me@x.y", "-c", "commit.gpgsign=false", "-c", "init.defaultBranch=main"]
     return subprocess.run([*base, "-C", str(where), *args], check=True, capture_output=True, text=True).stdout.split()
