@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,9 +69,12 @@ def fold(c: Column | str) -> Column:
     return casefold(squeeze(c))
 
 
-@F.pandas_udf(T.StringType())
-def _folded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else t.casefold())
+@F.arrow_udf(T.StringType())
+def _folded(texts: pa.Array) -> pa.Array:
+    # A few at a time: of a whole batch, strings would take several times its size.
+    pieces = (texts.slice(at, 64) for at in range(0, len(texts), 64))
+    found = [pa.array([None if t is None else t.casefold() for t in piece.to_pylist()], pa.string()) for piece in pieces]
+    return pa.concat_arrays(found) if found else texts.cast(pa.string())
 
 
 def fold_texts(c: Column | str) -> Column:

@@ -24,8 +24,10 @@ from ..sources.shared import only_matching
 from . import batches
 
 BATCH_TEXTS, BATCH_TOKENS, WINDOW_SECONDS = 100, 12_000, 60
-#: Words whose dimension a task remembers.
-WORDS_KNOWN = 1_000_000
+#: Words whose dimension a task remembers: some 10 MB, however many words its texts have.
+WORDS_KNOWN = 65_536
+#: Characters of a text that come to Python at once, but for the rest of a word.
+PIECE_CHARS = 1_000
 _WORD = re.compile("[a-z0-9]+")
 
 
@@ -46,37 +48,65 @@ def keyword_vectors(texts: DataFrame, id_col: str, text_col: str, dimensions: in
 
     Columns named in ``carry`` come along, so that no join has to bring them back.
 
-    Words are counted where their text lies, so nothing is shuffled; a word's
-    digest is computed once and remembered while the table of words is small.
+    Words are counted where their text lies, so nothing is shuffled.  Texts come
+    to Python as pieces in order, each ending where a word may end, so a batch
+    has a few MB however long texts are; a word's digest is remembered in a table
+    of at most ``WORDS_KNOWN`` words, begun anew when full.
     """
     stop = frozenset(STOP_WORDS)
+    kept = ["id", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
+        counts: list[int] | None = None  # of the text that is being read
+        owner: pa.RecordBatch | None = None
+
+        def count(piece: str) -> None:
+            for word, n in Counter(_WORD.findall(piece)).items():
+                if word in stop:
+                    continue
+                place = known.get(word)
+                if place is None:
+                    place = int.from_bytes(hashlib.sha256(word.encode()).digest()[:4], "big") % dimensions
+                    if len(word) <= 64:
+                        if len(known) >= WORDS_KNOWN:
+                            known.clear()
+                        known[word] = place
+                counts[place] += n
+
+        def made(owners: pa.RecordBatch, rows: list[list[int]]) -> pa.RecordBatch:
+            dense = np.array(rows, np.float64)
+            size = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
+            dense = np.divide(dense, size, out=dense, where=size > 0)
+            ends = pa.array(np.arange(0, dense.size + 1, dimensions, dtype=np.int32))
+            vectors = pa.ListArray.from_arrays(ends, pa.array(dense.ravel()))
+            return pa.RecordBatch.from_arrays([*owners.columns, vectors], [*kept, "embedding"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                dense = np.zeros((part.num_rows, dimensions))
-                for row, text in enumerate(part.column(part.num_columns - 1)):
-                    for word, n in Counter(m.group() for m in _WORD.finditer(text.as_py() or "")).items():
-                        if word in stop:
-                            continue
-                        place = known.get(word)
-                        if place is None:
-                            place = int.from_bytes(hashlib.sha256(word.encode()).digest()[:4], "big") % dimensions
-                            if len(word) <= 64:
-                                known[word] = place
-                        dense[row, place] += n
-                    if len(known) > WORDS_KNOWN:
-                        known.clear()
-                size = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
-                dense = np.divide(dense, size, out=dense, where=size > 0)
-                ends = pa.array(np.arange(0, dense.size + 1, dimensions, dtype=np.int32))
-                vectors = pa.ListArray.from_arrays(ends, pa.array(dense.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], vectors], ["id", *carry, "embedding"])
-
-    source = texts.select(F.col(id_col).alias("id"), *carry, F.lower(text_col).alias("text"))
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
+                begins = part.column(part.num_columns - 2).to_pylist()
+                done: list[list[int]] = []
+                for begin, piece in zip(begins, part.column(part.num_columns - 1), strict=True):
+                    if begin:
+                        if counts is not None:
+                            done.append(counts)
+                        counts = [0] * dimensions
+                    count(piece.as_py() or "")
+                # Copies, as a slice would keep the whole batch.
+                owners = part.select(kept).take(pa.array(np.flatnonzero(begins)))
+                if owner is not None:
+                    owners = pa.Table.from_batches([owner, owners]).combine_chunks().to_batches()[0]
+                if done:
+                    yield made(owners.slice(0, len(done)), done)
+                owner = owners.slice(len(done))
+        if counts is not None:
+            yield made(owner, [counts])
+
+    pieces = F.regexp_extract_all(F.lower(text_col), F.lit(rf"(?s).{{1,{PIECE_CHARS}}}[a-z0-9]*"), F.lit(0))
+    source = texts.select(F.col(id_col).alias("id"), *carry, F.posexplode_outer(pieces).alias("_n", "_piece"))
+    source = source.select(*kept, (F.coalesce("_n", F.lit(0)) == 0).alias("_begin"), "_piece")
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-2], T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
 
 
 class Embedder(ABC):

@@ -1,9 +1,12 @@
 """Chunking, commits, embedding plans and text columns."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lorekeep.functions import text, vectors
 from lorekeep.functions.patterns import left_out_of_excerpts, looks_secret
@@ -136,6 +139,52 @@ def test_keyword_vectors(spark):
     assert sum(got[2]) == 0 and sum(got[3]) == 0
 
 
+def test_keyword_vectors_of_texts_in_pieces(spark):
+    words = ["alpha", "é", "x9", "\n", "the", "b" * 1500, "𝒳" * 700]
+    texts = [" ".join(words[i % 7] for i in range(n)) for n in (0, 1, 6, 700, 3)] + ["caching " * 40_000, " " * 5_000, None]
+    rows = spark.createDataFrame([(i, f"p{i}", t) for i, t in enumerate(texts)], "id long, project string, text string").coalesce(1)
+    got = {r.id: (r.project, r.embedding) for r in embedding.keyword_vectors(rows, "id", "text", carry=["project"]).collect()}
+    counts = {i: {} for i in range(len(texts))}
+    for r in embedding.keyword_counts(rows, "id", "text").collect():
+        counts[r.id][r.dimension] = r.weight
+    for i in counts:
+        size = sum(n * n for n in counts[i].values()) ** 0.5
+        assert got[i] == (f"p{i}", pytest.approx([counts[i].get(d, 0) / (size or 1) for d in range(256)]))
+
+
+def test_keyword_vectors_hold_little(spark, monkeypatch):
+    rows = spark.createDataFrame([], "id long, text string")
+    asked = {}
+
+    def taken(self, function, schema):
+        asked["function"], asked["source"] = function, self
+        return self
+
+    with monkeypatch.context() as patch:
+        patch.setattr(type(rows), "mapInArrow", taken)
+        embedding.keyword_vectors(rows, "id", "text")
+    schema = to_arrow_schema(asked["source"].schema)
+
+    def batches():
+        for b in range(20):
+            values = {"id": [b], "text": [" ".join(f"w{b}x{i}" for i in range(20_000))], "_begin": [True]}
+            yield pa.RecordBatch.from_arrays([pa.array(values.get(f.name, values["text"]), f.type) for f in schema], schema=schema)
+
+    tracemalloc.start()
+    made = sum(batch.num_rows for batch in asked["function"](batches()))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == 20 and most < 32e6  # a table of all 400,000 words has 41 MB
+
+    # A long text comes in many rows, each with little of it.
+    long_text = spark.createDataFrame([(1, "word " * 100_000)], "id long, text string")
+    with monkeypatch.context() as patch:
+        patch.setattr(type(rows), "mapInArrow", taken)
+        embedding.keyword_vectors(long_text, "id", "text")
+    source = asked["source"]
+    assert source.select(F.max(F.length(source.columns[-1]))).first()[0] < 2_000
+
+
 class Remote:
     def __init__(self, problems=()):
         self.calls, self.waits, self._problems = [], [], list(problems)
